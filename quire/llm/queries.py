@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, quality, simhash, toxicity
+from quire.llm import bpe, chat, decontam, langid, pii, quality, simhash, syncmers, toxicity, warc
 from quire.llm.common import held_out, table
 
+#: Pseudonyms stay the same as long as the key does.
+PII_KEY = "quire-pseudonyms-1"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -42,5 +44,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_quality": op7_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.exchanges(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.link(calls, results, chat.REPLY))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.derive(warc.from_pages(table(spark, sf_dir, "pages"))))
+
+
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.digest(syncmers.compare_next(table(spark, sf_dir, "documents")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_chat, op4_toxicity, op5_decontamination, op6_language, op7_quality, op8_warc, op9_syncmers, op10_pii)}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op5_decontamination": decontam.ORACLE_SQL}
