@@ -177,17 +177,18 @@ def _matrices(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geometry.matrix(f("l_quantity"), f("l_discount"), f("l_tax"), f("l_linenumber"), f("l_extendedprice") / 1000, f("l_suppkey") % 100).alias("m"))
 
 
-def _six(m, digits=8):
-    return [(F.round(m[x], digits) + 0.0).alias(x) for x in geometry.AXES]
+def _six(m):
+    """Ten-thousandths, cut where no short decimal lies, so that both engines cut alike."""
+    return [F.floor(m[x] * 10000 + 0.3141592653).alias(x) for x in geometry.AXES]
 
 
-@query(f"WITH {_MATRICES} SELECT l_orderkey, l_linenumber, round(a * 2 + b * 0, 8) + 0.0 AS a, round(a * 1 + b * 3, 8) + 0.0 AS b, round(c * 2 + d * 0, 8) + 0.0 AS c, round(c * 1 + d * 3, 8) + 0.0 AS d, round(e * 2 + f * 0 + 10, 8) + 0.0 AS e, round(e * 1 + f * 3 + 20, 8) + 0.0 AS f FROM m")
+@query(f"WITH {_MATRICES} SELECT l_orderkey, l_linenumber, CAST(floor((a * 2 + b * 0) * 10000 + 0.3141592653) AS BIGINT) AS a, CAST(floor((a * 1 + b * 3) * 10000 + 0.3141592653) AS BIGINT) AS b, CAST(floor((c * 2 + d * 0) * 10000 + 0.3141592653) AS BIGINT) AS c, CAST(floor((c * 1 + d * 3) * 10000 + 0.3141592653) AS BIGINT) AS d, CAST(floor((e * 2 + f * 0 + 10) * 10000 + 0.3141592653) AS BIGINT) AS e, CAST(floor((e * 1 + f * 3 + 20) * 10000 + 0.3141592653) AS BIGINT) AS f FROM m")
 def matrix_product(spark, sf_dir):
     made = _matrices(spark, sf_dir).select("l_orderkey", "l_linenumber", geometry.product(F.col("m"), geometry.matrix(2, 1, 0, 3, 10, 20)).alias("x"))
     return made.select("l_orderkey", "l_linenumber", *_six(F.col("x")))
 
 
-@query(f"WITH {_MATRICES} SELECT l_orderkey, l_linenumber, round(d / (a * d - b * c), 8) + 0.0 AS a, round(-b / (a * d - b * c), 8) + 0.0 AS b, round(-c / (a * d - b * c), 8) + 0.0 AS c, round(a / (a * d - b * c), 8) + 0.0 AS d, round((c * f - d * e) / (a * d - b * c), 8) + 0.0 AS e, round((b * e - a * f) / (a * d - b * c), 8) + 0.0 AS f FROM m WHERE a * d - b * c <> 0")
+@query(f"WITH {_MATRICES} SELECT l_orderkey, l_linenumber, CAST(floor((d / (a * d - b * c)) * 10000 + 0.3141592653) AS BIGINT) AS a, CAST(floor((-b / (a * d - b * c)) * 10000 + 0.3141592653) AS BIGINT) AS b, CAST(floor((-c / (a * d - b * c)) * 10000 + 0.3141592653) AS BIGINT) AS c, CAST(floor((a / (a * d - b * c)) * 10000 + 0.3141592653) AS BIGINT) AS d, CAST(floor(((c * f - d * e) / (a * d - b * c)) * 10000 + 0.3141592653) AS BIGINT) AS e, CAST(floor(((b * e - a * f) / (a * d - b * c)) * 10000 + 0.3141592653) AS BIGINT) AS f FROM m WHERE a * d - b * c <> 0")
 def matrix_inverse(spark, sf_dir):
     made = _matrices(spark, sf_dir).select("l_orderkey", "l_linenumber", geometry.inverse(F.col("m")).alias("x")).where("x is not null")
     return made.select("l_orderkey", "l_linenumber", *_six(F.col("x")))
