@@ -4,8 +4,8 @@ A text is its sequence of words (runs of anything but 09-0D and 20, A-Z in lower
 case), each taken by its hash. A run of ``k`` words is an anchor if, of the hashes
 of its inner runs of ``s`` words, the least is the first or the last. Whether a run
 is an anchor depends on nothing but the run itself, so a text that shares a passage
-shares its anchors, whatever stands around. A text of fewer than ``k`` words, none
-included, has one anchor: the whole of it.
+shares its anchors, whatever stands around. A text without any, be it for having
+fewer than ``k`` words or none, has one anchor: the whole of it.
 
 The fingerprint is the bottom sketch of the anchors: the ``size`` least of their
 distinct 32-bit hashes, in order, as lowercase hex. Equal texts have equal
@@ -35,7 +35,8 @@ def anchors(k: int = 5, s: int = 2) -> str:
     inner = [f"xxhash64({', '.join(f'h[i + {a + b}]' for b in range(s))})" for a in range(k - s + 1)]
     edge = f"least({inner[0]}, {inner[-1]}) <= least({', '.join(inner[1:-1])})" if len(inner) > 3 else f"least({inner[0]}, {inner[-1]}) <= {inner[1]}" if len(inner) == 3 else "true"
     whole = f"xxhash64({', '.join(f'h[i + {a}]' for a in range(k))})"
-    return f"if(size(h) >= {k}, transform(filter(sequence(0, size(h) - {k}), i -> {edge}), i -> struct(i as at, {whole} as hash)), array(struct(0 as at, xxhash64(h) as hash)))"
+    runs = f"if(size(h) >= {k}, filter(sequence(0, size(h) - {k}), i -> {edge}), cast(array() as array<int>))"
+    return f"transform(array({runs}), z -> if(size(z) > 0, transform(z, i -> struct(i as at, {whole} as hash)), array(struct(0 as at, xxhash64(h) as hash))))[0]"
 
 
 def _hashes(text: Column) -> Column:
