@@ -24,8 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1), keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

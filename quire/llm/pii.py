@@ -125,20 +125,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     ``key`` is the secret that the permutation depends on. A column ``pii`` of the
     input is replaced.
     """
-    any_ = _quoted(ANY)
-    k = _quoted(key)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "pii")]
-    text = F.col(f"`{text_col}`").alias("__text")
+    any_, k = _quoted(ANY), _quoted(key)
+    # All other columns go along in one, under no name that could clash.
+    others = [c for c in docs.columns if c not in (text_col, "pii")]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)
     # Texts without a digit or an at sign hold nothing to look for.
-    values = F.expr(f"if(rlike(__text, '[0-9@]'), regexp_extract_all(__text, {any_}, 0), array())")
-    found = docs.select(*kept, text).select(*kept, "__text", F.coalesce(values, F.expr("array()").cast("array<string>")).alias("__values"))
-    made = F.expr(f"transform(__values, v -> {_let('kind', _valid(), f'named_struct(\'value\', v, \'kind\', kind, \'pseudonym\', {_pseudonym(k)})')})")
-    new = found.select(*kept, "__text", made.alias("__made"))
+    values = F.expr(f"if(rlike(text, '[0-9@]'), regexp_extract_all(text, {any_}, 0), cast(array() as array<string>))")
+    found = docs.select(rest.alias("rest"), F.col(f"`{text_col}`").alias("text")).withColumn("found", values)
+    made = F.expr(f"transform(coalesce(found, array()), v -> {_let('kind', _valid(), f"named_struct('value', v, 'kind', kind, 'pseudonym', {_pseudonym(k)})")})")
+    new = found.select("rest", "text", made.alias("made"))
     # What lies between the values, and the values' pseudonyms, in turn.
-    whole = F.expr(f"if(size(__made) = 0, __text, array_join(transform(split(__text, {any_}), (x, i) -> concat(x, coalesce(get(__made, i).pseudonym, ''))), ''))")
-    pii = F.expr("transform(filter(__made, m -> m.kind is not null), m -> named_struct('kind', m.kind, 'pseudonym', m.pseudonym))")
-    place = {c: F.col(f"`{c}`") for c in docs.columns if c != "pii"} | {text_col: whole.alias(text_col)}
-    return new.select(*place.values(), pii.alias("pii"))
+    whole = F.expr(f"if(size(made) = 0, text, array_join(transform(split(text, {any_}), (x, i) -> concat(x, coalesce(get(made, i).pseudonym, ''))), ''))")
+    pii = F.expr("transform(filter(made, m -> m.kind is not null), m -> named_struct('kind', m.kind, 'pseudonym', m.pseudonym))")
+    place = {c: F.col("rest").getField(c).alias(c) for c in others} | {text_col: whole.alias(text_col)}
+    return new.select(*(place[c] for c in docs.columns if c != "pii"), pii.alias("pii"))
 
 
 def counted(found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

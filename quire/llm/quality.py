@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.bpe import small_batches
 from quire.llm.common import saved
@@ -135,27 +134,38 @@ def fit(rows: DataFrame, x_col: str = "x", label_col: str = "label", shrink: flo
     return Discriminant.of_sums(got[:, 0], got[:, 1 : 1 + d], got[:, 1 + d :].reshape(2, d, d), shrink, floor)
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """``id_col, score, predicted`` for each row; the fit takes the labels of rows for which ``learn`` (on the id) holds.
+def _model(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, of_docs: DataFrame | None = None) -> Discriminant:
+    marks = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
+    if of_docs is None:
+        of_docs = vectors(docs.join(marks, id_col, "left_semi"), id_col, text_col)
+    return fit(of_docs.where(learn).join(marks, id_col))
+
+
+def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``id_col, score, predicted`` for each row; the fit takes the labels of rows for which ``learn`` (on the id) holds."""
+    of_docs = saved(vectors(docs, id_col, text_col))
+    model = _model(docs, labels, learn, label_col, id_col, text_col, of_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.score(np.array(batch.column(1).to_pylist(), float).reshape(-1, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], [id_col, "score"])
+
+    scored = of_docs.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
 
-    With ``keep``, those columns of ``docs`` come with each row. The statistics are then
-    made a second time, from the row itself, so no join has to bring the two together.
+def accepted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The whole rows of ``docs`` that ``classify`` predicts 1 for.
+
+    The statistics of labelled rows are made for the fit, those of all rows as they pass,
+    so no join has to bring rows and scores together.
     """
-    marks = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    if keep is None:
-        of_docs = saved(vectors(docs, id_col, text_col))
-        source = of_docs.select(F.col("x"), F.col(id_col))
-        marked = of_docs.where(learn).join(marks, id_col)
-    else:
-        source = docs.select(F.col(text_col).alias("x"), *keep)
-        marked = vectors(docs.join(marks, id_col, "left_semi").where(learn), id_col, text_col).join(marks, id_col)
-    model = fit(marked)
+    model, at = _model(docs, labels, learn, label_col, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            x = batch.column(0).to_pylist()
-            x = np.array([statistics(t) for t in x] if keep is not None else x, float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([pa.array(model.score(x)), *batch.columns[1:]], ["score", *batch.schema.names[1:]])
+            score = model.score(np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES)))
+            yield batch.filter(pa.array(score >= threshold))
 
-    schema = StructType([StructField("score", DoubleType()), *source.schema.fields[1:]])
-    return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(run, docs.schema)
