@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import kept
+
 #: Action subtypes and annotation subtypes by purpose, and dictionary keys of structures.
 JAVASCRIPT = ("JavaScript",)
 EXTERNAL = ("URI", "Launch", "GoToR", "GoToE", "SubmitForm", "ImportData")
@@ -26,9 +28,9 @@ def prune_chains(actions: DataFrame, removed: tuple[str, ...] | list[str]) -> Da
     chain = Window.partitionBy("holder", "slot")
     gone = F.coalesce(F.col("subtype").isin(*removed), F.lit(False))
     head_gone = F.max((F.col("pos") == 0) & gone).over(chain)
-    kept = actions.where(F.col("pos") < CHAIN).withColumn("__head", head_gone).withColumn("__gone", gone).where("not __head and not __gone").drop("__head", "__gone")
+    left = actions.where(F.col("pos") < CHAIN).withColumn("__head", head_gone).withColumn("__gone", gone).where("not __head and not __gone").drop("__head", "__gone")
     order = chain.orderBy("pos")
-    return kept.withColumn("pos", F.row_number().over(order) - 1).withColumn("next_pos", F.lead("pos").over(order))
+    return left.withColumn("pos", F.row_number().over(order) - 1).withColumn("next_pos", F.lead("pos").over(order))
 
 
 def graft(tree: DataFrame, removed: tuple[str, ...] | list[str], depth: int = CHAIN) -> DataFrame:
@@ -40,14 +42,14 @@ def graft(tree: DataFrame, removed: tuple[str, ...] | list[str], depth: int = CH
     """
     gone = F.coalesce(F.col("subtype").isin(*removed), F.lit(False))
     nodes = tree.withColumn("gone", gone).withColumn("path", F.array("pos"))
-    up = nodes.select("holder", F.col("node").alias("up_node"), F.col("parent").alias("up_parent"), F.col("pos").alias("up_pos"), F.col("gone").alias("up_gone"))
+    up = kept(nodes.select("holder", F.col("node").alias("parent"), F.col("parent").alias("up_parent"), F.col("pos").alias("up_pos"), F.col("gone").alias("up_gone")))
     for _ in range(depth):
-        climb = nodes.join(up, (nodes.holder == up.holder) & (nodes.parent == up.up_node), "left").drop(up.holder)
-        moved = climb.select("holder", "node", "subtype", "gone", F.when(F.col("up_gone"), F.col("up_parent")).otherwise(F.col("parent")).alias("parent"), F.when(F.col("up_gone"), F.concat(F.array("up_pos"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.coalesce("up_gone", F.lit(False)).alias("moved"))
-        nodes = moved
-        if not moved.where("moved").isEmpty():
-            continue
-        break
+        over = F.coalesce("up_gone", F.lit(False))
+        climbed = nodes.drop("moved").join(up, ["holder", "parent"], "left")
+        path = F.when(over, F.concat(F.array("up_pos"), F.col("path"))).otherwise(F.col("path"))
+        nodes = kept(climbed.select("holder", "node", "subtype", "gone", F.when(over, F.col("up_parent")).otherwise(F.col("parent")).alias("parent"), path.alias("path"), over.alias("moved")))
+        if nodes.where("moved").isEmpty():
+            break
     order = Window.partitionBy("holder", "parent").orderBy("path")
     return nodes.where("not gone").withColumn("pos", F.row_number().over(order) - 1).select("holder", "node", "parent", "pos", "subtype")
 
