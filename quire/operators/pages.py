@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_DOC = Window.partitionBy("doc_id")
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
 
 
 def as_pages(rows: DataFrame, doc: str, *order: str) -> DataFrame:
     """Any table as pages: ``doc`` names the document, ``order`` puts its rows in order."""
-    return rows.withColumn("doc_id", F.col(doc)).withColumn("page_index", F.row_number().over(_DOC.orderBy(*order)) - 1)
+    return rows.withColumn("doc_id", F.col(doc)).withColumn("page_index", F.row_number().over(_doc().orderBy(*order)) - 1)
 
 
 def renumber(pages: DataFrame, *order: Column) -> DataFrame:
-    return pages.withColumn("page_index", F.row_number().over(_DOC.orderBy(*order)) - 1)
+    return pages.withColumn("page_index", F.row_number().over(_doc().orderBy(*order)) - 1)
 
 
 def _bounds(n: Column, start: int | None, stop: int | None, step: int) -> tuple[Column, Column]:
@@ -37,7 +39,7 @@ def _selected(pages: DataFrame, start: int | None, stop: int | None, step: int)
     """``pages`` with ``__at``: the place in the slice, null outside it."""
     if step == 0:
         raise ValueError("a slice has a step")
-    first, last = _bounds(F.count("*").over(_DOC), start, stop, step)
+    first, last = _bounds(F.count("*").over(_doc()), start, stop, step)
     i = F.col("page_index")
     within = (i >= first) & (i < last) if step > 0 else (i <= first) & (i > last)
     return pages.withColumn("__at", F.when(within & ((i - first) % step == 0), ((i - first) / step).cast("int")))
@@ -49,7 +51,7 @@ def slice_pages(pages: DataFrame, start: int | None = None, stop: int | None = N
 
 def page_at(pages: DataFrame, i: int) -> DataFrame:
     """The page at a position; documents that are too short have none."""
-    return pages.withColumn("__n", F.count("*").over(_DOC)).where(F.col("page_index") == (F.lit(i) if i >= 0 else F.col("__n") + i)).drop("__n")
+    return pages.withColumn("__n", F.count("*").over(_doc())).where(F.col("page_index") == (F.lit(i) if i >= 0 else F.col("__n") + i)).drop("__n")
 
 
 def delete_pages(pages: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -57,12 +59,12 @@ def delete_pages(pages: DataFrame, start: int | None = None, stop: int | None =
 
 
 def reverse_pages(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("page_index", (F.count("*").over(_DOC) - 1 - F.col("page_index")).cast("int"))
+    return pages.withColumn("page_index", (F.count("*").over(_doc()) - 1 - F.col("page_index")).cast("int"))
 
 
 def insert_pages(pages: DataFrame, at: int, new: DataFrame) -> DataFrame:
     """Pages of ``new`` before position ``at`` of their documents; documents with fewer pages than ``at`` don't get them."""
-    sized = pages.withColumn("__n", F.count("*").over(_DOC))
+    sized = pages.withColumn("__n", F.count("*").over(_doc()))
     place = F.greatest(F.lit(0), F.lit(at) if at >= 0 else F.col("__n") + at)
     old = sized.withColumn("__where", F.when(F.col("page_index") < place, 0).otherwise(2)).drop("__n")
     fits = sized.where("page_index = 0").where(place <= F.col("__n")).select("doc_id")
@@ -79,7 +81,7 @@ def extend_pages(pages: DataFrame, *others: DataFrame) -> DataFrame:
 def replace_slice(pages: DataFrame, start: int, stop: int, new: DataFrame) -> DataFrame:
     """The pages of a slice of step one replaced by those of ``new``; sizes may differ."""
     marked = _selected(pages, start, stop, 1)
-    first, _ = _bounds(F.count("*").over(_DOC), start, stop, 1)
+    first, _ = _bounds(F.count("*").over(_doc()), start, stop, 1)
     old = marked.withColumn("__where", F.when(F.col("page_index") < first, 0).otherwise(2)).where("__at is null").drop("__at")
     return renumber(old.unionByName(new.withColumn("__where", F.lit(1)), allowMissingColumns=True), F.col("__where"), F.col("page_index")).drop("__where")
 
@@ -113,5 +115,5 @@ def labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     own = ranges.select("doc_id", F.col("first_index").alias("page_index"), F.struct("first_index", "style", "prefix", "start").alias("range"), F.lit(0).alias("__page"))
     both = pages.withColumn("range", F.lit(None).cast(own.schema["range"].dataType)).withColumn("__page", F.lit(1)).unionByName(own, allowMissingColumns=True)
-    before = _DOC.orderBy("page_index", "__page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = _doc().orderBy("page_index", "__page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("range", F.last("range", ignorenulls=True).over(before)).where("__page = 1").drop("__page")
