@@ -134,17 +134,15 @@ def fit(rows: DataFrame, x_col: str = "x", label_col: str = "label", shrink: flo
     return Discriminant.of_sums(got[:, 0], got[:, 1 : 1 + d], got[:, 1 + d :].reshape(2, d, d), shrink, floor)
 
 
-def _model(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, of_docs: DataFrame | None = None) -> Discriminant:
+def _model(of_docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str) -> Discriminant:
     marks = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    if of_docs is None:
-        of_docs = vectors(docs.join(marks, id_col, "left_semi"), id_col, text_col)
     return fit(of_docs.where(learn).join(marks, id_col))
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``id_col, score, predicted`` for each row; the fit takes the labels of rows for which ``learn`` (on the id) holds."""
     of_docs = saved(vectors(docs, id_col, text_col))
-    model = _model(docs, labels, learn, label_col, id_col, text_col, of_docs)
+    model = _model(of_docs, labels, learn, label_col, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +156,10 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The whole rows of ``docs`` that ``classify`` predicts 1 for.
 
-    The statistics of labelled rows are made for the fit, those of all rows as they pass,
-    so no join has to bring rows and scores together.
+    The statistics are made twice, for the fit and as the rows pass, so that no text is
+    shuffled: the fit's join with the labels moves ids and statistics only.
     """
-    model, at = _model(docs, labels, learn, label_col, id_col, text_col), docs.columns.index(text_col)
+    model, at = _model(vectors(docs, id_col, text_col), labels, learn, label_col, id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
