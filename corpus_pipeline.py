@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, pii, quality, queries, simhash
-from quire.llm.common import held_out, saved, table
+from quire.llm.common import held_out, table, without
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,14 +29,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = saved(found.where("n_hit > 0").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found.where("n_hit > 0").select("doc_id").distinct(), "doc_id")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,18 @@ def held_out(doc_id: str, mod: int, rest: int) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
+
+
+#: Ids up to which a table of them is broadcast: 16 MB of longs.
+BROADCAST_IDS = 1_000_000
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` but those whose id is among ``ids`` (each once); rows with a null id stay.
+
+    The ids are kept and counted; few are broadcast, so that the rows needn't be shuffled,
+    and more are joined by a shuffle.
+    """
+    ids = saved(ids)
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns))

@@ -45,3 +45,13 @@ def test_rows(spark, small, odd, empty):
             assert stage(spark, docs, small).count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == docs.count()
     assert corpus_pipeline.STAGES[3][1](spark, odd, small).where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def test_without_either_way(spark, odd, monkeypatch):
+    from quire.llm import common
+
+    ids = spark.createDataFrame([(6,), (8,), (None,)], "doc_id long")
+    want = sorted(map(str, odd.where("doc_id is null or doc_id not in (6, 8)").collect()))
+    for most in (0, 10):
+        monkeypatch.setattr(common, "BROADCAST_IDS", most)
+        assert sorted(map(str, common.without(odd, ids, "doc_id").collect())) == want
