@@ -9,8 +9,9 @@ import hashlib
 from collections.abc import Iterable
 
 from quire.operators.actions import CHAIN
+from quire.sources.content import expanded, instructions, unparse_instructions
 from quire.sources.document import Document
-from quire.sources.values import Name, Ref, Stream, decode_text
+from quire.sources.values import Name, Ref, Stream, decode_text, unparse
 from quire.sources.writer import Options, write
 
 #: Keys that a copied page leaves behind, as they lead back into its old document.
@@ -395,6 +396,158 @@ class Editor:
                 if isinstance(head, dict):
                     head.pop(key, None)
 
+    def add_resource(self, page: dict, kind: str, value, name: str | None = None, replace: bool = False) -> Name:
+        """A resource under a name that no kind has yet, or the given one; an existing one only if it may be replaced."""
+        resources = self.sub(page, "/Resources", {})
+        taken = {k for v in resources.values() if isinstance(d := self.get(v), dict) for k in d}
+        if name is None:
+            name = next(n for i in range(len(taken) + 1) if (n := f"{kind[:3]}{i}") not in taken)
+        if name in taken and not replace:
+            raise ValueError(f"there is a resource {name}")
+        if name in taken:
+            for v in resources.values():
+                if isinstance(d := self.get(v), dict):
+                    d.pop(name, None)
+        self.sub(resources, kind, {})[Name(name)] = value
+        return Name(name)
+
+    def remove_unused_resources(self) -> None:
+        """Of each page, the resources that no operand of its content names; pages with forms keep theirs."""
+        doc = Document(self.bytes())
+        for ref, (_, source) in zip(self.pages(), doc.pages(), strict=True):
+            page = self.get(ref)
+            used = {x for operands, _ in instructions(doc.content(source)) for x in operands if isinstance(x, Name)}
+            resources = {k: dict(d) if isinstance(d := self.get(v), dict) else v for k, v in (self.get(page.get("/Resources")) or {}).items()}
+            objects = resources.get("/XObject") if isinstance(resources.get("/XObject"), dict) else {}
+            if any(isinstance(s := self.get(v), Stream) and s.head.get("/Subtype") == "/Form" and "/Resources" not in s.head for k, v in objects.items() if k in used):
+                continue
+            page[Name("/Resources")] = {k: {n: v for n, v in d.items() if n in used} if isinstance(d, dict) else d for k, d in resources.items()}
+
+    def externalize_inline_images(self, least: int = 0) -> int:
+        """Inline images of ``least`` bytes or more as resources of their pages; how many."""
+        doc, count = Document(self.bytes()), 0
+        for ref, (_, source) in zip(self.pages(), doc.pages(), strict=True):
+            page, rows = self.get(ref), []
+            page[Name("/Resources")] = {k: dict(d) if isinstance(d := self.get(v), dict) else v for k, v in (self.get(page.get("/Resources")) or {}).items()}
+            for operands, operator in instructions(doc.content(source)):
+                if operator == "INLINE IMAGE" and len(operands[1]) >= least:
+                    head = expanded(operands[0]) | {Name("/Type"): Name("/XObject"), Name("/Subtype"): Name("/Image")}
+                    rows.append(([self.add_resource(page, "/XObject", self.add(Stream(head, operands[1])))], "Do"))
+                    count += 1
+                else:
+                    rows.append((operands, operator))
+            page[Name("/Contents")] = self.add(Stream({}, unparse_instructions(rows)))
+        return count
+
+    def flatten_rotation(self) -> None:
+        """/Rotate put into the content, the boxes and the annotations' rectangles."""
+        for ref in self.pages():
+            page = self.get(ref)
+            turn = self.get(page.pop("/Rotate", 0))
+            turn = turn % 360 if isinstance(turn, int) else 0
+            if not turn:
+                continue
+            x0, y0, x1, y1 = (float(self.get(v)) for v in self.get(page.get("/MediaBox")) or [0, 0, 612, 792])
+            # A turn to the right about the corner that comes to lie at the origin.
+            a, b, c, d, e, f = {90: (0, -1, 1, 0, -y0, x1), 180: (-1, 0, 0, -1, x1, y1), 270: (0, 1, -1, 0, y1, -x0)}[turn]
+
+            def moved(box, m=(a, b, c, d, e, f)) -> list[float]:
+                xs = [m[0] * x + m[2] * y + m[4] for x in (box[0], box[2]) for y in (box[1], box[3])]
+                ys = [m[1] * x + m[3] * y + m[5] for x in (box[0], box[2]) for y in (box[1], box[3])]
+                return [min(xs), min(ys), max(xs), max(ys)]
+
+            for key in ("/MediaBox", "/CropBox", "/BleedBox", "/TrimBox", "/ArtBox"):
+                if isinstance(box := self.get(page.get(key)), list) and len(box) == 4:
+                    page[Name(key)] = moved([float(self.get(v)) for v in box])
+            for note in self.get(page.get("/Annots")) or []:
+                if isinstance(n := self.get(note), dict) and isinstance(box := self.get(n.get("/Rect")), list) and len(box) == 4:
+                    n[Name("/Rect")] = moved([float(self.get(v)) for v in box])
+            now = self.get(page.get("/Contents"))
+            parts = list(now) if isinstance(now, list) else [page["/Contents"]] if now is not None else []
+            page[Name("/Contents")] = [self.add(Stream({}, f"q {a} {b} {c} {d} {e:g} {f:g} cm".encode())), *parts, self.add(Stream({}, b"Q"))]
+
+    def flatten_annotations(self, forbidden: int = 3) -> None:
+        """Appearances of annotations drawn into the content; invisible and hidden ones just go."""
+        for ref in self.pages():
+            page, draws = self.get(ref), []
+            for note in self.get(page.get("/Annots")) or []:
+                n = self.get(note)
+                if not isinstance(n, dict) or (n.get("/F") or 0) & forbidden:
+                    continue
+                looks = self.get((self.get(n.get("/AP")) or {}).get("/N"))
+                if isinstance(looks, dict):
+                    looks = self.get(looks.get(n.get("/AS")))
+                if not isinstance(looks, Stream):
+                    continue
+                r = [float(self.get(v)) for v in self.get(n.get("/Rect")) or [0, 0, 0, 0]]
+                b = [float(self.get(v)) for v in self.get(looks.head.get("/BBox")) or [0, 0, 1, 1]]
+                sx, sy = ((r[2] - r[0]) / (b[2] - b[0]) if b[2] != b[0] else 1), ((r[3] - r[1]) / (b[3] - b[1]) if b[3] != b[1] else 1)
+                name = self.add_resource(page, "/XObject", self.add(Stream(dict(looks.head) | {Name("/Type"): Name("/XObject"), Name("/Subtype"): Name("/Form")}, looks.raw)))
+                draws.append(f"q {sx:g} 0 0 {sy:g} {r[0] - b[0] * sx:g} {r[1] - b[1] * sy:g} cm {name} Do Q")
+            page.pop("/Annots", None)
+            if draws:
+                now = self.get(page.get("/Contents"))
+                parts = list(now) if isinstance(now, list) else [page["/Contents"]] if now is not None else []
+                page[Name("/Contents")] = [self.add(Stream({}, b"q")), *parts, self.add(Stream({}, ("Q\n" + "\n".join(draws)).encode()))]
+
+    def fields(self) -> dict[str, dict]:
+        """The terminal fields by full name."""
+        out: dict[str, dict] = {}
+
+        def walk(ref, path, above, seen):
+            f = self.get(ref)
+            if not isinstance(f, dict) or (isinstance(ref, Ref) and ref in seen) or len(seen) > 100:
+                return
+            own = above | {k: f[k] for k in ("/FT", "/Ff", "/DA", "/MaxLen", "/Opt") if k in f}
+            name = decode_text(t) if isinstance(t := self.get(f.get("/T")), bytes) else ""
+            path = [*path, name] if name else path
+            kids = [k for k in self.get(f.get("/Kids")) or [] if isinstance(d := self.get(k), dict) and "/T" in d]
+            if not kids:
+                out[".".join(path)] = {"field": f, **own}
+            for k in kids:
+                walk(k, path, own, seen | ({ref} if isinstance(ref, Ref) else set()))
+
+        for ref in self.get((self.get(self.root.get("/AcroForm")) or {}).get("/Fields")) or []:
+            walk(ref, [], {}, frozenset())
+        return out
+
+    def set_field(self, name: str, value: str | bool) -> str | None:
+        """A field's value by its rules, with the text's appearance; says what was changed about the value."""
+        got = self.fields()[name]
+        f, kind, flags, warning = got["field"], got.get("/FT"), int(self.get(got.get("/Ff")) or 0), None
+        if kind == "/Btn":
+            if flags & 1 << 16:
+                raise ValueError("a push button has no value")
+            states = [k for w in (f, *map(self.get, self.get(f.get("/Kids")) or [])) for k in self.get((self.get(w.get("/AP")) or {}).get("/N")) or {} if isinstance(w, dict) and k != "/Off"]
+            state = Name(value if isinstance(value, str) else (states or ["/Yes"])[0] if value else "/Off")
+            if isinstance(value, str) and state != "/Off" and states and state not in states:
+                raise ValueError(f"there is no state {value}")
+            f[Name("/V")] = state
+            for w in (f, *map(self.get, self.get(f.get("/Kids")) or [])):
+                if isinstance(looks := self.get((self.get(w.get("/AP")) or {}).get("/N")), dict):
+                    w[Name("/AS")] = state if state in looks else Name("/Off")
+            return None
+        if kind == "/Sig":
+            raise ValueError("a signature can't be set")
+        if kind == "/Ch":
+            options = [decode_text(o if isinstance(o, bytes) else self.get(self.get(o)[0])) for o in map(self.get, self.get(got.get("/Opt")) or [])]
+            if value not in options and not flags & 1 << 18:
+                raise ValueError(f"{value!r} is not an option")
+        elif not flags & 1 << 12 and ("\n" in value or "\r" in value):
+            value, warning = value.replace("\r", "").replace("\n", ""), "line ends were removed"
+        most = self.get(got.get("/MaxLen"))
+        if kind == "/Tx" and isinstance(most, int) and len(value) > most:
+            value, warning = value[:most], f"cut to {most} characters"
+        f[Name("/V")] = value.encode() if value.isascii() else b"\xfe\xff" + value.encode("utf-16-be")
+        for w in (f, *map(self.get, self.get(f.get("/Kids")) or [])):
+            if isinstance(w, dict) and isinstance(r := self.get(w.get("/Rect")), list) and len(r) == 4:
+                x0, y0, x1, y1 = (float(self.get(v)) for v in r)
+                look = f"/Tx BMC q BT /Helv 11 Tf 2 {max(0, (abs(y1 - y0) - 11) / 2):g} Td ".encode() + unparse(f["/V"]) + b" Tj ET Q EMC"
+                font = {Name("/Type"): Name("/Font"), Name("/Subtype"): Name("/Type1"), Name("/BaseFont"): Name("/Helvetica")}
+                head = {Name("/Type"): Name("/XObject"), Name("/Subtype"): Name("/Form"), Name("/BBox"): [0, 0, abs(x1 - x0), abs(y1 - y0)], Name("/Resources"): {Name("/Font"): {Name("/Helv"): font}}}
+                w[Name("/AP")] = {Name("/N"): self.add(Stream(head, look))}
+        return warning
+
     def live(self) -> dict[tuple[int, int], object]:
         """The objects that can be reached from the trailer."""
         out: dict = {}

@@ -419,3 +419,63 @@ def test_closure_ends_on_circles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "src int, dst int")
     got = closure(edges, spark.createDataFrame([(1,), (4,)], "node int"))
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (1, 3), (4, 4), (4, 5)]
+
+
+def test_more_edits():
+    b = Builder()
+    state = lambda: b.add(Stream({N("/BBox"): [0, 0, 1, 1]}, b"0 0 1 1 re f"))
+    widget = {N("/Subtype"): N("/Widget"), N("/Rect"): [10, 10, 60, 30], N("/F"): 4}
+    text = b.add(widget | {N("/T"): b"name", N("/FT"): N("/Tx"), N("/MaxLen"): 5})
+    box = b.add(widget | {N("/T"): b"ok", N("/FT"): N("/Btn"), N("/AP"): {N("/N"): {N("/On"): state(), N("/Off"): state()}}})
+    pick = b.add(widget | {N("/T"): b"pick", N("/FT"): N("/Ch"), N("/Opt"): [b"a", b"b"]})
+    b.root[N("/AcroForm")] = {N("/Fields"): [text, box, pick]}
+    b.page(b"BI /W 1 /H 1 /BPC 8 /CS /G ID \x80\nEI /Used gs", {N("/ExtGState"): {N("/Used"): {}, N("/Unused"): {}}}, (0, 0, 100, 50), Annots=[text, box, pick], Rotate=90)
+    e = Editor(b.bytes())
+    assert e.set_field("name", "Jo\nhn Doe") == "cut to 5 characters" and e.fields()["name"]["field"]["/V"] == b"John "
+    e.set_field("ok", True)
+    assert e.fields()["ok"]["field"]["/AS"] == "/On"
+    e.set_field("pick", "b")
+    for name, value in (("pick", "c"), ("ok", "/Maybe")):
+        with pytest.raises(ValueError):
+            e.set_field(name, value)
+    assert e.externalize_inline_images() == 1
+    e.remove_unused_resources()
+    e.flatten_annotations()
+    e.flatten_rotation()
+    doc = Document(e.bytes())
+    (_, page), = doc.pages()
+    body = doc.content(page)
+    assert body.count(b" Do") == 4 and b"BI" not in body and "/Annots" not in page and "/Rotate" not in page
+    assert set(doc.get(doc.get(page["/Resources"])["/ExtGState"])) == {"/Used"}
+    assert [float(x) for x in page["/MediaBox"]] == [0, 0, 50, 100]
+    with pytest.raises(ValueError):
+        e.add_resource(e.get(e.pages()[0]), "/XObject", 1, "/Used")
+
+
+def test_fonts():
+    from quire.sources.fonts import SimpleFont, character, differences, lines_of
+
+    assert [character(n) for n in ("/A", "/eacute", "/uni20AC", "/space", "/germandbls", "/g123")] == ["A", "é", "€", " ", "ß", None]
+    assert differences([65, N("/B"), N("/strange"), 200, N("/ccedilla")]) == ({65: "B", 200: "ç"}, ["/strange"])
+    f = SimpleFont(65, [500, 600], 100, changed={1: "ç"})
+    assert f.encode("Aç€") == b"A\x01\x80" and f.width("AB\nA?", 10) == 11 and f.leading(10) == 10
+    assert lines_of("aa bb cc\nd", 5, len) == ["aa bb", "cc", "d"]
+
+
+def test_form_functions(spark):
+    from pyspark.sql import functions as F
+    from quire.functions import forms
+
+    df = spark.createDataFrame([("a\nbcd", 0, 3), ("a\nbcd", 1 << 12, None), ("ab", 0, 3)], "v string, f long, n int")
+    v, f, n = map(F.col, "vfn")
+    assert [r[0] for r in df.select(forms.text_value(v, f, n)).collect()] == ["abc", "a\nbcd", "ab"]
+    assert [r[0] for r in df.select(forms.was_cut(v, f, n)).collect()] == [True, False, False]
+    kinds = spark.createDataFrame([("/Tx", 0), ("/Btn", 1 << 16), ("/Btn", 1 << 15), ("/Btn", 0), ("/Ch", 0), ("/Sig", 0), ("/X", 0)], "t string, f long")
+    assert [r[0] for r in kinds.select(forms.field_kind(F.col("t"), F.col("f"))).collect()] == ["text", "button", "radio", "checkbox", "choice", "signature", None]
+    one = spark.createDataFrame([("b", ["a", "b"], "/Helv 9 Tf 0 g /Cour 0 Tf", ["3 0 R", "/FitR", "1", "2", "3", "4"])], "v string, o array<string>, da string, d array<string>")
+    r = one.select(forms.choice_value(F.col("v"), F.col("o"), F.lit(0)), forms.choice_value(F.lit("z"), F.col("o"), F.lit(0)), forms.default_appearance(F.col("da")), forms.destination(F.col("d")), forms.comb_positions(F.lit("abc"), 100, 4)).first()
+    assert r[0] == "b" and r[1] is None and tuple(r[2]) == ("/Cour", 11.0) and tuple(r[3]) == ("3 0 R", "FitR", 1.0, 2.0, 3.0, 4.0, None) and r[4] == [12.5, 37.5, 62.5]
+    path = forms.Path("Root").Kids[-1]["/Name"]
+    assert path == forms.Path("/Root", "Kids", -1, "Name")
+    tree = spark.createDataFrame([('{"/Root":{"/Kids":[{"/Name":"u:x"},{"/Name":"u:y"}]}}',), ("{}",)], "j string")
+    assert [x[0] for x in tree.select(path.of(F.col("j"))).collect()] == ["u:y", None]
