@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import geometry, images, labels, text, values
+from quire.functions import forms, geometry, images, labels, text, values
 from quire.operators import actions, content, graph, metadata, pages
 from quire.session import table
 
@@ -475,3 +475,82 @@ def outline_links(spark, sf_dir):
     turn = F.col("turn")
     items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("item"), F.when(turn >= 2, F.floor(turn / 2) - 1).alias("parent"), turn.alias("pos"), F.lit(False).alias("closed"))
     return graph.outline_links(items).select("doc_id", "item", "parent", "prev", "next", "first", "last")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN left(o_orderpriority || o_orderstatus, 5) ELSE left(replace(o_orderpriority || chr(10) || o_orderstatus, chr(10), ''), 7) END AS value, CASE o_orderkey % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'button' WHEN 2 THEN 'radio' WHEN 3 THEN 'checkbox' WHEN 4 THEN 'choice' ELSE 'signature' END AS kind FROM orders")
+def form_field_rules(spark, sf_dir):
+    key = F.col("o_orderkey")
+    raw = F.when(key % 2 == 0, F.concat("o_orderpriority", "o_orderstatus")).otherwise(F.concat("o_orderpriority", F.lit("\n"), "o_orderstatus"))
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (key % 6 + 1).cast("int"))
+    kind = forms.field_kind(pick("/Tx", "/Btn", "/Btn", "/Btn", "/Ch", "/Sig"), pick(0, 1 << 16, 1 << 15, 0, 0, 0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", forms.text_value(raw, F.lit(0), F.when(key % 2 == 0, 5).otherwise(7)).alias("value"), kind.alias("kind"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'FitR' ELSE 'FitH' END AS fit, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS l, CASE WHEN l_linenumber % 2 = 0 THEN 4.0 ELSE l_quantity END AS top FROM lineitem")
+def destination_fit(spark, sf_dir):
+    q = F.col("l_quantity").cast("string")
+    parts = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("3 0 R"), F.lit("/FitR"), q, F.lit("2"), F.lit("3"), F.lit("4"))).otherwise(F.array(F.lit("3 0 R"), F.lit("/FitH"), q))
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", forms.destination(parts).alias("d"))
+    return d.select("l_orderkey", "l_linenumber", "d.fit", F.col("d.left").alias("l"), "d.top")
+
+
+@query("SELECT p_partkey, CASE WHEN r NOT BETWEEN 2 AND 6 THEN 'revision must be 2 to 6' WHEN aes AND r < 4 THEN 'AES needs revision 4 or more' WHEN meta AND r < 4 THEN 'encrypted metadata needs revision 4 or more' WHEN r = 6 AND NOT aes THEN 'revision 6 needs AES' WHEN meta AND NOT aes THEN 'encrypted metadata needs AES' END AS problem FROM (SELECT p_partkey, p_size % 8 AS r, p_partkey % 2 = 0 AS aes, p_partkey % 3 = 0 AS meta FROM part)")
+def encryption_rules(spark, sf_dir):
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", values.encryption_problem(F.col("p_size") % 8, key % 2 == 0, key % 3 == 0).alias("problem"))
+
+
+@query(f"WITH {_PAGES}, u AS (SELECT doc_id, page_index, role, turn, 0 AS k FROM p UNION ALL SELECT DISTINCT doc_id, 0, NULL, NULL, 1 FROM p WHERE doc_id % 2 = 0) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, page_index) - 1 AS page_index, role, turn FROM u")
+def page_blank(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    return _out(pages.add_blank_page(own, own.where("doc_id % 2 = 0").select("doc_id").distinct()))
+
+
+@query("WITH d AS (SELECT conv_id AS doc_id, CASE turn WHEN 0 THEN 'dc:title' WHEN 1 THEN 'pdf:Keywords' ELSE 'own' || turn END AS name, role AS value FROM conversations), i AS (SELECT DISTINCT conv_id AS doc_id, 'dc:title' AS name, 'T' AS value FROM conversations WHERE conv_id % 3 = 0) SELECT doc_id, name, value FROM d WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = d.doc_id AND i.name = d.name) UNION ALL SELECT * FROM i")
+def xmp_from_docinfo(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations")
+    xmp = chats.select(F.col("conv_id").alias("doc_id"), F.expr("case turn when 0 then 'dc:title' when 1 then 'pdf:Keywords' else concat('own', turn) end").alias("name"), F.array("role").alias("values"))
+    info = chats.where("conv_id % 3 = 0").select(F.col("conv_id").alias("doc_id"), F.lit("/Title").alias("key"), F.lit("T").alias("value")).distinct()
+    return metadata.xmp_from_docinfo(xmp, info)[0].select("doc_id", "name", F.get("values", F.lit(0)).alias("value"))
+
+
+@query("SELECT c_custkey, CASE WHEN part IS NULL THEN '' ELSE part || coalesce(level, '') END AS status FROM (SELECT c_custkey, max(CASE WHEN o_orderkey % 4 = 0 THEN '2' END) AS part, max(CASE WHEN o_orderkey % 5 = 0 THEN 'B' END) AS level FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+def conformance_status(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    prop = lambda rest, name, value: orders.where(rest).select(F.col("o_custkey").alias("doc_id"), F.lit(name).alias("name"), F.array(F.lit(value)).alias("values"))
+    xmp = prop("o_orderkey % 4 = 0", "pdfaid:part", "2").union(prop("o_orderkey % 5 = 0", "pdfaid:conformance", "B"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return metadata.conformance(xmp, docs).select(F.col("doc_id").alias("c_custkey"), "status")
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS page_index, CAST(l_suppkey AS VARCHAR) AS name FROM lineitem WHERE l_suppkey % 3 <> 0")
+def resources_unused(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_index"), F.col("l_suppkey").cast("string").alias("name"), "l_suppkey")
+    used = lines.where("l_suppkey % 3 = 0").select("doc_id", "page_index", F.lit("Do").alias("operator"), F.array("name").alias("operands"))
+    return content.unused_resources(lines.select("doc_id", "page_index", "name"), used)
+
+
+@query("SELECT o_orderkey, [o_orderkey, 7, 9] AS appended, CAST(CASE WHEN o_orderkey % 10 = 7 THEN 2 ELSE 1 END AS BIGINT) AS sevens FROM orders")
+def array_algebra(spark, sf_dir):
+    key = F.col("o_orderkey")
+    base = F.array(key, F.lit(7).cast("long"))
+    tested = F.array((key % 10), F.lit(7).cast("long"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_append(base, F.lit(9).cast("long")).alias("appended"), F.size(F.filter(tested, lambda x: x == 7)).cast("long").alias("sevens"))
+
+
+@query("WITH s AS (SELECT p_partkey, least(612.0 / (p_size + 100), 792.0 / (p_size * 2 + 50)) AS k, p_size FROM part) SELECT p_partkey, CAST(floor(k * 10000 + 0.3141592653) AS BIGINT) AS scale, CAST(floor((612 - (p_size + 100) * k) / 2 * 10000 + 0.3141592653) AS BIGINT) AS x, CAST(floor((792 - (p_size * 2 + 50) * k) / 2 * 10000 + 0.3141592653) AS BIGINT) AS y FROM s")
+def overlay_placement(spark, sf_dir):
+    size = F.col("p_size").cast("double")
+    zero = F.lit(0.0)
+    m = geometry.placement(geometry.rectangle(zero, zero, size + 100, size * 2 + 50), geometry.rectangle(zero, zero, F.lit(612.0), F.lit(792.0)))
+    whole = lambda x: F.floor(x * 10000 + 0.3141592653)
+    return table(spark, sf_dir, "part").select("p_partkey", m.alias("m")).select("p_partkey", whole(F.col("m.a")).alias("scale"), whole(F.col("m.e")).alias("x"), whole(F.col("m.f")).alias("y"))
+
+
+@query("SELECT p_partkey, CAST((p_size * ch * bits + 7) // 8 AS BIGINT) AS row_bytes, CASE WHEN k = 0 THEN '.png' WHEN k = 1 THEN '.jpg' WHEN k = 2 THEN '.tif' ELSE '.tiff' END AS suffix FROM (SELECT p_partkey, p_size, p_partkey % 4 + 1 AS ch, CASE p_partkey % 2 WHEN 0 THEN 4 ELSE 8 END AS bits, p_partkey % 4 AS k FROM part)")
+def image_extract_kind(spark, sf_dir):
+    key = F.col("p_partkey")
+    k = (key % 4 + 1).cast("int")
+    filters = F.element_at(F.array(F.array(F.lit("/FlateDecode")), F.array(F.lit("/FlateDecode"), F.lit("/DCTDecode")), F.array(F.lit("/CCITTFaxDecode")), F.array(F.lit("/FlateDecode"))), k)
+    mode = F.element_at(F.array(*map(F.lit, ("RGB", "RGB", "1", "CMYK"))), k)
+    return table(spark, sf_dir, "part").select("p_partkey", images.row_bytes(F.col("p_size"), key % 4 + 1, F.when(key % 2 == 0, 4).otherwise(8)).cast("long").alias("row_bytes"), images.extract_kind(filters, F.lit(False), mode).alias("suffix"))
