@@ -5,14 +5,15 @@ with the smallest hash of their id; exact copies in it count once), half of it
 for the dictionaries, half for the thresholds.
 
 * The ordinary dictionary is trained by zstandard on windows of ordinary texts
-  and ends in a filler of ordinary words.
+  and ends in a filler that no window matches.
 * The toxic one has the same beginning and ends, at the same offsets, in what is
   over-represented in toxic texts: word beginnings picked greedily so that every
   toxic text is covered by several of them. Copies of one text add nothing to
   that cover, so the accidental words of a copied text don't get in.
 
 A window is ``width`` words in lower case, set ``REPEAT`` times behind a frame that
-both dictionaries know, so that block headers cost alike. The difference of its
+both dictionaries know, so that block headers cost alike; as nothing follows a word
+but the frame, and matches have five bytes or more, short ends of words match nothing. The difference of its
 two compressed lengths is remembered for frequent windows. A text's counts of
 windows that reach each difference are weighed by a logistic regression, fitted
 on the other half of the sample with the classes' true weights: these are the
@@ -39,7 +40,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.bpe import small_batches
 
-REPEAT, FRAME, REMEMBERED, STEPS = 3, 8, 1 << 18, 10
+REPEAT, REMEMBERED, STEPS = 3, 1 << 18, 10
+#: Begins both dictionaries and each turn of a window; no text's word runs into it.
+FRAME = bytes(range(1, 9))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -55,7 +58,7 @@ def _beginnings(words: Iterable[bytes]) -> set[bytes]:
 
 
 def toxic_beginnings(toxic: list[list[bytes]], ordinary: list[list[bytes]], times: int = 3, most: int = 64) -> list[bytes]:
-    """Word beginnings that are ten times as frequent in toxic texts, picked until each text holds ``times`` of them, or no more help."""
+    """Word beginnings that are ten times as frequent in toxic texts, picked until each text holds ``times`` of them, or none helps one in forty more."""
     held = [_beginnings(x) for x in toxic]
     in_toxic, in_ordinary = Counter(h for x in held for h in x), Counter(h for x in ordinary for h in _beginnings(x))
     where = defaultdict(list)
@@ -64,11 +67,11 @@ def toxic_beginnings(toxic: list[list[bytes]], ordinary: list[list[bytes]], time
             if in_toxic[h] >= 5 and in_toxic[h] * len(ordinary) > 10 * (in_ordinary[h] + 0.5) * len(toxic):
                 where[h].append(i)
     need, picked = np.full(len(toxic), times), []
-    cost = 2 * len(toxic) / max(1, len(ordinary))
+    cost, least = 6 * len(toxic) / max(1, len(ordinary)), max(5, len(toxic) // 40)
     while where and len(picked) < most:
         gain = {h: int((need[at] > 0).sum()) for h, at in where.items()}
         best = max(gain, key=lambda h: (gain[h] - cost * in_ordinary[h], len(h), h))
-        if gain[best] < 5:
+        if gain[best] - cost * in_ordinary[best] < least:
             break
         need[where[best]] -= 1
         picked.append(best)
@@ -109,7 +112,7 @@ class Distance:
         """How many bytes the toxic dictionary saves on each window."""
         if self._tools is None:
             made = [zs.ZstdCompressionDict(x, dict_type=zs.DICT_TYPE_RAWCONTENT) for x in (self.ordinary, self.toxic)]
-            params = [zs.ZstdCompressionParameters(compression_level=19, strategy=zs.STRATEGY_LAZY2, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False) for _ in made]
+            params = [zs.ZstdCompressionParameters(compression_level=19, strategy=zs.STRATEGY_LAZY2, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False) for _ in made]
             self._tools, self._known = tuple(zs.ZstdCompressor(dict_data=d, compression_params=p) for d, p in zip(made, params, strict=True)), ({}, {})
         young, old = self._known
         new = [w for w in set(wins) if w not in young]
@@ -119,8 +122,7 @@ class Distance:
                 self._known = young, old
             unseen = [w for w in new if w not in old]
             young.update((w, old[w]) for w in new if w in old)
-            frame = self.ordinary[FRAME : 2 * FRAME]
-            parts = [(frame + b" " + w + b" ") * REPEAT for w in unseen]
+            parts = [(FRAME + b" " + w) * REPEAT for w in unseen]
             for at in range(0, len(parts), 4096):
                 some = parts[at : at + 4096]
                 sizes = np.fromiter(map(len, some), np.uint64, len(some))
@@ -132,11 +134,11 @@ class Distance:
         return np.fromiter((young[w] for w in wins), np.int64, len(wins))
 
     def features(self, text: str | None) -> np.ndarray:
-        """The logarithm of how many windows save 2, 3, ... bytes or more, and of how many there are."""
+        """The logarithm of how many windows save 2, 3, ... bytes or more, and, if any saves 3, of how many there are."""
         wins = windows(words_of(text), self.width)
         saved = np.clip(self.of(wins), 0, STEPS) if wins else np.zeros(0, np.int64)
         over = np.bincount(saved, minlength=STEPS + 1)[::-1].cumsum()[::-1][2:]
-        return np.log1p(np.append(over, len(wins)))
+        return np.log1p(np.append(over, len(wins) if over[1] else 0))
 
 
 @dataclass
@@ -159,9 +161,8 @@ class Model:
         bad, good = ([words_of(t) for t in x] for x in (toxic, ordinary))
         half_bad, half_good = max(1, len(bad) // 2), max(1, len(good) // 2)
         picked = toxic_beginnings(bad[:half_bad], good[:half_good])
-        base, tail = _trained(good[:half_good], size), b" " + b" ".join(reversed(picked))
-        filler = (b" " + b" ".join(w for x in good[half_good:] or good for w in x)).ljust(len(tail))[: len(tail)]
-        distance = Distance(base + filler, base + tail, width)
+        base, tail = FRAME + _trained(good[:half_good], size), b" " + b" ".join(reversed(picked))
+        distance = Distance(base + b"\x0e" * len(tail), base + tail, width)
         rest = [toxic[half_bad:] or toxic, ordinary[half_good:] or ordinary]
         x = np.array([np.append(distance.features(t), 1.0) for part in rest for t in part])
         y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
