@@ -339,10 +339,10 @@ def authors_join(spark, sf_dir):
     return chats.groupBy("conv_id").agg(F.nullif(joined, F.lit("")).alias("authors"))
 
 
-@query("WITH d AS (SELECT conv_id AS doc_id, CASE turn % 3 WHEN 0 THEN '/Author' WHEN 1 THEN '/Title' ELSE '/Own' || turn END AS key, role AS value FROM conversations WHERE turn < 6), x AS (SELECT DISTINCT conv_id AS doc_id, '/Author' AS key, 'A; B' AS value FROM conversations WHERE conv_id % 2 = 0) SELECT doc_id, key, value FROM d WHERE key NOT IN ('/Author', '/Title') UNION ALL SELECT doc_id, key, value FROM x")
+@query("WITH d AS (SELECT conv_id AS doc_id, CASE turn % 3 WHEN 0 THEN '/Author' WHEN 1 THEN '/Title' ELSE '/Own' || turn END AS key, role AS value FROM conversations), x AS (SELECT DISTINCT conv_id AS doc_id, '/Author' AS key, 'A; B' AS value FROM conversations WHERE conv_id % 2 = 0) SELECT doc_id, key, value FROM d WHERE key NOT IN ('/Author', '/Title') UNION ALL SELECT doc_id, key, value FROM x")
 def docinfo_sync(spark, sf_dir):
     chats = table(spark, sf_dir, "conversations")
-    info = chats.where("turn < 6").select(F.col("conv_id").alias("doc_id"), F.expr("case turn % 3 when 0 then '/Author' when 1 then '/Title' else concat('/Own', turn) end").alias("key"), F.col("role").alias("value"))
+    info = chats.select(F.col("conv_id").alias("doc_id"), F.expr("case turn % 3 when 0 then '/Author' when 1 then '/Title' else concat('/Own', turn) end").alias("key"), F.col("role").alias("value"))
     xmp = chats.where("conv_id % 2 = 0").select(F.col("conv_id").alias("doc_id"), F.lit("dc:creator").alias("name"), F.array(F.lit("A"), F.lit(None).cast("string"), F.lit("B")).alias("values")).distinct()
     return metadata.docinfo_from_xmp(info, xmp)
 
@@ -353,12 +353,12 @@ def namepath_get_default(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(values.at_path(props, ["k"], "bigint"), F.lit(-1).cast("long")).alias("k"), F.coalesce(values.at_path(props, ["missing"], "bigint"), F.lit(-1).cast("long")).alias("missing"))
 
 
-_TOKENS = "t AS (SELECT doc_id, generate_subscripts(w, 1) AS seq, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE length(text) < 2000))"
+_TOKENS = "t AS (SELECT doc_id, generate_subscripts(w, 1) AS seq, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"
 
 
 def _tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) < 2000")
-    return docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("seq", "operator")).select("doc_id", F.lit(0).alias("page_index"), F.col("seq") + 1, "operator").toDF("doc_id", "page_index", "seq", "operator")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "operator"))
+    return words.select("doc_id", F.lit(0).alias("page_index"), (F.col("at") + 1).alias("seq"), "operator")
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, seq, word FROM t WHERE word IN ('q', 'the', 'de') OR left(word, 1) IN ('q', 'Q')")
