@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.sanitizer import edited
 from quire.sources.content import instructions, unparse_instructions
+from quire.sources.crypt import Encryption
 from quire.sources.document import Document
 from quire.sources.edit import Editor, page_numbers
 from quire.sources.values import Name, Stream
@@ -58,8 +59,12 @@ class Job:
     def linearize(self) -> Job:
         return self._set("linearize", True)
 
-    def encrypt(self) -> Job:
-        return self._set("encrypt", True)
+    def encrypt(self, owner: str = "", user: str = "", revision: int = 6, aes: bool = True, metadata: bool = True, denied: tuple[str, ...] = ()) -> Job:
+        return self._set("encrypt", {"owner": owner, "user": user, "revision": revision, "aes": aes, "metadata": metadata, "denied": sorted(denied)})
+
+    def password(self, password: str) -> Job:
+        """Of the inputs; what is written is plain unless it is encrypted anew."""
+        return self._set("password", password)
 
     def min_version(self, version: str) -> Job:
         return self._set("min_version", version)
@@ -96,7 +101,7 @@ class Job:
 
     def options(self) -> Options:
         s = self.spec
-        return Options(compress=not s.get("uncompressed", False), level=s.get("compress", -1), normalize=s.get("normalize", False), linearize=s.get("linearize", False), encrypt=s.get("encrypt", False), static_id=s.get("static_id", False), min_version=s.get("min_version", ""), force_version=s.get("force_version", ""))
+        return Options(compress=not s.get("uncompressed", False), level=s.get("compress", -1), normalize=s.get("normalize", False), linearize=s.get("linearize", False), encrypt=Encryption(**s["encrypt"] | {"denied": frozenset(s["encrypt"]["denied"])}) if "encrypt" in s else None, static_id=s.get("static_id", False), min_version=s.get("min_version", ""), force_version=s.get("force_version", ""))
 
     def check(self) -> None:
         """Raises what can be known to be wrong before any document is read."""
@@ -144,17 +149,17 @@ class Job:
         self.check()
         if "split" in self.spec:
             return self._parts(files)
-        return edited(files, self.edit, self.options())
+        return edited(files, self.edit, self.options(), self.spec.get("password", ""))
 
     def _parts(self, files: DataFrame) -> DataFrame:
-        size, options, change = self.spec["split"], self.options(), self.edit
+        size, options, change, password = self.spec["split"], self.options(), self.edit, self.spec.get("password", "").encode()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     path, rows = batch.column(0)[i].as_py(), []
                     try:
-                        whole = Editor(batch.column(1)[i].as_py() or b"")
+                        whole = Editor(batch.column(1)[i].as_py() or b"", password)
                         change(whole)
                         n = len(whole.pages())
                         for part, first in enumerate(range(0, n, size)):
@@ -174,12 +179,12 @@ class Job:
         A merged file is one value, so its inputs meet in one task; targets are many.
         """
         self.check()
-        options, change, turn = self.options(), self.edit, self.spec.get("collate")
+        options, change, turn, password = self.options(), self.edit, self.spec.get("collate"), self.spec.get("password", "").encode()
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             out = why = None
             try:
-                inputs = [Editor(r["content"]) for r in sorted(rows.to_pylist(), key=lambda r: r["seq"])]
+                inputs = [Editor(r["content"], password) for r in sorted(rows.to_pylist(), key=lambda r: r["seq"])]
                 e = Editor()
                 if turn:
                     longest = max(len(x.pages()) for x in inputs)
@@ -200,4 +205,4 @@ class Job:
 
 
 _REMOVED = {"metadata": ("/Metadata",), "info": (), "acroform": ("/AcroForm",), "structure": ("/StructTreeRoot", "/MarkInfo"), "page_labels": ("/PageLabels",)}
-_KNOWN = {"pages", "split", "collate", "rotate", "compress", "uncompressed", "normalize", "coalesce", "linearize", "encrypt", "min_version", "force_version", "static_id", "remove", "labels", "attach", "detach", "overlay"}
+_KNOWN = {"pages", "split", "collate", "rotate", "compress", "uncompressed", "normalize", "coalesce", "linearize", "encrypt", "password", "min_version", "force_version", "static_id", "remove", "labels", "attach", "detach", "overlay"}

@@ -74,7 +74,7 @@ class Sanitizer:
         return edited(files, self.edit, options)
 
 
-def edited(files: DataFrame, change: Callable[[Editor], None], options: Options = Options()) -> DataFrame:
+def edited(files: DataFrame, change: Callable[[Editor], None], options: Options = Options(), password: str = "") -> DataFrame:
     """Each file of ``path, content`` changed by itself; narrow, a file at a time."""
     if problem := options.problem():
         raise ValueError(problem)
@@ -84,7 +84,7 @@ def edited(files: DataFrame, change: Callable[[Editor], None], options: Options
             for i in range(batch.num_rows):
                 out = why = None
                 try:
-                    e = Editor(batch.column(1)[i].as_py() or b"")
+                    e = Editor(batch.column(1)[i].as_py() or b"", password.encode())
                     change(e)
                     out = e.bytes(options)
                 except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as x:

@@ -27,7 +27,7 @@ class Files(InputPartition):
 
 
 class PagesSource(DataSource):
-    """Options: ``path`` (a pattern), ``table``, ``filesPerTask``, ``recover``, ``operators``."""
+    """Options: ``path`` (a pattern), ``table``, ``filesPerTask``, ``recover``, ``password``, ``operators``."""
 
     @classmethod
     def name(cls) -> str:
@@ -58,7 +58,7 @@ class PagesReader(DataSourceReader):
         more = {"operators": self.options.get("operators", "")} if table == "instructions" else {}
         for name in partition.paths:
             with open(name, "rb") as f:
-                yield from tables.rows_of(name, f.read(), table, self.options.get("recover", "true") != "false", **more)
+                yield from tables.rows_of(name, f.read(), table, self.options.get("recover", "true") != "false", self.options.get("password", ""), **more)
 
 
 @F.udtf(returnType="seq: int, operator: string, operands: array<string>")

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 from quire.sources import filters
+from quire.sources.crypt import Handler, WrongPassword
 from quire.sources.values import Malformed, Name, Operator, Reader, Ref, Stream
 
 _OBJ = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+obj(?![a-zA-Z])")
@@ -24,10 +25,6 @@ class Entry:
     index: int = 0
 
 
-class Encrypted(Malformed):
-    """The file is encrypted, and no cipher is at hand."""
-
-
 @dataclass
 class Document:
     """An opened file. Objects are read when asked for; ``warnings`` tells what was wrong."""
@@ -35,6 +32,8 @@ class Document:
     data: bytes
     recover: bool = True
     use_streams: bool = True
+    password: bytes = b""
+    handler: Handler | None = None
     version: str = ""
     trailer: dict = field(default_factory=dict)
     entries: dict[tuple[int, int], Entry] = field(default_factory=dict)
@@ -54,8 +53,11 @@ class Document:
             for (number, _), e in self.entries.items():
                 if e.kind == 1 and not ((m := _OBJ.match(self.data, Reader(self.data, e.offset).skip())) and int(m[1]) == number):
                     raise Malformed(f"object {number} isn't where it should be")
+            self._unlock()
             if not isinstance(self.get(self.trailer.get("/Root")), dict):
                 raise Malformed("there is no catalog")
+        except WrongPassword:
+            raise
         except (Malformed, ValueError, KeyError, IndexError, TypeError, RecursionError) as e:
             if not self.recover:
                 raise Malformed(str(e)) from None
@@ -65,6 +67,16 @@ class Document:
         if isinstance(root, dict) and isinstance(v := root.get("/Version"), Name) and v[1:] > self.version:
             self.version = v[1:]
 
+    def _unlock(self) -> None:
+        """The security handler, if there is one."""
+        if "/Encrypt" in self.trailer:
+            self._objects = {}
+            head = self.get(self.trailer["/Encrypt"])
+            ids = self.get(self.trailer.get("/ID")) or [b""]
+            head = {k: self.get(v) for k, v in head.items()}
+            handler, self._objects, self._packed = Handler.open(head, self.get(ids[0]), self.password), {}, {}
+            self.handler = handler
+
     @property
     def encrypted(self) -> bool:
         return "/Encrypt" in self.trailer
@@ -160,6 +172,7 @@ class Document:
         if "/Root" not in trailer:
             raise Malformed("there is no catalog")
         self.trailer = {k: v for k, v in trailer.items() if k not in ("/Prev", "/XRefStm")}
+        self._unlock()
 
     def _indirect(self, m: re.Match):
         r = Reader(self.data, m.end())
@@ -199,6 +212,8 @@ class Document:
         try:
             if entry and entry.kind == 1 and (m := _OBJ.match(self.data, Reader(self.data, entry.offset).skip())):
                 out = self._indirect(m)
+                if self.handler and value != self.trailer.get("/Encrypt"):
+                    out = self.handler.value(out, *key)
             elif entry and entry.kind == 2:
                 out = self._pack(entry.stream)[1][entry.index].value()
         except (Malformed, IndexError, KeyError, TypeError) as e:

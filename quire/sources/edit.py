@@ -38,7 +38,7 @@ def page_numbers(spec: str, n: int) -> list[int]:
 class Editor:
     """A document's objects, to be changed and written."""
 
-    def __init__(self, data: bytes | None = None):
+    def __init__(self, data: bytes | None = None, password: bytes = b""):
         self.objects: dict[tuple[int, int], object] = {}
         self.trailer: dict = {}
         self.version = "1.7"
@@ -46,14 +46,12 @@ class Editor:
             self.trailer[Name("/Root")] = self.add({Name("/Type"): Name("/Catalog"), Name("/Pages"): Ref(2)})
             self.add({Name("/Type"): Name("/Pages"), Name("/Kids"): [], Name("/Count"): 0})
         else:
-            doc = Document(data)
-            if doc.encrypted:
-                raise ValueError("the file is encrypted")
+            doc = Document(data, password=password)
             for n, g, v in doc.objects():
                 head = v.head if isinstance(v, Stream) else v
                 if v is not None and not (isinstance(head, dict) and head.get("/Type") in ("/XRef", "/ObjStm")):
                     self.objects[n, g] = v
-            self.trailer, self.version = dict(doc.trailer), doc.version or "1.7"
+            self.trailer, self.version = {k: v for k, v in doc.trailer.items() if k != "/Encrypt"}, doc.version or "1.7"
             self._flat(doc)
 
     def _flat(self, doc: Document) -> None:

@@ -18,7 +18,7 @@ from quire.sources.document import Document
 from quire.sources.values import Malformed, Name, Real, Ref, Stream, decode_text, tag, to_json, unparse
 
 SCHEMAS = {
-    "docs": "path string, version string, encrypted boolean, linearized boolean, rebuilt boolean, n_pages int, n_objects int, trailer string, warnings array<string>, problem string",
+    "docs": "path string, version string, encrypted boolean, encryption struct<revision:int,strings:string,streams:string,bits:int,by_user:boolean,by_owner:boolean,allowed:array<string>>, linearized boolean, rebuilt boolean, n_pages int, n_objects int, trailer string, warnings array<string>, problem string",
     "objects": "path string, obj int, gen int, tag string, value string, raw binary, kind int, offset bigint, stream int, index int",
     "refs": "path string, obj int, gen int, at string, to_obj int, to_gen int",
     "pages": "path string, page_index int, obj int, gen int, mediabox array<double>, cropbox array<double>, rotate int, label string, resources string",
@@ -48,7 +48,9 @@ def _numbers(doc: Document, value) -> list[float] | None:
 
 def _docs(doc: Document) -> Iterator[tuple]:
     n = len(doc.pages())
-    yield doc.version, doc.encrypted, doc.linearized, doc.rebuilt, n, len(doc.entries), to_json(doc.trailer), list(doc.warnings), None
+    h = doc.handler
+    how = {"revision": h.revision, "strings": h.strings, "streams": h.streams, "bits": 8 * len(h.key), "by_user": h.by_user, "by_owner": h.by_owner, "allowed": sorted(k for k, ok in h.allowed().items() if ok)} if h else None
+    yield doc.version, doc.encrypted, how, doc.linearized, doc.rebuilt, n, len(doc.entries), to_json(doc.trailer), list(doc.warnings), None
 
 
 def _objects(doc: Document) -> Iterator[tuple]:
@@ -278,21 +280,19 @@ def _problems(doc: Document) -> Iterator[tuple]:
 _ROWS: dict[str, Callable] = {"docs": _docs, "objects": _objects, "refs": _refs, "pages": _pages, "instructions": _instructions, "annotations": _annotations, "actions": _actions, "outline": _outline, "fields": _fields, "names": _names, "docinfo": _docinfo, "xmp": _xmp, "attachments": _attachments, "images": _images, "problems": _problems}
 
 
-def rows_of(path: str, data: bytes, table: str, recover: bool = True, **options) -> list[tuple]:
+def rows_of(path: str, data: bytes, table: str, recover: bool = True, password: str = "", **options) -> list[tuple]:
     """A table's rows of one file. An unreadable file has one row in ``docs`` and ``problems``, and none elsewhere."""
     try:
-        doc = Document(data, recover)
-        if doc.encrypted and table not in ("docs", "problems"):
-            raise Malformed("the file is encrypted")
+        doc = Document(data, recover, password=password.encode())
         return [(path, *row) for row in _ROWS[table](doc, **options)]
     except (Malformed, ValueError, TypeError, KeyError, AttributeError, RecursionError) as e:
         if table == "docs":
-            return [(path, None, None, None, None, None, None, None, [], f"{type(e).__name__}: {e}")]
+            return [(path, None, None, None, None, None, None, None, None, [], f"{type(e).__name__}: {e}")]
         return [(path, None, f"{type(e).__name__}: {e}")] if table == "problems" else []
 
 
-def tables(files: DataFrame, table: str, recover: bool = True, operators: str = "") -> DataFrame:
-    """A table of all ``files`` (``path, content``). ``operators``: those of ``instructions`` that are wanted."""
+def tables(files: DataFrame, table: str, recover: bool = True, password: str = "", operators: str = "") -> DataFrame:
+    """A table of all ``files`` (``path, content``). ``operators``: those of ``instructions`` that are wanted; ``password``: of encrypted files."""
     schema = StructType.fromDDL(SCHEMAS[table])
     options = {"operators": operators} if table == "instructions" else {}
 
@@ -303,7 +303,7 @@ def tables(files: DataFrame, table: str, recover: bool = True, operators: str =
         for batch in batches:
             for i in range(batch.num_rows):  # one file's rows at a time
                 path, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                rows = rows_of(path, data or b"", table, recover, **options)
+                rows = rows_of(path, data or b"", table, recover, password, **options)
                 for at in range(0, len(rows), 4096):
                     part = rows[at : at + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(arrow)], schema=arrow)

@@ -6,6 +6,7 @@ import hashlib
 from dataclasses import dataclass
 
 from quire.sources import filters
+from quire.sources.crypt import Encryption
 from quire.sources.values import Name, Ref, Stream, unparse
 
 
@@ -18,7 +19,7 @@ class Options:
     decode: str = "generalized"
     normalize: bool = False
     linearize: bool = False
-    encrypt: bool = False
+    encrypt: Encryption | None = None
     static_id: bool = False
     min_version: str = ""
     force_version: str = ""
@@ -26,18 +27,21 @@ class Options:
     def problem(self) -> str | None:
         if self.encrypt and (self.normalize or self.decode not in ("none", "generalized")):
             return "encryption excludes normalized content and other decode levels"
+        if self.encrypt and (problem := self.encrypt.problem()):
+            return problem
         if self.normalize and self.linearize:
             return "linearized files can't have normalized content"
-        if self.linearize or self.encrypt:
-            return "this writer neither linearizes nor encrypts"
+        if self.linearize:
+            return "this writer doesn't linearize"
         if not -1 <= self.level <= 9:
             return "a compression level is -1 to 9"
         return None
 
 
-def _written(value, options: Options) -> bytes:
+def _ready(value, options: Options):
+    """A value as it is written: streams compressed or decoded, with their length."""
     if not isinstance(value, Stream):
-        return unparse(value)
+        return value
     head, raw = dict(value.head), value.raw
     if options.compress and "/Filter" not in head:
         raw = filters.encode_flate(raw, options.level)
@@ -48,8 +52,13 @@ def _written(value, options: Options) -> bytes:
         if left:
             head[Name("/Filter")] = [n for n, _ in left]
             head[Name("/DecodeParms")] = [p or None for _, p in left]
-    head[Name("/Length")] = len(raw)
-    return unparse(head) + b"\nstream\n" + raw + b"\nendstream"
+    return Stream(head, raw)
+
+
+def _written(value) -> bytes:
+    if not isinstance(value, Stream):
+        return unparse(value)
+    return unparse(value.head | {Name("/Length"): len(value.raw)}) + b"\nstream\n" + value.raw + b"\nendstream"
 
 
 def write(objects: dict[tuple[int, int], object], trailer: dict, version: str = "1.7", options: Options = Options()) -> bytes:
@@ -57,18 +66,30 @@ def write(objects: dict[tuple[int, int], object], trailer: dict, version: str =
     if problem := options.problem():
         raise ValueError(problem)
     version = options.force_version or max(version or "1.7", options.min_version)
+    ready = {k: _ready(v, options) for k, v in sorted(objects.items())}
+    whole = hashlib.md5()
+    for (number, gen), value in ready.items():
+        whole.update(b"%d %d " % (number, gen) + _written(value))
+    digest = b"\x31\x41\x59\x26\x53\x58\x97\x93" * 2 if options.static_id else whole.digest()
+    first = trailer.get("/ID")
+    ids = [first[0] if isinstance(first, list) and first else digest, digest]
+    head = {k: v for k, v in trailer.items() if k in ("/Root", "/Info")}
+    if options.encrypt:
+        rules, handler = options.encrypt.start(ids[0], digest if options.static_id else b"")
+        ready = {k: handler.value(v, *k, encrypt=True) for k, v in ready.items()}
+        own = max((n for n, _ in ready), default=0) + 1
+        ready[own, 0] = rules
+        head[Name("/Encrypt")] = Ref(own)
     out, places = bytearray(f"%PDF-{version}\n%".encode() + b"\xbf\xf7\xa2\xfe\n"), {}
-    for (number, gen), value in sorted(objects.items()):
+    for (number, gen), value in ready.items():
         places[number] = (len(out), gen)
-        out += b"%d %d obj\n" % (number, gen) + _written(value, options) + b"\nendobj\n"
-    digest = b"\x31\x41\x59\x26\x53\x58\x97\x93" * 2 if options.static_id else hashlib.md5(bytes(out)).digest()
-    first = trailer.get("/ID")
+        out += b"%d %d obj\n" % (number, gen) + _written(value) + b"\nendobj\n"
     size, at = max(places, default=0) + 1, len(out)
     lines = [b"0000000000 65535 f \n"]
     for number in range(1, size):
         offset, gen = places.get(number, (0, 0))
         lines.append(b"%010d %05d n \n" % (offset, gen) if number in places else b"0000000000 00000 f \n")
-    head = {k: v for k, v in trailer.items() if k in ("/Root", "/Info")} | {Name("/Size"): size, Name("/ID"): [first[0] if isinstance(first, list) and first else digest, digest]}
+    head |= {Name("/Size"): size, Name("/ID"): ids}
     return bytes(out) + b"xref\n0 %d\n" % size + b"".join(lines) + b"trailer " + unparse(head) + b"\nstartxref\n%d\n%%%%EOF\n" % at
 
 

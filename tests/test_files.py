@@ -479,3 +479,49 @@ def test_form_functions(spark):
     assert path == forms.Path("/Root", "Kids", -1, "Name")
     tree = spark.createDataFrame([('{"/Root":{"/Kids":[{"/Name":"u:x"},{"/Name":"u:y"}]}}',), ("{}",)], "j string")
     assert [x[0] for x in tree.select(path.of(F.col("j"))).collect()] == ["u:y", None]
+
+
+def test_ciphers():
+    from quire.sources import crypt
+
+    # The examples of the standards.
+    assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for key, coded in (("000102030405060708090a0b0c0d0e0f", "69c4e0d86a7b0430d8cdb78070b4c55a"), ("000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f", "8ea2b7ca516745bfeafc49904b496089")):
+        assert crypt.aes_encrypt(bytes.fromhex(key), bytes(16), plain).hex() == coded
+        assert crypt.aes_decrypt(bytes.fromhex(key), bytes(16), bytes.fromhex(coded)) == plain
+    data = bytes(range(256)) * 3
+    assert crypt.aes_decrypt(b"k" * 16, b"i" * 16, crypt.aes_encrypt(b"k" * 16, b"i" * 16, data)) == data
+
+
+@pytest.mark.parametrize(("revision", "aes"), [(2, False), (3, False), (4, False), (4, True), (5, True), (6, True)])
+def test_encrypted_files(spark, revision, aes):
+    from quire.sources.crypt import Encryption, WrongPassword
+
+    rules = Encryption("boss", "me", revision, aes, True, frozenset({"extract"}))
+    data = sample().bytes(Options(encrypt=rules, static_id=True))
+    assert b"A title" not in data and b"page 2" not in data
+    for password, owner in ((b"me", False), (b"boss", True)):
+        doc = Document(data, password=password)
+        assert b"(page 2) Tj" in doc.content(doc.pages()[2][1]) and doc.get(doc.get(doc.trailer["/Info"])["/Title"]) == b"A title"
+        assert doc.handler.by_owner == owner and doc.handler.allowed()["extract"] == owner and doc.handler.allowed()["print_highres"]
+    with pytest.raises(WrongPassword):
+        Document(data, password=b"other")
+    if revision == 6:
+        df = spark.createDataFrame([("x", bytearray(data))], "path string, content binary")
+        assert tables.tables(df, "docs").first().problem and tables.tables(df, "pages").count() == 0
+        assert tables.tables(df, "docs", password="me").first().encryption.streams == "aes256" and tables.tables(df, "pages", password="me").count() == 4
+        plain = Job().password("boss").run(df).first()
+        assert len(Document(bytes(plain.content)).pages()) == 4 and not Document(bytes(plain.content)).encrypted
+        again = Job().password("boss").encrypt(user="new", revision=4).run(df).first()
+        assert Document(bytes(again.content), password=b"new").handler.streams == "aes128"
+
+
+def test_encryption_rules():
+    from quire.sources.crypt import Encryption
+
+    for bad in (Encryption(revision=1), Encryption(revision=3, aes=True), Encryption(revision=6, aes=False), Encryption(revision=3, aes=False, metadata=False), Encryption(denied=frozenset({"x"}))):
+        with pytest.raises(ValueError):
+            sample().bytes(Options(encrypt=bad))
+    with pytest.raises(ValueError):
+        sample().bytes(Options(encrypt=Encryption(), normalize=True))
