@@ -546,6 +546,68 @@ class Editor:
                 w[Name("/AP")] = {Name("/N"): self.add(Stream(head, look))}
         return warning
 
+    def rename_field(self, name: str, new: str) -> None:
+        """A field's own (last) name; another field of its parent may not have it."""
+        fields = self.fields()
+        full = ".".join([*name.split(".")[:-1], new])
+        if full in fields:
+            raise ValueError(f"there is a field {full}")
+        fields[name]["field"][Name("/T")] = new
+
+    def remove_fields(self, names: Iterable[str]) -> None:
+        """Fields with their widgets; parents left without kids go too."""
+        gone = {id(self.fields()[n]["field"]) for n in names}
+
+        def pruned(refs: list) -> list:
+            out = []
+            for ref in refs:
+                f = self.get(ref)
+                if id(f) in gone:
+                    widgets.update(map(id, [f, *map(self.get, self.get(f.get("/Kids")) or [])]))
+                    continue
+                if isinstance(kids := self.get(f.get("/Kids")) if isinstance(f, dict) else None, list):
+                    left = pruned(kids)
+                    if not left:
+                        continue
+                    f[Name("/Kids")] = left
+                out.append(ref)
+            return out
+
+        widgets: set[int] = set()
+        form = self.get(self.root.get("/AcroForm")) or {}
+        form[Name("/Fields")] = pruned(self.get(form.get("/Fields")) or [])
+        for ref in self.pages():
+            page = self.get(ref)
+            if isinstance(notes := self.get(page.get("/Annots")), list):
+                page[Name("/Annots")] = [n for n in notes if id(self.get(n)) not in widgets]
+
+    def disable_signatures(self) -> None:
+        """Signature fields lose their kind and value, the document its marks of being signed."""
+        for got in self.fields().values():
+            if got.get("/FT") == "/Sig":
+                for key in ("/FT", "/V", "/SV", "/Lock"):
+                    got["field"].pop(key, None)
+        self.root.pop("/Perms", None)
+        (self.get(self.root.get("/AcroForm")) or {}).pop("/SigFlags", None)
+
+    def orphaned_widgets(self) -> int:
+        """Widgets on pages that no field of the form leads to."""
+        reached, todo = set(), list(self.get((self.get(self.root.get("/AcroForm")) or {}).get("/Fields")) or [])
+        while todo:
+            f = self.get(todo.pop())
+            if isinstance(f, dict) and id(f) not in reached:
+                reached.add(id(f))
+                todo += self.get(f.get("/Kids")) or []
+        notes = [self.get(n) for ref in self.pages() for n in self.get(self.get(ref).get("/Annots")) or []]
+        return sum(isinstance(n, dict) and n.get("/Subtype") == "/Widget" and id(n) not in reached for n in notes)
+
+    def as_form(self, index: int) -> Ref:
+        """A page's content as a form that others can draw."""
+        doc = Document(self.bytes())
+        page = doc.pages()[index][1]
+        own = self.get(self.pages()[index])
+        return self.add(Stream({Name("/Type"): Name("/XObject"), Name("/Subtype"): Name("/Form"), Name("/BBox"): self.box(own), Name("/Resources"): own.get("/Resources", {})}, doc.content(page)))
+
     def live(self) -> dict[tuple[int, int], object]:
         """The objects that can be reached from the trailer."""
         out: dict = {}

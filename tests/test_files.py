@@ -525,3 +525,24 @@ def test_encryption_rules():
             sample().bytes(Options(encrypt=bad))
     with pytest.raises(ValueError):
         sample().bytes(Options(encrypt=Encryption(), normalize=True))
+
+
+def test_fields_renamed_and_removed():
+    e = Editor(rich())
+    assert e.orphaned_widgets() == 1 and set(e.fields()) == {"a.b"}
+    e.rename_field("a.b", "c")
+    assert set(e.fields()) == {"a.c"}
+    e.remove_fields(["a.c"])
+    assert not e.fields() and not Document(e.bytes()).get(Document(e.bytes()).get(e.root["/AcroForm"])["/Fields"])
+    b = Builder()
+    signed = b.add({N("/Subtype"): N("/Widget"), N("/T"): b"s", N("/FT"): N("/Sig"), N("/V"): {}})
+    b.root[N("/AcroForm")] = {N("/Fields"): [signed], N("/SigFlags"): 3}
+    b.page(b"0 0 5 5 re f", Annots=[signed])
+    e = Editor(b.bytes())
+    with pytest.raises(ValueError):
+        e.set_field("s", "x")
+    e.disable_signatures()
+    assert e.fields()["s"].get("/FT") is None and "/SigFlags" not in e.root["/AcroForm"]
+    assert e.get(e.as_form(0)).raw == b"0 0 5 5 re f"
+    e.remove_fields(["s"])
+    assert e.get(e.pages()[0])["/Annots"] == []
