@@ -552,7 +552,7 @@ class Editor:
         full = ".".join([*name.split(".")[:-1], new])
         if full in fields:
             raise ValueError(f"there is a field {full}")
-        fields[name]["field"][Name("/T")] = new
+        fields[name]["field"][Name("/T")] = new.encode() if new.isascii() else b"\xfe\xff" + new.encode("utf-16-be")
 
     def remove_fields(self, names: Iterable[str]) -> None:
         """Fields with their widgets; parents left without kids go too."""
