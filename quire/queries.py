@@ -202,7 +202,7 @@ def transform_rect(spark, sf_dir):
     return made.select("l_orderkey", "l_linenumber", *_sides(F.col("x"), 4))
 
 
-_STEPS = "s AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS seq, CASE l_partkey % 4 WHEN 0 THEN 'q' WHEN 1 THEN 'Q' WHEN 2 THEN 'cm' ELSE 'Do' END AS op, CAST(l_suppkey % 3 + 1 AS DOUBLE) AS sx, CAST(l_linenumber AS DOUBLE) AS tx FROM lineitem)"
+_STEPS = "s AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, CASE l_partkey % 4 WHEN 0 THEN 'q' WHEN 1 THEN 'Q' WHEN 2 THEN 'cm' ELSE 'Do' END AS op, CAST(l_suppkey % 3 + 1 AS DOUBLE) AS sx, CAST(l_linenumber AS DOUBLE) AS tx FROM lineitem)"
 
 
 @query(f"""WITH RECURSIVE {_STEPS}, f AS (
@@ -212,7 +212,7 @@ _STEPS = "s AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_o
   FROM f JOIN s ON s.doc_id = f.doc_id AND s.seq = f.seq + 1)
 SELECT doc_id, seq, round(stack[1][1], 4) AS a, round(stack[1][2], 4) AS e FROM f WHERE op = 'Do'""")
 def ctm_fold(spark, sf_dir):
-    lines = pages.as_pages(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    lines = pages.as_pages(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     zero, one = F.lit(0.0), F.lit(1.0)
     op = F.element_at(F.array(*map(F.lit, ("q", "Q", "cm", "Do"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     steps = lines.select("doc_id", F.lit(0).alias("page_index"), (F.col("page_index") + 1).alias("seq"), op.alias("operator"), F.array((F.col("l_suppkey") % 3 + 1).cast("double"), zero, zero, one, F.col("l_linenumber").cast("double"), zero).alias("operands"), F.lit("/Im0").alias("name"))
