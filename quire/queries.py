@@ -194,7 +194,7 @@ def matrix_inverse(spark, sf_dir):
     return made.select("l_orderkey", "l_linenumber", *_six(F.col("x")))
 
 
-@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem), t AS (SELECT *, [0 * q, 100 * 0 + 0 * q] AS z FROM r) SELECT l_orderkey, l_linenumber, round(10.0 - (q + 20), 4) AS llx, round(20.0, 4) AS lly, round(10.0 - 5, 4) AS urx, round(20.0 + q, 4) AS ury FROM t")
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem), t AS (SELECT *, [0 * q, 100 * 0 + 0 * q] AS z FROM r) SELECT l_orderkey, l_linenumber, round(10.0 - (q + 20), 4) AS llx, CAST(20 AS DOUBLE) AS lly, CAST(5 AS DOUBLE) AS urx, round(20.0 + q, 4) AS ury FROM t")
 def transform_rect(spark, sf_dir):
     q = F.col("l_quantity")
     turn = geometry.matrix(0, 1, -1, 0, 10, 20)
