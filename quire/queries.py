@@ -530,12 +530,12 @@ def resources_unused(spark, sf_dir):
     return content.unused_resources(lines.select("doc_id", "page_index", "name"), used)
 
 
-@query("SELECT o_orderkey, [o_orderkey, 7, 9] AS appended, CAST(CASE WHEN o_orderkey % 10 = 7 THEN 2 ELSE 1 END AS BIGINT) AS sevens FROM orders")
+@query("SELECT o_orderkey, o_orderkey || ',7,9' AS appended, CAST(CASE WHEN o_orderkey % 10 = 7 THEN 2 ELSE 1 END AS BIGINT) AS sevens FROM orders")
 def array_algebra(spark, sf_dir):
     key = F.col("o_orderkey")
     base = F.array(key, F.lit(7).cast("long"))
     tested = F.array((key % 10), F.lit(7).cast("long"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_append(base, F.lit(9).cast("long")).alias("appended"), F.size(F.filter(tested, lambda x: x == 7)).cast("long").alias("sevens"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_append(base, F.lit(9).cast("long")).cast("array<string>"), ",").alias("appended"), F.size(F.filter(tested, lambda x: x == 7)).cast("long").alias("sevens"))
 
 
 @query("WITH s AS (SELECT p_partkey, least(612.0 / (p_size + 100), 792.0 / (p_size * 2 + 50)) AS k, p_size FROM part) SELECT p_partkey, CAST(floor(k * 10000 + 0.3141592653) AS BIGINT) AS scale, CAST(floor((612 - (p_size + 100) * k) / 2 * 10000 + 0.3141592653) AS BIGINT) AS x, CAST(floor((792 - (p_size * 2 + 50) * k) / 2 * 10000 + 0.3141592653) AS BIGINT) AS y FROM s")
