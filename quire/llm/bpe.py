@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: How the public byte-level vocabularies cut a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces whose ids are remembered in each of the cache's two generations.
-CACHED = 1 << 19
+CACHED = 1 << 18
 
 
 def _byte_letters() -> dict[str, int]:
