@@ -193,7 +193,7 @@ def unparse(value) -> bytes:
             raise ValueError("NaN and infinity can't be written")
         return (f"{value:.6f}".rstrip("0").rstrip(".") or "0").encode()
     if isinstance(value, str):
-        value = value.encode("ascii") if value.isascii() else b"\xfe\xff" + value.encode("utf-16-be")
+        value = _coded(value)
     if isinstance(value, (bytes, bytearray)):
         if all(32 <= c <= 126 for c in value):
             return b"(" + re.sub(rb"([()\\])", rb"\\\1", bytes(value)) + b")"
@@ -228,6 +228,11 @@ def decode_text(raw: bytes) -> str | None:
     return "".join(chr(PDFDOC.get(c, c)) for c in raw)
 
 
+def _coded(text: str) -> bytes:
+    """ASCII as it is, else UTF-16 with its mark."""
+    return text.encode() if text.isascii() else b"\xfe\xff" + text.encode("utf-16-be", "surrogatepass")
+
+
 def _tagged(value):
     if isinstance(value, Name) or value is None or isinstance(value, (bool, int)):
         return value
@@ -237,7 +242,7 @@ def _tagged(value):
         return "o:" + value
     if isinstance(value, bytes):
         text = decode_text(value)
-        return "b:" + value.hex() if text is None or not (text.isprintable() and (text.isascii() or value[:2] == b"\xfe\xff")) else "u:" + text
+        return "u:" + text if text is not None and text.isprintable() and _coded(text) == value else "b:" + value.hex()
     if isinstance(value, Ref):
         return f"n:{value.obj} {value.gen} R"
     if isinstance(value, dict):
@@ -257,7 +262,7 @@ def _untagged(x, raw: bytes):
             return Name(x)
         kind, rest = x[:2], x[2:]
         if kind == "u:":
-            return rest.encode("ascii") if rest.isascii() else b"\xfe\xff" + rest.encode("utf-16-be")
+            return _coded(rest)
         if kind == "b:":
             return bytes.fromhex(rest)
         if kind == "n:":
