@@ -169,11 +169,9 @@ def test_syncmers_are_closed_and_context_free(spark):
     first, second = ({(x.at, x.hash) for x in r.a} for r in got)
     assert {(at - 100 + 7, h) for at, h in first if at >= 100} == {(at, h) for at, h in second if at >= 7}
     assert 0.3 < len(first) / 296 < 0.7
-    h = spark.createDataFrame([(" ".join(words[i : i + 5]),) for i in range(296)], "text string")
     pairs = spark.createDataFrame([(i, words[i], words[i + 1]) for i in range(299)], "i long, a string, b string").select("i", F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).collect()
     s = {r[0]: r[1] for r in pairs}
     assert {at for at, _ in first} == {i for i in range(296) if min(s[i + j] for j in range(4)) in (s[i], s[i + 3])}
-    del h
 
 
 def test_syncmer_likeness(spark, empty):

@@ -43,8 +43,7 @@ def test_hash_is_sparks(spark):
 
 
 @pytest.mark.parametrize("bits", [4, 12])
-@pytest.mark.parametrize("block", [1 << 20, 3000])
-def test_links_lose_nothing(spark, monkeypatch, bits, block):
+def test_links_lose_nothing(spark, bits):
     rng = random.Random(5)
     fps = []
     for _ in range(25):
@@ -58,7 +57,6 @@ def test_links_lose_nothing(spark, monkeypatch, bits, block):
     signed = [(f - (1 << 64) if f >> 63 else f, i) for i, f in rows]
     df = spark.createDataFrame(signed, "fp long, rep long")
     pairs = [np.array([[r.a, r.b]]) for r in simhash.links(df, 4, bits).collect()]
-    del block  # the block size is a module constant in the workers; its splitting is tested below
     root = simhash.forest(iter(pairs), len(rows))
     assert dict(enumerate(root.tolist())) == brute_components(rows)
 
