@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
-_EDGE, _END = r"(?<![0-9A-Za-z_.@-])", r"(?![0-9A-Za-z_@]|[.-][0-9])"
+_EDGE, _END = r"(?<![0-9A-Za-z_@])(?<![0-9][.-])", r"(?![0-9A-Za-z_@]|[.-][0-9])"
 PATTERNS = {
-    "email": r"(?<![0-9A-Za-z._%+@-])[0-9A-Za-z._%+-]{1,64}+@[0-9A-Za-z-]++(?:\.[0-9A-Za-z-]++)*\.[A-Za-z]{2,}",
+    "email": r"(?<![0-9A-Za-z._%+@-])[0-9A-Za-z._%+-]++@[0-9A-Za-z-]++(?:\.[0-9A-Za-z-]++)*\.[A-Za-z]{2,}",
     "ip": _EDGE + r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}" + _END,
     "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,

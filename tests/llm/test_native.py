@@ -123,6 +123,14 @@ def test_what_is_not_valid_stays(spark):
     assert [got[i].text for i in range(len(given))] == given and not any(got[i].pii for i in range(len(given)))
 
 
+def test_values_beside_junk(spark):
+    card, mail = "4785380592391139", "ahrk.19@mail1.example.com"
+    given = [f"end.{card}$$$ x", f"a-{card}-b", f"###{mail}%%%", "%" * 90 + mail, f"<{mail}>", "v1.70.123.182.155", "is 70.123.182.155.", "COST&&&+1 (743) 555-3824###"]
+    got = values(spark, given)
+    assert [bool(got[i].pii) for i in range(len(given))] == [True, True, True, True, True, False, True, True]
+    assert all(card not in got[i].text and mail not in got[i].text for i in range(len(given)))
+
+
 def test_values_within_texts(spark):
     card = "4785380592391139"
     got = values(spark, [f"{card}, {card}\n{card}.", f"Card {card} and 4111111111111111 and 12.", "mail x.y@mail.example.com, or 1.2.3.4!"])
