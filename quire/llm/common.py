@@ -27,6 +27,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands 1,000 rows at a time to Python unless it was told another number.
+
+    Texts are long: the usual 10,000 rows hold tens of MB, several times over in each
+    executor's and worker's memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
 def held_out(doc_id: str, mod: int, rest: int) -> Column:
     """True where crc32 of the id's text leaves ``rest``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod == rest, F.lit(False))

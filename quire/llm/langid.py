@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import small_batches
+from quire.llm.common import modest_batches
 
 #: ISO 639-1 codes of closely related languages.
 FAMILIES = {
@@ -137,7 +138,7 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
             x = [grams(t).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2), batch.column(3)], ["lang", "x", "place", "id"])
 
-    made = sample.mapInArrow(run, f"lang string, x binary, place bigint, id {docs.schema[id_col].dataType.simpleString()}")
+    made = modest_batches(sample).mapInArrow(run, f"lang string, x binary, place bigint, id {docs.schema[id_col].dataType.simpleString()}")
     # The limit only holds the bound where ids repeat: by hash, so about per_language rows of each are expected.
     got = made.orderBy("place", "id", "x").limit(2 * per_language * len(counts)).collect()
     if not got:
@@ -154,4 +155,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             said = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return modest_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import small_batches
-from quire.llm.common import saved
+from quire.llm.common import modest_batches, saved
 
 _SETS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t", "line": b"\n", "stop": b".,;:?", "shout": b"!", "bar": b"|", "symbol": b"#$%&*<>=@\\^_~{}[]+/", "quote": b"\"'()-`"}
 NAMES = ["log_bytes", *(f"share_{k}" for k in _SETS), "share_wide", "log_words", "word_length", "word_spread", "distinct_words", "distinct_lines", "top_word", "log_longest", "log_line"]
@@ -75,7 +75,7 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [id_col, "x"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+    return modest_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, x array<double>")
 
 
 @dataclass
@@ -166,4 +166,4 @@ def accepted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
             score = model.score(np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES)))
             yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return modest_batches(docs).mapInArrow(run, docs.schema)

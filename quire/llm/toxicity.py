@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import small_batches
+from quire.llm.common import modest_batches
 
 REPEAT, REMEMBERED, STEPS = 3, 1 << 18, 10
 #: Begins both dictionaries and each turn of a window; no text's word runs into it.
@@ -198,5 +199,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             said = [shared.value.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.float64())], [id_col, "score"])
 
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    scored = modest_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

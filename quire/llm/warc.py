@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import small_batches
+from quire.llm.common import modest_batches
 
 #: HTML's block elements.
 BLOCKS = "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -115,7 +116,7 @@ def derive(responses: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], FIELDS)
 
     kind = responses.schema["id"].dataType.simpleString()
-    return responses.select("id", "record_id", "uri", "date", "headers", "payload").mapInArrow(run, f"id {kind}, type string, record_id string, refers_to string, uri string, content_type string, content_length bigint, block_digest string, source_digest string, record binary")
+    return modest_batches(responses).select("id", "record_id", "uri", "date", "headers", "payload").mapInArrow(run, f"id {kind}, type string, record_id string, refers_to string, uri string, content_type string, content_length bigint, block_digest string, source_digest string, record binary")
 
 
 def digest(records: DataFrame) -> DataFrame:
