@@ -14,20 +14,25 @@ ROMAN = {
 }
 
 
-def roman(n: Column) -> Column:
-    """1 to 5000 in upper case; null outside."""
-    parts = [F.get(F.array(*map(F.lit, words)), ((n / place).cast("int") if place == 1000 else ((n % (place * 10)) / place).cast("int"))) for place, words in ROMAN.items()]
+def roman(n: Column, small: Column | None = None) -> Column:
+    """1 to 5000, in lower case where ``small``; null outside."""
+    after = F.lit(0) if small is None else F.when(small, 1).otherwise(0)
+    parts = []
+    for place, words in ROMAN.items():
+        digit = F.floor(n / place) if place == 1000 else F.floor(n % (place * 10) / place)
+        parts.append(F.get(F.array(*map(F.lit, words), *(F.lit(w.lower()) for w in words)), (digit + after * len(words)).cast("int")))
     return F.when(n.between(1, 5000), F.concat(*parts))
 
 
-def alpha(n: Column) -> Column:
-    """Bijective base 26 from 1 (A, ..., Z, AA, AB, ...); null below 1."""
+def alpha(n: Column, small: Column | None = None) -> Column:
+    """Bijective base 26 from 1 (A, ..., Z, AA, AB, ...), in lower case where ``small``; null below 1."""
+    first = F.lit(65) if small is None else F.when(small, 97).otherwise(65)
     # Of k letters there are 26 + ... + 26^(k-1) shorter ones; what is left over is written in base 26.
     shorter = [sum(26**j for j in range(1, k)) for k in range(1, 8)]
     out = F.lit(None).cast("string")
     for k, less in reversed(list(enumerate(shorter, 1))):
         rest = n.cast("long") - less - 1
-        letters = [F.char((F.floor(rest / 26**j) % 26 + 65).cast("long")) for j in reversed(range(k))]
+        letters = [F.char((F.floor(rest / 26**j) % 26 + first).cast("long")) for j in reversed(range(k))]
         out = F.when(n.cast("long") <= less + 26**k, F.concat(*letters)).otherwise(out)
     return F.when(n >= 1, out)
 
@@ -37,10 +42,8 @@ def label(style: Column, prefix: Column, number: Column) -> Column:
     text = (
         F.when(style.isNull(), F.lit(""))
         .when(style == "D", number.cast("string"))
-        .when(style == "R", roman(number))
-        .when(style == "r", F.lower(roman(number)))
-        .when(style == "A", alpha(number))
-        .when(style == "a", F.lower(alpha(number)))
+        .when(style.isin("R", "r"), roman(number, style == "r"))
+        .when(style.isin("A", "a"), alpha(number, style == "a"))
     )
     return F.concat(F.coalesce(prefix, F.lit("")), text)
 
