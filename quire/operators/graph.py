@@ -39,7 +39,7 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
     ``edges``: ``src, dst``; ``roots``: ``node``. Rounds of one join each, over the
     nodes found last; a node found before isn't followed again, so circles end.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = kept(edges.select("src", "dst").distinct())
     found = front = roots.select(F.col("node").alias("root"), "node").distinct()
     for _ in range(depth):
         step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
