@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.sanitizer import edited
+from quire.session import shipped
 from quire.sources.content import instructions, unparse_instructions
 from quire.sources.crypt import Encryption
 from quire.sources.document import Document
@@ -171,7 +172,7 @@ class Job:
                     for r in rows:
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.string(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["path", "part", "content", "problem"])
 
-        return files.select("path", "content").mapInArrow(run, "path string, part int, content binary, problem string")
+        return shipped(files).select("path", "content").mapInArrow(run, "path string, part int, content binary, problem string")
 
     def merge(self, files: DataFrame, by: str = "target", order: str = "seq") -> DataFrame:
         """``target, content, problem``: the files of each target in order as one, or collated.
@@ -200,7 +201,7 @@ class Job:
                 why = f"{type(x).__name__}: {x}"
             return pa.table({"target": pa.array([key[0].as_py()], pa.string()), "content": pa.array([out], pa.binary()), "problem": pa.array([why], pa.string())})
 
-        got = files.select(F.col(by).cast("string").alias("target"), F.col(order).cast("long").alias("seq"), "content")
+        got = shipped(files).select(F.col(by).cast("string").alias("target"), F.col(order).cast("long").alias("seq"), "content")
         return got.groupBy("target").applyInArrow(run, "target string, content binary, problem string")
 
 

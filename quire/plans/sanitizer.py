@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.operators import actions
+from quire.session import shipped
 from quire.sources.edit import Editor
 from quire.sources.writer import Options
 
@@ -91,7 +92,7 @@ def edited(files: DataFrame, change: Callable[[Editor], None], options: Options
                     why = f"{type(x).__name__}: {x}"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out], pa.binary()), pa.array([why], pa.string())], ["path", "content", "problem"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, content binary, problem string")
+    return shipped(files).select("path", "content").mapInArrow(run, "path string, content binary, problem string")
 
 
 def flagged(rows: DataFrame, wanted: Sanitizer) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +20,25 @@ def kept(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-quire"))
     return df.checkpoint(eager=True)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, in an application whose Python workers can import this package.
+
+    They can where it is on PYTHONPATH or in the working directory; anywhere else it is
+    sent to them once, as a zip file, through Spark.
+    """
+    sc, here = df.sparkSession.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    root = os.path.realpath(os.path.dirname(here))
+    known = [os.path.realpath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
+    name = os.path.basename(here) + ".zip"
+    if root not in known and name not in sc._python_includes:
+        path = os.path.join(tempfile.mkdtemp("-quire"), name)
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, files in os.walk(here):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(here)))
+        sc.addPyFile(path)
+    return df

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from quire.session import shipped
 from quire.sources import content as contents
 from quire.sources.document import Document
 from quire.sources.values import Malformed, Name, Real, Ref, Stream, decode_text, tag, to_json, unparse
@@ -308,7 +309,7 @@ def tables(files: DataFrame, table: str, recover: bool = True, password: str = "
                     part = rows[at : at + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return shipped(files).select("path", "content").mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, path: str, table: str = "docs", **options) -> DataFrame:
