@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import shipped
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,7 +38,7 @@ def modest_batches(df: DataFrame) -> DataFrame:
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key) == "10000":
         conf.set(key, "1000")
-    return df
+    return shipped(df)
 
 
 def held_out(doc_id: str, mod: int, rest: int) -> Column:
