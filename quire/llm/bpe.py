@@ -27,6 +27,18 @@ from quire.llm.common import modest_batches
 
 #: How the public byte-level vocabularies cut a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Ranges of letters and digits that Unicode got after version 16, which public tokenizers take for neither.
+NEWER = [
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+_NEWER = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]"
+_OLDER = PIECES.replace(r"\p{L}+", rf"(?:(?!{_NEWER})\p{{L}})+").replace(r"\p{N}+", rf"(?:(?!{_NEWER})\p{{N}})+").replace(r"[^\p{White_Space}\p{L}\p{N}]+", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|{_NEWER})+")
 #: Pieces whose ids are remembered in each of the cache's two generations.
 CACHED = 1 << 18
 
@@ -62,7 +74,7 @@ class ByteBPE:
             self.rank.setdefault(vocab[a] << 32 | vocab[b], r)
             self.made.append(vocab[a + b])
         self.text_of = [str(i) for i in range(size)]
-        self.pieces = regex.compile(PIECES).findall
+        self.pieces, self.older_pieces, self.newer = regex.compile(PIECES).findall, regex.compile(_OLDER).findall, regex.compile(_NEWER).search
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
@@ -109,7 +121,8 @@ class ByteBPE:
             if part in self.added:
                 out.append(self.added[part])
                 continue
-            for piece in self.pieces(part):
+            cut = self.older_pieces if not part.isascii() and self.newer(part) else self.pieces
+            for piece in cut(part):
                 out += self.young.get(piece) or self._miss(piece)
         return out
 

@@ -35,6 +35,13 @@ def test_any_ids_decode_alike(own, public, ids):
     assert own.decode(ids) == public.decode(ids, skip_special_tokens=False)
 
 
+def test_letters_newer_than_the_library(own, public):
+    for first, last in bpe.NEWER:
+        for c in (first, last):
+            for text in (f"{chr(c)}'ll", f"a{chr(c)} {chr(c)}1 {chr(c)}{chr(c)}b"):
+                assert own.encode(text) == public.encode(text, add_special_tokens=False).ids
+
+
 def test_cache_generations(own, public, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 4)
     text = " ".join(f"wordlike{i % 7}" for i in range(50))
