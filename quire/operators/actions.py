@@ -16,19 +16,19 @@ JAVASCRIPT = ("JavaScript",)
 EXTERNAL = ("URI", "Launch", "GoToR", "GoToE", "SubmitForm", "ImportData")
 MULTIMEDIA = ("Rendition", "Movie", "Sound", "RichMediaExecute", "GoTo3DView")
 MULTIMEDIA_ANNOTATIONS = ("Screen", "Movie", "Sound", "RichMedia", "3D")
-#: Longest chain that is followed.
+#: Rounds in which a branching tree's removed actions give way.
 CHAIN = 50
 
 
 def prune_chains(actions: DataFrame, removed: tuple[str, ...] | list[str]) -> DataFrame:
     """Chains without the removed subtypes; survivors close the gap, and a slot whose head goes goes as a whole.
 
-    ``next_pos`` is the place of the following survivor in the new chain.
+    ``next_pos`` is the place of the following survivor in the new chain. A chain may have any length.
     """
     chain = Window.partitionBy("holder", "slot")
     gone = F.coalesce(F.col("subtype").isin(*removed), F.lit(False))
     head_gone = F.max((F.col("pos") == 0) & gone).over(chain)
-    left = actions.where(F.col("pos") < CHAIN).withColumn("__head", head_gone).withColumn("__gone", gone).where("not __head and not __gone").drop("__head", "__gone")
+    left = actions.withColumn("__head", head_gone).withColumn("__gone", gone).where("not __head and not __gone").drop("__head", "__gone")
     order = chain.orderBy("pos")
     return left.withColumn("pos", F.row_number().over(order) - 1).withColumn("next_pos", F.lead("pos").over(order))
 

@@ -328,25 +328,39 @@ class Editor:
                 yield item, "/A"
                 todo += [item.get("/First"), item.get("/Next")]
 
-    def _survivors(self, value, removed: set[str], seen: frozenset, depth: int) -> list:
-        """What is left of a /Next value: removed actions give way to their own survivors, in order."""
-        out: list = []
-        got = self.get(value)
-        for ref in got if isinstance(got, list) else [value]:
-            action = self.get(ref)
-            if not isinstance(action, dict) or (isinstance(ref, Ref) and ref in seen) or depth >= CHAIN:
-                continue
-            below = seen | ({ref} if isinstance(ref, Ref) else set())
-            after = self._survivors(action["/Next"], removed, below, depth + 1) if "/Next" in action else []
-            if str(action.get("/S"))[1:] in removed:
-                out += after
+    def _survivors(self, value, removed: set[str], head) -> list:
+        """What is left of a /Next value: removed actions give way to their own survivors, in order.
+
+        Chains of any length, without recursion; an action that is met again below itself is left out.
+        """
+
+        def after(value):
+            got = self.get(value)
+            return iter(list(got) if isinstance(got, list) else [value])
+
+        path = {head} if isinstance(head, Ref) else set()
+        stack: list[tuple] = [(None, {}, [], after(value))]
+        while True:
+            ref, action, out, left = stack[-1]
+            for child in left:
+                got = self.get(child)
+                if isinstance(got, dict) and not (isinstance(child, Ref) and child in path):
+                    path |= {child} if isinstance(child, Ref) else set()
+                    stack.append((child, got, [], after(got["/Next"]) if "/Next" in got else iter(())))
+                    break
             else:
+                stack.pop()
+                if not stack:
+                    return out
+                path -= {ref} if isinstance(ref, Ref) else set()
+                if str(action.get("/S"))[1:] in removed:
+                    stack[-1][2].extend(out)
+                    continue
                 if "/Next" in action:
                     action.pop("/Next")
-                    if after:
-                        action[Name("/Next")] = after[0] if len(after) == 1 else after
-                out.append(ref)
-        return out
+                    if out:
+                        action[Name("/Next")] = out[0] if len(out) == 1 else out
+                stack[-1][2].append(ref)
 
     def remove_actions(self, removed: set[str]) -> None:
         """In one walk: a slot whose action goes is emptied, chains close their gaps."""
@@ -357,7 +371,7 @@ class Editor:
             if str(action.get("/S"))[1:] in removed:
                 del holder[key]
             elif "/Next" in action:
-                after = self._survivors(action["/Next"], removed, frozenset({holder[key]} if isinstance(holder[key], Ref) else ()), 1)
+                after = self._survivors(action["/Next"], removed, holder[key])
                 action.pop("/Next")
                 if after:
                     action[Name("/Next")] = after[0] if len(after) == 1 else after

@@ -546,3 +546,26 @@ def test_fields_renamed_and_removed():
     assert e.get(e.as_form(0)).raw == b"0 0 5 5 re f"
     e.remove_fields(["s"])
     assert e.get(e.pages()[0])["/Annots"] == []
+
+
+def test_long_chains_are_pruned_whole(spark):
+    from quire.operators.actions import prune_chains
+
+    kind = lambda i: "X" if i % 3 == 1 else "keep"
+    rows = [(1, "A", i, kind(i)) for i in range(200)]
+    got = prune_chains(spark.createDataFrame(rows, "holder int, slot string, pos int, subtype string"), ["X"]).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(133)) and [r.next_pos for r in got] == [*range(1, 133), None]
+
+
+def test_long_chains_in_files():
+    n, editor = 3000, Editor(sample(1).bytes())
+    refs = [editor.add({N("/S"): N("/JavaScript" if i % 3 == 1 else "/Named"), N("/N"): i}) for i in range(n)]
+    for a, b in zip(refs, refs[1:] + refs[:1], strict=True):
+        editor.get(a)[N("/Next")] = b
+    editor.root[N("/OpenAction")] = refs[0]
+    editor.remove_actions({"JavaScript"})
+    at, left = refs[0], []
+    while at is not None:
+        left.append(editor.get(at)["/N"])
+        at = editor.get(at).get("/Next")
+    assert left == [i for i in range(n) if i % 3 != 1]
