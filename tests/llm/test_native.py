@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,36 @@ def test_pseudonyms_keep_the_format(spark):
     assert all(luhn(re.sub("[^0-9]", "", x)) for x in made[:3]) and made[6].endswith("@mail1.example.com")
 
 
+def test_phones_and_dates_in_other_forms(spark):
+    phones = ["555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "+1 555 123 4567", "+15551234567", "(555) 123 4567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+442079460958", "+49 (0)30 1234567"]
+    dates = ["12/31/1999", "3/31/2020", "3/4/2020", "2020/04/03", "2020/4/3", "2020-4-3", "3.4.2020"]
+    times = ["2024-01-02T10:00:00", "2024-01-02T10:00:00.123Z"]
+    given = [*phones, *dates, *times, "123-456-7890", "+1 123 456 7890", "12/32/1999", "13/31/1999", "2/30/2020", "2024-01-02Term", "+5 6 7 8 9 10 11"]
+    got = values(spark, given)
+    n = len(phones + dates + times)
+    assert [[p.kind for p in got[i].pii] for i in range(len(given))] == [["phone"]] * len(phones) + [["date"]] * (n - len(phones)) + [[]] * (len(given) - n)
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    assert all(got[i].text != given[i] for i in range(n)) and all(got[i].text == given[i] for i in range(n, len(given)))
+    assert all(shape(got[i].text) == shape(given[i]) for i in range(len(phones)))
+    assert [got[i].text[:3] for i in (7, 8, 9)] == ["+44", "+33", "+44"]
+    # One number in any separated form, one date in any form.
+    assert len({re.sub("[^0-9]", "", got[i].text)[-10:] for i in range(6)}) == 1 and re.sub("[^0-9]", "", got[7].text) == got[9].text[1:]
+    assert len({tuple(sorted(map(int, re.split("[/.-]", got[len(phones) + i].text)))) for i in (2, 3, 4, 5, 6)}) == 1
+    assert [got[n - 2 + i].text[10:] for i in (0, 1)] == ["T10:00:00", "T10:00:00.123Z"]
+    again = values(spark, [got[i].text for i in range(n)])
+    assert all(again[i].pii for i in range(n))
+
+
+def test_late_days_and_phones_are_permuted(spark):
+    days = spark.range(146_097).selectExpr("date_format(date_add(date'1600-01-01', cast(id as int)), 'MM/dd/yyyy') AS text").where("substr(text, 4, 2) > '12'")
+    got = [r.text for r in pii.pseudonymise(days, KEY).collect()]
+    assert len(got) == len(set(got)) == pii.LATE_A * pii.LATE_B
+    assert all(datetime.strptime(t, "%m/%d/%Y") and t[3:5] > "12" and "1600" <= t[6:] <= "1999" for t in got)
+    calls = spark.range(3000).selectExpr("concat('212-555-', lpad(id, 4, '0')) AS text")
+    got = {r.text for r in pii.pseudonymise(calls, KEY).collect()}
+    assert len(got) == 3000 and all(re.fullmatch("[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}", t) for t in got)
+
+
 def test_what_is_not_valid_stays(spark):
     given = ["4785380592391138", "70.123.182.256", "2023-02-29", "000-12-3456", "1.2.3", "version 4.785.380.592.391", "0000000000000000", "x4785380592391139", "", None, "12345678901234567890"]
     got = values(spark, given)
