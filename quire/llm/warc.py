@@ -14,8 +14,8 @@ runs of white space as one space, no empty lines.
 
 Rows: a null or empty payload gives an empty conversion and a metadata block of what
 is known; headers whose value is null are left out, as is a null URI or date; repeated
-rows give repeated records with equal ids; an element that is never closed ends with
-the text; an empty table gives an empty one; other columns are ignored.
+rows give repeated records with equal ids; a script, style or template that is never
+closed ends with the text, a head where what may not stand in it begins; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +36,11 @@ from quire.llm.common import modest_batches
 
 #: HTML's block elements.
 BLOCKS = "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
-_HIDDEN = "script|style|template|noscript|head"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{_HIDDEN})\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>", re.S | re.I)
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+_RAW = r"<(?P<{0}>script|style|template)\b[^>]*>.*?(?:</(?P={0})\s*>|\Z)|<noscript\b[^>]*>.*?</noscript\s*>"
+#: A head goes on while what may stand in it follows: it needs no end tag.
+_HEAD = rf"<head(?=[\s/>])[^>]*>(?:\s++|{_COMMENT}|{_RAW.format('inner')}|<title\b[^>]*>(?:.*?</title\s*>|[^<]*)|<(?:meta|link|base|basefont|bgsound|noscript)\b[^>]*>|</(?!(?:head|body|html|br)\b)[a-z][^>]*>|<[!?][^>]*>)*+(?:</head\s*>)?"
+_TOKEN = re.compile(rf"{_COMMENT}|{_RAW.format('hidden')}|{_HEAD}|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>", re.S | re.I)
 _BLOCK = {x for b in BLOCKS for x in (b, "/" + b)}
 _TITLE, _LANG = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I), re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)

@@ -37,6 +37,15 @@ def test_text_by_a_parser(spark, small):
         assert warc.plain_text(row.html) == brute_text(row.html), row.page_id
 
 
+def test_heads_without_an_end():
+    begin = "<html><head><title>t</title><meta charset=x><!-- <p>no --><script>var a = '<p>no</p>'</script>"
+    for page in (begin + "<body><p>hello</p>", begin + "<p>hello</p>", begin + "hello", begin + "</head>hello", begin + "<header>hello</header>", begin + "<div>hello<pre>&lt;/head></pre></div>"):
+        assert warc.plain_text(page).startswith("hello"), page
+    assert warc.plain_text("<head><title>t<p>hello</p>") == "hello" and warc.plain_text("<p>a</p><noscript><p>b</p>") == "a\nb"
+    assert warc.plain_text("<head><title>t</title></head><p>a</p><p>b</head>c</p>") == "a\nbc"
+    assert warc.plain_text("<p>a</p><script>b<p>c</p>") == "a" and warc.plain_text("<head><style>b<p>c</p>") == ""
+
+
 def test_records(spark):
     page = '<html lang="EN"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- <a href="/no"> --><p>one<br>two &#233;&#x4e;<script>x</script></p><a href="/x?a=1&amp;b=2">l</a><a href=\'#y\'>m</a></body></html>'
     pages = spark.createDataFrame([(1, "http://h.example/d/", page), (2, None, None), (3, "http://h.example/e", "")], "page_id long, url string, html string")
