@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +35,27 @@ def null_dangling(refs: DataFrame, objects: DataFrame, on: list[str], value: str
     return refs.join(known, on, "left").withColumn(value, F.when(F.col("__known"), F.col(value))).drop("__known")
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
-    """``root, node`` for every node that can be reached in ``depth`` steps or fewer, the root included.
+#: Rounds of a closure after which what was found is written anew, as one table.
+ROUNDS_KEPT = 8
+
+
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, node`` for every node that can be reached in any number of steps, the root included.
 
     ``edges``: ``src, dst``; ``roots``: ``node``. Rounds of one join each, over the
-    nodes found last; a node found before isn't followed again, so circles end.
+    nodes found last, until there are no new ones; a node found before isn't followed
+    again, so circles end.
     """
     edges = kept(edges.select("src", "dst").distinct())
     found = front = roots.select(F.col("node").alias("root"), "node").distinct()
-    for _ in range(depth):
+    for n in count(1):
         step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         front = kept(step.join(found, ["root", "node"], "left_anti"))
         if front.isEmpty():
             break
         found = found.union(front)
+        if n % ROUNDS_KEPT == 0:
+            found = kept(found.repartition("root", "node"))
     return found
 
 

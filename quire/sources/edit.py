@@ -6,9 +6,9 @@ The plans run these on executors, a document at a time; nothing here knows of Sp
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterable
 
-from quire.operators.actions import CHAIN
 from quire.sources.content import expanded, instructions, unparse_instructions
 from quire.sources.document import Document
 from quire.sources.values import Name, Ref, Stream, decode_text, unparse
@@ -168,14 +168,15 @@ class Editor:
                 if not isinstance(note := self.get(a), dict):
                     continue
                 yield note, "/Dest"
-                todo, seen = [note.get("/A"), *(self.get(note.get("/AA")) or {}).values()], 0
-                while todo and seen < CHAIN:
-                    if isinstance(action := self.get(todo.pop(0)), dict):
-                        seen += 1
+                todo, seen = deque([note.get("/A"), *(self.get(note.get("/AA")) or {}).values()]), set()
+                while todo:
+                    ref = todo.popleft()
+                    if not (isinstance(ref, Ref) and ref in seen) and isinstance(action := self.get(ref), dict):
+                        seen |= {ref} if isinstance(ref, Ref) else set()
                         if action.get("/S") == "/GoTo":
                             yield action, "/D"
                         after = self.get(action.get("/Next"))
-                        todo += after if isinstance(after, list) else [after]
+                        todo += after if isinstance(after, list) else [action.get("/Next")]
 
     def _copy_dests(self, other: Editor, pages: list[Ref], known: dict, result: dict) -> None:
         theirs, mine, moved = other.names("/Dests"), self.names("/Dests"), {}

@@ -241,20 +241,32 @@ def _attachments(doc: Document) -> Iterator[tuple]:
 
 
 def _images(doc: Document) -> Iterator[tuple]:
-    def walk(resources, scope: str, depth: int, seen: frozenset):
-        for name, ref in (doc.get((doc.get(resources) or {}).get("/XObject")) or {}).items():
-            s = doc.get(ref)
-            if not isinstance(s, Stream) or (isinstance(ref, Ref) and ref in seen):
-                continue
-            if s.head.get("/Subtype") == "/Image":
-                yield scope + name, s
-            elif s.head.get("/Subtype") == "/Form" and depth < 20:
-                yield from walk(s.head.get("/Resources"), scope + name, depth + 1, seen | ({ref} if isinstance(ref, Ref) else set()))
+    def within(resources):
+        return iter(list((doc.get((doc.get(resources) or {}).get("/XObject")) or {}).items()))
+
+    def walk(resources):
+        """Images in their order, in forms nested to any depth; a form within itself is left out."""
+        seen, stack = set(), [("", None, within(resources))]
+        while stack:
+            scope, form, left = stack[-1]
+            for name, ref in left:
+                s = doc.get(ref)
+                if not isinstance(s, Stream) or (isinstance(ref, Ref) and ref in seen):
+                    continue
+                if s.head.get("/Subtype") == "/Image":
+                    yield scope + name, s
+                elif s.head.get("/Subtype") == "/Form":
+                    seen |= {ref} if isinstance(ref, Ref) else set()
+                    stack.append((scope + name, ref, within(s.head.get("/Resources"))))
+                    break
+            else:
+                stack.pop()
+                seen.discard(form)
 
     from quire.sources.filters import chain
 
     for i, (_, page) in enumerate(doc.pages()):
-        for name, s in walk(page.get("/Resources"), "", 0, frozenset()):
+        for name, s in walk(page.get("/Resources")):
             h = {k: doc.get(v) for k, v in s.head.items()}
             space = h.get("/ColorSpace")
             number = lambda k, h=h: h.get(k) if isinstance(h.get(k), int) and not isinstance(h.get(k), bool) else None

@@ -569,3 +569,27 @@ def test_long_chains_in_files():
         left.append(editor.get(at)["/N"])
         at = editor.get(at).get("/Next")
     assert left == [i for i in range(n) if i % 3 != 1]
+
+
+def test_closure_of_a_long_chain(spark):
+    from quire.operators.graph import closure
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(200, 150)], "src int, dst int")
+    got = closure(edges, spark.createDataFrame([(0,)], "node int"))
+    assert sorted(r.node for r in got.collect()) == list(range(201))
+
+
+def test_deeply_nested_images_and_destinations():
+    b = Builder()
+    inner = b.add(Stream({N("/Subtype"): N("/Image"), N("/Width"): 1, N("/Height"): 1, N("/BitsPerComponent"): 8, N("/ColorSpace"): N("/DeviceGray")}, b"x"))
+    for _ in range(60):
+        inner = b.add(Stream({N("/Subtype"): N("/Form"), N("/BBox"): [0, 0, 1, 1], N("/Resources"): {N("/XObject"): {N("/X"): inner}}}, b"/X Do"))
+    b.page(b"/X Do", {N("/XObject"): {N("/X"): inner}}, Annots=[])
+    assert [r[2] for r in tables.rows_of("f", b.bytes(), "images")] == ["/X" * 61]
+    editor = Editor(b.bytes())
+    refs = [editor.add({N("/S"): N("/GoTo"), N("/D"): b"d%d" % i}) for i in range(120)]
+    for one, after in zip(refs, refs[1:] + refs[:1], strict=True):
+        editor.get(one)[N("/Next")] = after
+    page = editor.pages()[0]
+    editor.get(page)[N("/Annots")] = [editor.add({N("/Subtype"): N("/Link"), N("/A"): refs[0]})]
+    assert [h["/D"] for h, key in editor._holders([page]) if key == "/D"] == [b"d%d" % i for i in range(120)]
