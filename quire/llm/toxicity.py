@@ -1,35 +1,38 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
-Learning takes a bounded sample (``per_class`` labelled texts of each class, those
-with the smallest hash of their id; exact copies in it count once), half of it
-for the dictionaries, half for the thresholds.
-
-* The ordinary dictionary is trained by zstandard on windows of ordinary texts
-  and ends in a filler that no window matches.
-* The toxic one has the same beginning and ends, at the same offsets, in what is
-  over-represented in toxic texts: word beginnings picked greedily so that every
-  toxic text is covered by several of them. Copies of one text add nothing to
-  that cover, so the accidental words of a copied text don't get in.
-
-A window is ``width`` words in lower case, set ``REPEAT`` times behind a frame that
-both dictionaries know, so that block headers cost alike; as nothing follows a word
-but the frame, and matches have five bytes or more, short ends of words match nothing. The difference of its
-two compressed lengths is remembered for frequent windows. A text's counts of
-windows that reach each difference are weighed by a logistic regression, fitted
-on the other half of the sample with the classes' true weights: these are the
-calibrated thresholds, and the score is a probability.
-
-Rows: null and empty texts have no windows and get the score of that; a null id
-is never held out and matches no label; null labels are left out; repeated rows
-get equal results; without labels of both classes every score is the share of
-toxic labels (0 without any); an empty table gives an empty one; other columns
-are ignored.
+Learning takes a bounded sample: ``per_class`` labelled texts of each class, those
+with the smallest hash of their id (exact copies in it count once). Half of it
+trains the dictionaries, half the thresholds.
+
+* A window is a run of ``WIDTH`` words in lower case; every run is scored. Training
+  takes each word once, and what several texts of the sample hold alike (a window with
+  the word before and the word after it) once, so that copies weigh like one text.
+* The ordinary dictionary is trained by zstandard on the windows of ordinary texts.
+* The toxic dictionary is trained by zstandard on toxic windows. A label speaks of a
+  text, most windows of which are ordinary, so a toxic text's window counts as toxic
+  if it holds a word beginning that is ``LIFT`` times as frequent among toxic texts as
+  among ordinary ones. The two dictionaries share nothing.
+* A window is compressed on its own, written ``REPEAT`` times in lines: the later
+  copies cost one match under either dictionary, so a short match in the first one
+  shows in the length instead of vanishing in a block that is stored as it is.
+
+A text's counts of windows whose two lengths differ by 1, 2, ... bytes are weighed by
+a logistic regression, fitted on the other half of the sample with the classes' true
+weights: these are the calibrated thresholds, and the score is a probability.
+
+Rows: null and empty texts have no windows and get the score of that; very long texts
+are compressed window by window, in blocks of a fixed size; a null id is never held
+out and matches no label; null labels are left out; repeated rows get equal results;
+ties (equal lengths, equal hashes of ids) are a difference of zero and go by id; without
+labels of both classes, or without any window that counts as toxic, every score is the
+share of toxic labels (0 without any); an empty table gives an empty one; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,105 +44,133 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import small_batches
 from quire.llm.common import modest_batches
 
-REPEAT, REMEMBERED, STEPS = 3, 1 << 18, 10
-#: Begins both dictionaries and each turn of a window; no text's word runs into it.
-FRAME = bytes(range(1, 9))
+WIDTH, REPEAT, STEPS = 2, 2, 8
+#: Windows compressed at a time.
+BLOCK = 4096
+#: Bytes of the dictionaries.
+ORDINARY_SIZE, TOXIC_SIZE = 131_072, 3_072
+#: How much more frequent a beginning of a toxic window is among toxic texts; its least and greatest length in bytes.
+LIFT, BEGINNING = 10, (4, 16)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def windows(words: list[bytes], width: int) -> list[bytes]:
-    return words if width == 1 else [b" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+def windows(text: str | None, width: int = WIDTH) -> list[bytes]:
+    """Every run of ``width`` words; a shorter text that has any is one window."""
+    words = words_of(text)
+    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
-def _beginnings(words: Iterable[bytes]) -> set[bytes]:
-    return {w[:n] for w in set(words) for n in range(4, min(len(w), 16) + 1)}
+def fresh_windows(texts: list[str], width: int = WIDTH) -> list[list[bytes]]:
+    """Each text's words, ``width`` at a time, but what it or an earlier text had with the same words around it."""
+    seen: set[bytes] = set()
+    out = []
+    for text in texts:
+        words, own = words_of(text), []
+        for i in range(0, len(words), width):
+            around = b" ".join(words[max(0, i - 1) : i + width + 1])
+            if around not in seen:
+                seen.add(around)
+                own.append(b" ".join(words[i : i + width]))
+        out.append(own)
+    return out
 
 
-def toxic_beginnings(toxic: list[list[bytes]], ordinary: list[list[bytes]], times: int = 3, most: int = 64) -> list[bytes]:
-    """Word beginnings that are ten times as frequent in toxic texts, picked until each text holds ``times`` of them, or none helps one in forty more."""
-    held = [_beginnings(x) for x in toxic]
-    in_toxic, in_ordinary = Counter(h for x in held for h in x), Counter(h for x in ordinary for h in _beginnings(x))
-    where = defaultdict(list)
-    for i, x in enumerate(held):
-        for h in x:
-            if in_toxic[h] >= 5 and in_toxic[h] * len(ordinary) > 10 * (in_ordinary[h] + 0.5) * len(toxic):
-                where[h].append(i)
-    need, picked = np.full(len(toxic), times), []
-    cost, least = 6 * len(toxic) / max(1, len(ordinary)), max(5, len(toxic) // 40)
-    while where and len(picked) < most:
-        gain = {h: int((need[at] > 0).sum()) for h, at in where.items()}
-        best = max(gain, key=lambda h: (gain[h] - cost * in_ordinary[h], len(h), h))
-        if gain[best] - cost * in_ordinary[best] < least:
-            break
-        need[where[best]] -= 1
-        picked.append(best)
-        where = {h: at for h, at in where.items() if not h.startswith(best) and not best.startswith(h)}
-    return picked
+def _beginnings(window: bytes) -> set[bytes]:
+    return {w[:n] for w in window.split() for n in range(BEGINNING[0], min(len(w), BEGINNING[1]) + 1)}
+
+
+def toxic_windows(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """The windows of toxic texts with a beginning that is ``LIFT`` times as frequent there, by texts that have it.
+
+    A beginning has to be in three texts, or in one of 150 where that is more.
+    """
+    bad, good = (Counter(b for wins in part for b in set().union(*map(_beginnings, wins))) for part in (toxic, ordinary))
+    least = max(3, round(len(toxic) / 150))
+    marked = {b for b, n in bad.items() if n >= least and n * len(ordinary) > LIFT * (good[b] + 0.5) * len(toxic)}
+    return [w for wins in toxic for w in wins if not marked.isdisjoint(_beginnings(w))]
+
+
+def framed(window: bytes) -> bytes:
+    return (b"\n " + window + b" ") * REPEAT
 
 
-def _trained(texts: list[list[bytes]], size: int) -> bytes:
-    """A dictionary trained on windows of the texts; where they are too few for that, their words."""
-    samples = [b" ".join(x[i : i + 12]) for x in texts for i in range(0, len(x), 12)][:60_000]
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained by zstandard; where the samples are too few for that, the samples themselves."""
+    samples = [b" " + w + b" " for w in samples]
     try:
         return zs.train_dictionary(size, samples).as_bytes()
     except zs.ZstdError:
-        return b" ".join(samples)[:size]
+        return b"".join(samples)[-size:]
+
+
+def compressor(dictionary: bytes) -> zs.ZstdCompressor:
+    """Every match of four bytes or more that the dictionary has is found; lengths hold no checksum or size."""
+    params = zs.ZstdCompressionParameters.from_level(19, strategy=zs.STRATEGY_BTLAZY2, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+    known = zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=params)
+    return zs.ZstdCompressor(dict_data=known, compression_params=params)
 
 
 @dataclass
 class Distance:
-    """Differences of compressed lengths under two dictionaries with equal beginnings."""
+    """Differences of compressed lengths under the two dictionaries."""
 
     ordinary: bytes
     toxic: bytes
-    width: int = 1
     _tools: tuple | None = field(default=None, repr=False)
-    _known: tuple[dict, dict] = field(default=({}, {}), repr=False)
 
     def __getstate__(self) -> tuple:
-        return self.ordinary, self.toxic, self.width
+        return self.ordinary, self.toxic
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def _lengths(self, tool: zs.ZstdCompressor, raw: bytes, segments: bytes) -> np.ndarray:
-        out = tool.multi_compress_to_buffer(zs.BufferWithSegments(raw, segments), threads=1)
-        return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
-
     def of(self, wins: list[bytes]) -> np.ndarray:
-        """How many bytes the toxic dictionary saves on each window."""
+        """How many bytes shorter each window is under the toxic dictionary."""
         if self._tools is None:
-            made = [zs.ZstdCompressionDict(x, dict_type=zs.DICT_TYPE_RAWCONTENT) for x in (self.ordinary, self.toxic)]
-            params = [zs.ZstdCompressionParameters(compression_level=19, strategy=zs.STRATEGY_LAZY2, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False) for _ in made]
-            self._tools, self._known = tuple(zs.ZstdCompressor(dict_data=d, compression_params=p) for d, p in zip(made, params, strict=True)), ({}, {})
-        young, old = self._known
-        new = [w for w in set(wins) if w not in young]
-        if new:
-            if len(young) + len(new) > REMEMBERED:
-                old, young = young, {}
-                self._known = young, old
-            unseen = [w for w in new if w not in old]
-            young.update((w, old[w]) for w in new if w in old)
-            parts = [(FRAME + b" " + w) * REPEAT for w in unseen]
-            for at in range(0, len(parts), 4096):
-                some = parts[at : at + 4096]
-                sizes = np.fromiter(map(len, some), np.uint64, len(some))
-                segments = np.stack([np.cumsum(sizes) - sizes, sizes], 1).astype(np.uint64).tobytes()
-                a, b = (self._lengths(t, b"".join(some), segments) for t in self._tools)
-                young.update(zip(unseen[at : at + 4096], (a - b).tolist(), strict=True))
-        missing = [w for w in set(wins) if w not in young]  # known ones that moved out as the new came in
-        young.update((w, old[w]) for w in missing)
-        return np.fromiter((young[w] for w in wins), np.int64, len(wins))
-
-    def features(self, text: str | None) -> np.ndarray:
-        """The logarithm of how many windows save 2, 3, ... bytes or more, and, if any saves 3, of how many there are."""
-        wins = windows(words_of(text), self.width)
-        saved = np.clip(self.of(wins), 0, STEPS) if wins else np.zeros(0, np.int64)
-        over = np.bincount(saved, minlength=STEPS + 1)[::-1].cumsum()[::-1][2:]
-        return np.log1p(np.append(over, len(wins) if over[1] else 0))
+            self._tools = compressor(self.ordinary), compressor(self.toxic)
+        out = [np.zeros(0, np.int64)]
+        for at in range(0, len(wins), BLOCK):
+            parts = [framed(w) for w in wins[at : at + BLOCK]]
+            sizes = np.fromiter(map(len, parts), np.uint64, len(parts))
+            segments = zs.BufferWithSegments(b"".join(parts), np.stack([np.cumsum(sizes) - sizes, sizes], 1).astype(np.uint64).tobytes())
+            made = [tool.multi_compress_to_buffer(segments, threads=1) for tool in self._tools]
+            out.append(np.fromiter((len(made[0][i]) - len(made[1][i]) for i in range(len(parts))), np.int64, len(parts)))
+        return np.concatenate(out)
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: the logarithms of how many windows differ by 1, 2, ... bytes or more, and, if any differs by 2, of how many there are."""
+        wins = [windows(t) for t in texts]
+        ends = np.cumsum([len(w) for w in wins])
+        saved = np.clip(self.of([w for own in wins for w in own]), 0, STEPS)
+        out = np.zeros((len(texts), STEPS + 1))
+        for i, part in enumerate(np.split(saved, ends[:-1]) if texts else []):
+            over = np.bincount(part, minlength=STEPS + 1)[::-1].cumsum()[::-1]
+            out[i] = np.append(over[1:], over[0] if over[2] else 0)
+        return np.log1p(out)
+
+
+def regression(x: np.ndarray, y: np.ndarray, row: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of a logistic regression with weighted rows, by Newton steps that are halved until they help."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((row * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * ridge * w @ w)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve((x * (row * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (row * (p - y)) + ridge * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return w
 
 
 @dataclass
@@ -148,35 +179,32 @@ class Model:
     weights: np.ndarray
     share: float = 0.0
 
-    def score(self, text: str | None) -> float:
+    def score(self, texts: list[str | None]) -> np.ndarray:
         if self.distance is None:
-            return self.share
-        return float(1 / (1 + np.exp(-np.clip(np.append(self.distance.features(text), 1.0) @ self.weights, -40, 40))))
+            return np.full(len(texts), self.share)
+        x = self.distance.features(texts)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -40, 40)))
 
     @classmethod
-    def fit(cls, toxic: list[str], ordinary: list[str], share: float, width: int = 1, size: int = 16_384) -> Model:
+    def fit(cls, toxic: list[str], ordinary: list[str], share: float) -> Model:
         """``share``: of toxic rows among all labelled ones."""
         toxic, ordinary = (list(dict.fromkeys(x)) for x in (toxic, ordinary))
         if not toxic or not ordinary:
             return cls(None, np.zeros(0), share)
-        bad, good = ([words_of(t) for t in x] for x in (toxic, ordinary))
-        half_bad, half_good = max(1, len(bad) // 2), max(1, len(good) // 2)
-        picked = toxic_beginnings(bad[:half_bad], good[:half_good])
-        base, tail = FRAME + _trained(good[:half_good], size), b" " + b" ".join(reversed(picked))
-        distance = Distance(base + b"\x0e" * len(tail), base + tail, width)
-        rest = [toxic[half_bad:] or toxic, ordinary[half_good:] or ordinary]
-        x = np.array([np.append(distance.features(t), 1.0) for part in rest for t in part])
+        half = [max(1, len(x) // 2) for x in (toxic, ordinary)]
+        bad, good = fresh_windows(toxic[: half[0]]), fresh_windows(ordinary[: half[1]])
+        marked = toxic_windows(bad, good)
+        if not marked:
+            return cls(None, np.zeros(0), share)
+        distance = Distance(trained([w for wins in good for w in wins], ORDINARY_SIZE), trained(marked, TOXIC_SIZE))
+        rest = [toxic[half[0] :] or toxic, ordinary[half[1] :] or ordinary]
+        x = distance.features([t for part in rest for t in part])
+        x = np.hstack([x, np.ones((len(x), 1))])
         y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
-        row = np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
-        w = np.zeros(x.shape[1])
-        for _ in range(30):  # Newton steps with a little ridge
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            grad = x.T @ (row * (p - y)) + 0.1 * w
-            w -= np.linalg.solve((x * (row * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), grad)
-        return cls(distance, w, share)
+        return cls(distance, regression(x, y, np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)), share)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (4800, 1600), width: int = 1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (4800, 1600)) -> Model:
     """From at most ``per_class`` ordinary and toxic texts for whose ids ``learn`` holds."""
     marks = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     counts = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
@@ -187,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     got = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "text", "label").limit(2 * sum(per_class)).collect()  # the limit only holds the bound where ids repeat
     total = sum(counts.values())
-    return Model.fit([r.text for r in got if r.label == 1], [r.text for r in got if r.label == 0], counts.get(1, 0) / total if total else 0.0, width)
+    return Model.fit([r.text for r in got if r.label == 1], [r.text for r in got if r.label == 0], counts.get(1, 0) / total if total else 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -196,8 +224,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            said = [shared.value.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()), pa.float64())], [id_col, "score"])
 
     scored = modest_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import zstandard as zs
 from pyspark.sql import functions as F
 from quire.llm import langid, quality, toxicity
 from quire.llm.common import held_out
@@ -54,12 +55,37 @@ def test_language_families():
     assert model.predict("und das haus")[0] == "de" and model.predict("123 !")[0] == "und" and model.predict(None) == ("und", 0.0)
 
 
-def test_toxic_beginnings_ignore_copies():
-    copied = "rareone raretwo rarethree raretfour plain words".lower().encode().split()
-    toxic = [copied] * 20 + [f"nasty{c} some plain words {c}x{c}y".encode().split() for c in "abcdefghijklmnop"]
-    ordinary = [f"some plain words {c}z{c}w".encode().split() for c in "abcdefghijklmnopqrstuvwxyz"]
-    picked = toxicity.toxic_beginnings(toxic, ordinary)
-    assert b"nasty" in picked and len([p for p in picked if p.startswith(b"rare")]) <= 4
+def test_copies_weigh_like_one_text():
+    copied = "rareone raretwo rarethree raretfour plain words"
+    toxic = [copied] * 20 + [f"nasty{c} some plain words {c}x{c}y" for c in "abcdefghijklmnop"]
+    ordinary = [f"some plain words {c}z{c}w" for c in "abcdefghijklmnopqrstuvwxyz"]
+    marked = toxicity.toxic_windows(toxicity.fresh_windows(toxic), toxicity.fresh_windows(ordinary))
+    assert len(marked) == 16 and all(w.startswith(b"nasty") for w in marked)
+
+
+def test_distance_is_that_of_plain_calls():
+    """Each window by itself, by one plain call for each dictionary; counts of differences from these."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(["ba", "ko", "li", "mu", "ré", "so"], rng.integers(1, 5)))
+    good = [" ".join(word() for _ in range(200)) for _ in range(40)]
+    bad = [f"{t} wretched{word()} {word()} horrible" for t in good]
+    model = toxicity.Model.fit(bad, good, 0.5)
+    tools = []
+    for raw in (model.distance.ordinary, model.distance.toxic):
+        params = zs.ZstdCompressionParameters.from_level(19, strategy=zs.STRATEGY_BTLAZY2, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+        known = zs.ZstdCompressionDict(raw, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=params)
+        tools.append(zs.ZstdCompressor(dict_data=known, compression_params=params))
+    texts = [good[0], bad[1], "", None, "horrible", "One HORRIBLE wretched thing", " ".join(good)]
+    for text, row in zip(texts, model.distance.features(texts), strict=True):
+        words = (text or "").lower().encode().split()
+        wins = [b" ".join(words[i : i + 2]) for i in range(len(words) - 1)] if len(words) > 1 else [b" ".join(words)] * len(words)
+        diffs = [len(tools[0].compress((b"\n " + w + b" ") * 2)) - len(tools[1].compress((b"\n " + w + b" ") * 2)) for w in wins]
+        over = [sum(d >= t for d in diffs) for t in range(1, 9)]
+        assert np.allclose(row, np.log1p([*over, len(wins) if over[1] else 0]))
+    scores = model.score(texts)
+    assert scores[1] > 0.5 > scores[0] and scores[2] == scores[3] < 0.3
+    assert np.allclose(scores, [model.score([t])[0] for t in texts])  # however the texts are put together
 
 
 def test_toxicity_finds_words(spark):
