@@ -16,8 +16,6 @@ JAVASCRIPT = ("JavaScript",)
 EXTERNAL = ("URI", "Launch", "GoToR", "GoToE", "SubmitForm", "ImportData")
 MULTIMEDIA = ("Rendition", "Movie", "Sound", "RichMediaExecute", "GoTo3DView")
 MULTIMEDIA_ANNOTATIONS = ("Screen", "Movie", "Sound", "RichMedia", "3D")
-#: Rounds in which a branching tree's removed actions give way.
-CHAIN = 50
 
 
 def prune_chains(actions: DataFrame, removed: tuple[str, ...] | list[str]) -> DataFrame:
@@ -33,25 +31,33 @@ def prune_chains(actions: DataFrame, removed: tuple[str, ...] | list[str]) -> Da
     return left.withColumn("pos", F.row_number().over(order) - 1).withColumn("next_pos", F.lead("pos").over(order))
 
 
-def graft(tree: DataFrame, removed: tuple[str, ...] | list[str], depth: int = CHAIN) -> DataFrame:
+def graft(tree: DataFrame, removed: tuple[str, ...] | list[str]) -> DataFrame:
     """A branching /Next tree without the removed subtypes: the children of a removed node take its place in order.
 
-    ``tree``: ``holder, node, parent (null: the head), pos, subtype``. Each node's nearest
-    surviving ancestor and the positions on the way give its new place. The depth is capped
-    as the chain is, so the rounds are few; each is a join on the parent's key.
+    ``tree``: ``holder, node, parent (null: the head), pos, subtype``, of any depth. Each node's
+    nearest surviving ancestor and the positions on the way give its new place. A removed node's
+    way up is doubled each round, so the rounds grow with the logarithm of the longest run of
+    removed nodes; nodes on a circle of removed ones have no ancestor and go.
     """
     gone = F.coalesce(F.col("subtype").isin(*removed), F.lit(False))
-    nodes = tree.withColumn("gone", gone).withColumn("path", F.array("pos"))
-    up = kept(nodes.select("holder", F.col("node").alias("parent"), F.col("parent").alias("up_parent"), F.col("pos").alias("up_pos"), F.col("gone").alias("up_gone")))
-    for _ in range(depth):
-        over = F.coalesce("up_gone", F.lit(False))
-        climbed = nodes.drop("moved").join(up, ["holder", "parent"], "left")
-        path = F.when(over, F.concat(F.array("up_pos"), F.col("path"))).otherwise(F.col("path"))
-        nodes = kept(climbed.select("holder", "node", "subtype", "gone", F.when(over, F.col("up_parent")).otherwise(F.col("parent")).alias("parent"), path.alias("path"), over.alias("moved")))
-        if nodes.where("moved").isEmpty():
-            break
+    nodes = kept(tree.select("holder", "node", "parent", "pos", "subtype", gone.alias("gone")))
+    # Of each removed node: the ancestor that its children would have, the places on the way to it, whether that is removed too.
+    up = nodes.where("gone").select("holder", F.col("node").alias("at"), F.col("parent").alias("to"), F.array("pos").alias("way"))
+    up = kept(up.join(nodes.where("gone").select("holder", F.col("node").alias("to"), F.lit(True).alias("open")), ["holder", "to"], "left").select("holder", "at", "to", "way", F.coalesce("open", F.lit(False)).alias("open")))
+    left = up.where("open").count()
+    while left:
+        via = up.select("holder", F.col("at").alias("to"), F.col("to").alias("next"), F.col("way").alias("more"), F.col("open").alias("again"))
+        joined = up.join(via, ["holder", "to"], "left")
+        step = F.col("open") & F.col("again").isNotNull()
+        up = kept(joined.select("holder", "at", F.when(step, F.col("next")).otherwise(F.col("to")).alias("to"), F.when(step, F.concat("more", "way")).otherwise(F.col("way")).alias("way"), F.when(step, F.col("again")).otherwise(F.col("open")).alias("open")))
+        before, left = left, up.where("open").count()
+        if left == before:
+            break  # what is left goes round in circles
+    placed = nodes.where("not gone").join(up.select("holder", F.col("at").alias("parent"), "to", "way", "open"), ["holder", "parent"], "left").where("not coalesce(open, false)")
+    over = F.col("way").isNotNull()
+    placed = placed.select("holder", "node", F.when(over, F.col("to")).otherwise(F.col("parent")).alias("parent"), F.when(over, F.concat(F.col("way"), F.array("pos"))).otherwise(F.array("pos")).alias("path"), "subtype")
     order = Window.partitionBy("holder", "parent").orderBy("path")
-    return nodes.where("not gone").withColumn("pos", F.row_number().over(order) - 1).select("holder", "node", "parent", "pos", "subtype")
+    return placed.withColumn("pos", F.row_number().over(order) - 1).select("holder", "node", "parent", "pos", "subtype")
 
 
 def structural(entries: DataFrame, keys: list[str]) -> DataFrame:

@@ -59,11 +59,6 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def closure_sql(edges: str, roots: str, depth: int = 50) -> str:
-    """The same as one recursive query, for graphs without circles or of few levels."""
-    return f"WITH RECURSIVE reach(root, node, depth) MAX RECURSION LEVEL {depth + 1} AS (SELECT node, node, 0 FROM {roots} UNION ALL SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN {edges} e ON e.src = r.node WHERE r.depth < {depth}) SELECT DISTINCT root, node FROM reach"
-
-
 def copy_closure(objects: DataFrame, reached: DataFrame, first_new: Column) -> DataFrame:
     """Reached objects under new numbers: ``first_new`` and up, in the order of the old ones."""
     order = Window.partitionBy("root").orderBy("node")
@@ -104,13 +99,40 @@ def unique_names(new: DataFrame, taken: DataFrame, name: str = "name", order: st
     return joined.withColumn("__k", free).withColumn("new_name", F.when(F.col("__k") == 0, base).otherwise(F.concat(base, F.lit("."), F.col("__k")))).drop("__k", "__rank", "gone", "base")
 
 
+def outline_counts(items: DataFrame) -> DataFrame:
+    """``doc_id, item, count`` of the items with children: how many are visible below an open item, the same, negative, for a closed one.
+
+    From the leaves up, a round for each level that has children; an item on a circle of parents
+    is never settled and has no count.
+    """
+    nodes = kept(items.select("doc_id", "item", "parent", F.coalesce("closed", F.lit(False)).alias("closed")))
+    above = nodes.where("parent is not null").groupBy("doc_id", F.col("parent").alias("item")).agg(F.count("*").alias("kids"))
+    left = kept(nodes.join(above, ["doc_id", "item"]))
+    # Per parent: children that are settled, and what they add to its count.
+    ready = kept(nodes.join(above.select("doc_id", "item"), ["doc_id", "item"], "left_anti").withColumn("below", F.lit(0).cast("long")))
+    added, done = None, None
+    while True:
+        new = ready.where("parent is not null").groupBy("doc_id", F.col("parent").alias("item")).agg(F.count("*").alias("settled"), F.sum(1 + F.when(F.col("closed"), 0).otherwise(F.col("below"))).alias("below"))
+        added = kept(new if added is None else added.unionByName(new).groupBy("doc_id", "item").agg(F.sum("settled").alias("settled"), F.sum("below").alias("below")))
+        ready = kept(left.join(added, ["doc_id", "item"]).where("settled = kids").drop("settled", "kids"))
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        left = kept(left.join(ready.select("doc_id", "item"), ["doc_id", "item"], "left_anti"))
+        added = added.join(ready.select("doc_id", "item"), ["doc_id", "item"], "left_anti")
+    if done is None:
+        return nodes.select("doc_id", "item", F.lit(0).cast("long").alias("count")).limit(0)
+    return done.select("doc_id", "item", F.when(F.col("closed"), -F.col("below")).otherwise(F.col("below")).alias("count"))
+
+
 def outline_links(items: DataFrame) -> DataFrame:
     """/Prev, /Next, /First, /Last, /Count of outline items.
 
     ``items``: ``doc_id, item, parent (null at the top), pos, closed``. The count of an
-    open item is that of its visible descendants, of a closed one the same, negative.
+    open item is that of its visible descendants, of a closed one what it would be if open,
+    negative; items without children have none.
     """
     siblings = Window.partitionBy("doc_id", "parent").orderBy("pos")
     linked = items.withColumn("prev", F.lag("item").over(siblings)).withColumn("next", F.lead("item").over(siblings))
     ends = items.where("parent is not null").groupBy("doc_id", F.col("parent").alias("item")).agg(F.min_by("item", "pos").alias("first"), F.max_by("item", "pos").alias("last"))
-    return linked.join(ends, ["doc_id", "item"], "left")
+    return linked.join(ends, ["doc_id", "item"], "left").join(outline_counts(items), ["doc_id", "item"], "left")

@@ -63,7 +63,10 @@ def reverse_pages(pages: DataFrame) -> DataFrame:
 
 
 def insert_pages(pages: DataFrame, at: int, new: DataFrame) -> DataFrame:
-    """Pages of ``new`` before position ``at`` of their documents; documents with fewer pages than ``at`` don't get them."""
+    """Pages of ``new`` before position ``at`` of their documents.
+
+    Documents with fewer pages than ``at`` don't get them; ``insert_problems`` tells which.
+    """
     sized = pages.withColumn("__n", F.count("*").over(_doc()))
     place = F.greatest(F.lit(0), F.lit(at) if at >= 0 else F.col("__n") + at)
     old = sized.withColumn("__where", F.when(F.col("page_index") < place, 0).otherwise(2)).drop("__n")
@@ -72,6 +75,25 @@ def insert_pages(pages: DataFrame, at: int, new: DataFrame) -> DataFrame:
     return renumber(old.unionByName(fresh, allowMissingColumns=True), F.col("__where"), F.col("page_index")).drop("__where")
 
 
+def insert_problems(pages: DataFrame, at: int, new: DataFrame) -> DataFrame:
+    """``doc_id, problem`` of the documents of ``new`` for whose pages position ``at`` lies past the end, or that have no pages."""
+    sizes = pages.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    asked = new.select("doc_id").distinct().join(sizes, "doc_id", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    return asked.where(F.col("__n") < max(at, 0)).select("doc_id", F.concat(F.lit(f"insert at {at} of "), F.col("__n"), F.lit(" pages")).alias("problem"))
+
+
+def page_position(pages: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """``wanted`` with ``page_index``: where the first page with the same values of ``on`` lies in its document, null where none does."""
+    first = pages.groupBy("doc_id", *on).agg(F.min("page_index").alias("page_index"))
+    return wanted.join(first, ["doc_id", *on], "left")
+
+
+def remove_pages(pages: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """Without the first page of each document that has the values of ``on`` of a row of ``gone``."""
+    at = page_position(pages, gone.select("doc_id", *on).distinct(), on).where("page_index is not null").select("doc_id", "page_index")
+    return renumber(pages.join(at, ["doc_id", "page_index"], "left_anti"), F.col("page_index"))
+
+
 def extend_pages(pages: DataFrame, *others: DataFrame) -> DataFrame:
     """The pages of the others after those there are, by document."""
     all_ = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("__part", F.lit(k)) for k, df in enumerate((pages, *others))])

@@ -226,10 +226,11 @@ def nametree_lookup(spark, sf_dir):
     return graph.tree_lookup(tree, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) * 1.8)")
 def nametree_delete(spark, sf_dir):
-    tree = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return graph.tree_delete(tree, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    tree, orders = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders")
+    large = orders.crossJoin(F.broadcast(orders.agg((F.avg("o_totalprice") * 1.8).alias("bound")))).where("o_totalprice > bound")  # one row
+    return graph.tree_delete(tree, large.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
@@ -282,7 +283,7 @@ def _chains(spark, sf_dir):
     return chain.select(F.col("user_id").alias("holder"), F.lit("A").alias("slot"), F.col("page_index").alias("pos"), F.col("event_type").alias("subtype"), "event_id")
 
 
-@query(f"WITH {_CHAIN}, h AS (SELECT holder FROM a WHERE pos = 0 AND subtype IN ('click', 'error')), k AS (SELECT *, row_number() OVER (PARTITION BY holder ORDER BY pos) - 1 AS new_pos FROM a WHERE pos < 50 AND subtype NOT IN ('click', 'error') AND holder NOT IN (SELECT holder FROM h)) SELECT holder, event_id, subtype, new_pos AS pos, lead(new_pos) OVER (PARTITION BY holder ORDER BY new_pos) AS next_pos FROM k")
+@query(f"WITH {_CHAIN}, h AS (SELECT holder FROM a WHERE pos = 0 AND subtype IN ('click', 'error')), k AS (SELECT *, row_number() OVER (PARTITION BY holder ORDER BY pos) - 1 AS new_pos FROM a WHERE subtype NOT IN ('click', 'error') AND holder NOT IN (SELECT holder FROM h)) SELECT holder, event_id, subtype, new_pos AS pos, lead(new_pos) OVER (PARTITION BY holder ORDER BY new_pos) AS next_pos FROM k")
 def action_prune(spark, sf_dir):
     made = actions.prune_chains(_chains(spark, sf_dir), ["click", "error"])
     return made.select("holder", "event_id", "subtype", F.col("pos").cast("long").alias("pos"), F.col("next_pos").cast("long").alias("next_pos"))
@@ -470,11 +471,16 @@ def json_overlay(spark, sf_dir):
     return metadata.overlay(base, orders.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("patched").alias("v")), ["o_orderkey"])
 
 
-@query("WITH i AS (SELECT conv_id AS doc_id, turn AS item, CASE WHEN turn < 2 THEN NULL ELSE turn // 2 - 1 END AS parent, turn AS pos FROM conversations), l AS (SELECT *, lag(item) OVER s AS prev, lead(item) OVER s AS next FROM i WINDOW s AS (PARTITION BY doc_id, parent ORDER BY pos)), e AS (SELECT doc_id, parent AS item, min(item) AS first, max(item) AS last FROM i WHERE parent IS NOT NULL GROUP BY 1, 2) SELECT l.doc_id, l.item, l.parent, prev, next, first, last FROM l LEFT JOIN e ON l.doc_id = e.doc_id AND l.item = e.item")
+@query("""WITH RECURSIVE i AS (SELECT conv_id AS doc_id, turn AS item, CASE WHEN turn < 2 THEN NULL ELSE turn // 2 - 1 END AS parent, turn AS pos, turn % 3 = 2 AS closed FROM conversations),
+l AS (SELECT *, lag(item) OVER s AS prev, lead(item) OVER s AS next FROM i WINDOW s AS (PARTITION BY doc_id, parent ORDER BY pos)),
+e AS (SELECT doc_id, parent AS item, min(item) AS first, max(item) AS last FROM i WHERE parent IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT doc_id, parent AS top, item, closed FROM i WHERE parent IS NOT NULL UNION ALL SELECT v.doc_id, v.top, i.item, i.closed FROM v JOIN i ON i.doc_id = v.doc_id AND i.parent = v.item WHERE NOT v.closed),
+c AS (SELECT doc_id, top AS item, count(*) AS n FROM v GROUP BY 1, 2)
+SELECT l.doc_id, l.item, l.parent, prev, next, first, last, CASE WHEN closed THEN -n ELSE n END AS count FROM l LEFT JOIN e ON l.doc_id = e.doc_id AND l.item = e.item LEFT JOIN c ON l.doc_id = c.doc_id AND l.item = c.item""")
 def outline_links(spark, sf_dir):
     turn = F.col("turn")
-    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("item"), F.when(turn >= 2, F.floor(turn / 2) - 1).alias("parent"), turn.alias("pos"), F.lit(False).alias("closed"))
-    return graph.outline_links(items).select("doc_id", "item", "parent", "prev", "next", "first", "last")
+    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("item"), F.when(turn >= 2, F.floor(turn / 2) - 1).alias("parent"), turn.alias("pos"), (turn % 3 == 2).alias("closed"))
+    return graph.outline_links(items).select("doc_id", "item", "parent", "prev", "next", "first", "last", "count")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN left(o_orderpriority || o_orderstatus, 5) ELSE left(replace(o_orderpriority || chr(10) || o_orderstatus, chr(10), ''), 7) END AS value, CASE o_orderkey % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'button' WHEN 2 THEN 'radio' WHEN 3 THEN 'checkbox' WHEN 4 THEN 'choice' ELSE 'signature' END AS kind FROM orders")

@@ -121,11 +121,11 @@ def _annotations(doc: Document) -> Iterator[tuple]:
                 yield i, seq, _text(a.get("/Subtype")), flags if isinstance(flags, int) else 0, _numbers(doc, a.get("/Rect")), _text(doc.get(a.get("/T"))), to_json(a)
 
 
-def _chain(doc: Document, action, most: int = 50) -> Iterator[tuple[int, dict]]:
-    """An action and what follows it, a branch before the next; each once."""
+def _chain(doc: Document, action) -> Iterator[tuple[int, dict]]:
+    """An action and all that follows it, a branch before the next; each once."""
     todo, seen, pos = [action], set(), 0
-    while todo and pos < most:
-        ref = todo.pop(0)
+    while todo:
+        ref = todo.pop()
         if isinstance(ref, Ref):
             if ref in seen:
                 continue
@@ -134,7 +134,7 @@ def _chain(doc: Document, action, most: int = 50) -> Iterator[tuple[int, dict]]:
             yield pos, value
             pos += 1
             after = doc.get(value.get("/Next"))
-            todo = (list(after) if isinstance(after, list) else [value["/Next"]] if "/Next" in value else []) + todo
+            todo += after[::-1] if isinstance(after, list) else [value["/Next"]] if "/Next" in value else []
 
 
 def _slots(doc: Document) -> Iterator[tuple[str, str, object]]:

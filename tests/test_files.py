@@ -413,6 +413,42 @@ def test_graft(spark):
     assert sorted((r.node, r.parent, r.pos) for r in got.collect()) == [(1, None, 0), (3, 1, 0), (5, 1, 1), (6, 1, 2)]
 
 
+def test_graft_of_any_depth(spark):
+    """A chain of 200 nodes of which every second goes, a run of 120 that goes as a whole, and a circle."""
+    from quire.operators.actions import graft
+
+    chain = [(1, i, i - 1 if i else None, 0, "X" if i % 2 else "A") for i in range(200)]
+    run = [(2, i, i - 1 if i else None, 0, "A" if i in (0, 121) else "X") for i in range(122)]
+    circle = [(3, 0, None, 0, "A"), (3, 1, 2, 0, "X"), (3, 2, 1, 0, "X"), (3, 3, 2, 0, "A")]
+    got = graft(spark.createDataFrame(chain + run + circle, "holder int, node int, parent int, pos int, subtype string"), ["X"]).collect()
+    of = lambda k: sorted((r.node, r.parent) for r in got if r.holder == k)
+    assert of(1) == [(i, i - 2 if i else None) for i in range(0, 200, 2)]
+    assert of(2) == [(0, None), (121, 0)] and of(3) == [(0, None)]
+
+
+def test_long_chains_of_actions_stay(spark):
+    from quire.operators.actions import prune_chains
+
+    rows = [(1, "A", i, "JavaScript" if i % 10 == 5 else "GoTo") for i in range(200)]
+    got = prune_chains(spark.createDataFrame(rows, "holder int, slot string, pos int, subtype string"), ["JavaScript"]).collect()
+    assert sorted(r.pos for r in got) == list(range(180)) and {r.subtype for r in got} == {"GoTo"}
+
+
+def test_long_closure(spark):
+    from quire.operators.graph import closure
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "src int, dst int")
+    assert closure(edges, spark.createDataFrame([(0,)], "node int")).count() == 71
+
+
+def test_insert_past_the_end_is_told(spark):
+    from quire.operators import pages
+
+    own = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id int, page_index int")
+    new = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "doc_id int, page_index int")
+    assert sorted(map(tuple, pages.insert_problems(own, 2, new).collect())) == [(2, "insert at 2 of 1 pages"), (3, "insert at 2 of 0 pages")]
+
+
 def test_closure_ends_on_circles(spark):
     from quire.operators.graph import closure
 
