@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from quire.llm import chat, decontam, pii, syncmers
 
@@ -182,50 +183,108 @@ def test_pii_rows(odd, empty):
     assert pii.counted(pii.pseudonymise(empty, KEY)).count() == 0
 
 
-def brute_edit(docs):
-    rows = sorted(((d, t or "") for d, t in docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+def xx(data, seed=42):
+    """Spark's hash of a string, or of a long on top of another hash."""
+    data = data.encode() if isinstance(data, str) else data.to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(data, seed % 2**64)
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def brute_anchors(text):
+    """Place and hash of every run of 12 code points whose least inner run of 4 is the first or the last."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    out = []
+    inner = []
+    for i in range(len(low) - 3):
+        h = 42
+        for c in low[i : i + 4]:
+            h = xx(c, h)
+        inner.append(signed(h))
+    for i in range(len(low) - 11):
+        if min(inner[i : i + 9]) in (inner[i], inner[i + 8]):
+            h = 42
+            for j in (0, 4, 8):
+                h = xx(inner[i + j] % 2**64, h)
+            out.append((i, h))
+    return out or [(0, xx(low))]
+
+
+def brute_marks(text):
+    first = {}
+    for at, h in brute_anchors(text):
+        first.setdefault(h >> 32, at)
+    depth = sum(len(first) > 64 << k for k in range(3))
+    return depth, {v: at for v, at in sorted(first.items()) if v < 2**32 >> depth}
+
+
+def brute_fingerprint(text):
+    depth, marks = brute_marks(text)
+    return f"{depth}:" + ",".join(f"{v:08x}@{at}" for v, at in marks.items())
+
+
+def brute_likeness(one, two):
+    (d1, a), (d2, b) = brute_marks(one), brute_marks(two)
+    a, b = ({v: at for v, at in m.items() if v < 2**32 >> max(d1, d2)} for m in (a, b))
+    if not len(a) + len(b) > 1:
+        return 0.0
+    moved = Counter(b[v] - at for v, at in a.items() if v in b)
+    few = min(len(a), len(b)) < 16
+    return 2 * sum(n for n in moved.values() if few or n > 1) / (len(a) + len(b))
+
+
+def brute_next(docs):
+    rows = sorted(((d, t or "") for d, t in docs), key=lambda r: (r[0] is not None, r[0] or 0, signed(xx(r[1])), r[1]))
     out = []
     for i, (d, t) in enumerate(rows):
         after, half = rows[(i + 1) % len(rows)][1], len(t) // 2
-        out.append((d, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+        made = t[: len(t) - half] + after[:half]
+        out.append((d, len(t), hashlib.sha256(made.encode()).hexdigest(), brute_fingerprint(t), brute_fingerprint(made), round(brute_likeness(t, made), 9), round(brute_likeness(t, after), 9)))
     return Counter(out)
 
 
 @pytest.mark.parametrize("rows", [4, 1024])
-def test_edited_texts(spark, small, odd, monkeypatch, rows):
+def test_syncmers_by_brute_force(spark, small, odd, monkeypatch, rows):
     monkeypatch.setattr(syncmers, "SLICE_ROWS", rows)
-    for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd):
+    for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd, odd.withColumn("doc_id", F.lit(None).cast("long")), odd.withColumn("doc_id", F.lit(7).cast("long"))):
         got = syncmers.digest(syncmers.compare_next(docs)).collect()
-        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == brute_edit([(r.doc_id, r.text) for r in docs.collect()])
+        assert Counter((*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == brute_next([(r.doc_id, r.text) for r in docs.collect()])
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
-def test_syncmers_are_closed_and_context_free(spark):
-    rng = random.Random(2)
-    words = [f"w{rng.randrange(500)}" for _ in range(300)]
-    texts = [(0, " ".join(words)), (1, " ".join(["zz"] * 7 + words[100:]))]
-    got = syncmers.with_anchors(spark.createDataFrame(texts, "id long, text string"), "text", "a").orderBy("id").collect()
-    first, second = ({(x.at, x.hash) for x in r.a} for r in got)
-    assert {(at - 100 + 7, h) for at, h in first if at >= 100} == {(at, h) for at, h in second if at >= 7}
-    assert 0.3 < len(first) / 296 < 0.7
-    pairs = spark.createDataFrame([(i, words[i], words[i + 1]) for i in range(299)], "i long, a string, b string").select("i", F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).collect()
-    s = {r[0]: r[1] for r in pairs}
-    assert {at for at, _ in first} == {i for i in range(296) if min(s[i + j] for j in range(4)) in (s[i], s[i + 3])}
+def test_blocks_make_no_difference(spark, monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdé 漢") for _ in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, text[:1500])], "doc_id long, text string")
+    want = sorted(map(tuple, syncmers.digest(syncmers.compare_next(docs)).collect()))
+    monkeypatch.setattr(syncmers, "BLOCK", 37)
+    assert sorted(map(tuple, syncmers.digest(syncmers.compare_next(docs)).collect())) == want
+
+
+def test_syncmers_of_text_ids(spark):
+    docs = spark.createDataFrame([("b", "some text of a few words"), ("a", "another text"), (None, "third")], "doc_id string, text string")
+    got = syncmers.compare_next(docs).collect()
+    assert {r.doc_id: r.edited for r in got} == {None: "thian", "a": "anothesome t", "b": "some text ofthird"}
 
 
-def test_syncmer_likeness(spark, empty):
+def test_syncmer_likeness(spark, small, empty):
+    """Close to the share of common anchors where half of a text is its own; texts without spaces too."""
     rng = random.Random(4)
-    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
-    other = " ".join(f"v{rng.randrange(10**6)}" for _ in range(400))
-    docs = spark.createDataFrame([(1, text), (2, text), (3, other), (4, "a b"), (5, "a b")], "doc_id long, text string")
-    # Of texts of five words some have no closed run.
-    five = spark.createDataFrame([(i, " ".join(f"u{rng.randrange(99)}" for _ in range(5))) for i in range(60)], "doc_id long, text string")
-    assert all(len(r.fingerprint) == 8 for r in syncmers.digest(syncmers.compare_next(five)).collect())
-    got = {r.doc_id: r for r in syncmers.digest(syncmers.compare_next(docs)).collect()}
-    assert got[1].fingerprint == got[2].fingerprint and got[1].near_next == 1 and got[4].near_next == 1 and got[2].near_next < 0.1
-    assert 0.15 < got[2].near_edited < 0.55
+    kana = [chr(0x3042 + rng.randrange(80)) for _ in range(80)]
+    docs = [(1, "".join(kana[:40])), (2, "".join(kana[40:])), (3, "a b"), (4, "a b")]
+    got = {r.doc_id: r for r in syncmers.digest(syncmers.compare_next(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert got[1].near_edited > 0.2 and got[2].near_edited > 0.2 and got[1].near_next == 0
+    assert got[3].fingerprint == got[4].fingerprint and got[3].near_next == 1
     assert syncmers.compare_next(empty).count() == 0
-    assert syncmers.compare_next(docs.where("doc_id = 3")).first().near_next == 1
+    off = []
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    for one, two in zip(texts, texts[1:], strict=False):
+        made = one[: len(one) - len(one) // 2] + two[: len(one) // 2]
+        a, b = ({h for _, h in brute_anchors(t)} for t in (one, made))
+        off.append(abs(brute_likeness(one, made) - 2 * len(a & b) / (len(a) + len(b))))
+    assert sum(off) / len(off) < 0.05
 
 
 TOOLS = {"add": chat.Tool({"a": "integer", "b": "number"}, ["a"]), "say": chat.Tool({"text": "string"}, [], True)}
