@@ -45,8 +45,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.exchanges(table(spark, sf_dir, "conversations"))
-    return chat.digest(chat.link(calls, results, chat.REPLY))
+    return chat.digest(chat.link(*chat.exchanges(table(spark, sf_dir, "conversations")), chat.REPLY))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,7 +305,7 @@ def test_chat_linking(spark):
         (3, 0, 0, None, "say", "not json"),
     ]
     results = [(1, 1, 0, "c1", "3.5"), (1, 3, 0, "c2", 'a "quoted" é\n'), (1, 5, 0, "c3", None), (1, 9, 0, "gone", "x"), (2, 5, 0, "x", "x")]
-    got = chat.link(spark.createDataFrame(calls, "conv_id long, turn long, place long, call_id string, tool string, arguments string"), spark.createDataFrame(results, "conv_id long, turn long, place long, call_id string, content string"), TOOLS)
+    got = chat.link(spark.createDataFrame(calls, "conv_id long, turn long, place long, call_id string, tool string, arguments string"), spark.createDataFrame(results, "conv_id long, turn long, place long, call_id string, content string"), None, TOOLS)
     by = {(r.conv_id, r.kind, r.call_id, r.place): r for r in got.collect()}
     assert len(by) == len(calls) + len(results)
     at = lambda *k: (by[k].level, by[k].status, by[k].problems)
@@ -319,7 +319,7 @@ def test_chat_linking(spark):
     assert at(2, "call", "x", 0)[:2] == (None, "circular") and at(2, "call", "z", 0)[0] is None
     assert by[None, "call", "c1", 0].status == "no id" and by[3, "call", None, 0].status == "no id"
     assert by[1, "call", "c1", 0].json == '{"arguments":{"a":1,"b":2.5},"id":"c1","name":"add","type":"call"}'
-    assert by[1, "result", "c2", 0].json == '{"content":"a \\"quoted\\" é\\n","type":"result","tool_call_id":"c2"}'
+    assert by[1, "result", "c2", 0].json == '{"content":"a \\"quoted\\" é\\n","tool_call_id":"c2","type":"result"}'
 
 
 def test_chat_from_turns(spark):
@@ -331,6 +331,66 @@ def test_chat_from_turns(spark):
     ]
     talk = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, call_id int")
     got = {(r.kind, r.call_id): (r.status, r.problems) for r in chat.link(*chat.parsed(talk), TOOLS).collect()}
-    assert got == {("call", "a"): ("linked", []), ("call", "b"): ("no result", ["missing:a"]), ("result", "a"): ("linked", [])}
-    assert chat.link(*chat.parsed(talk.limit(0)), TOOLS).count() == 0
-    assert chat.link(*chat.exchanges(talk), chat.REPLY).count() == 2
+    assert got == {("call", "a"): ("linked", []), ("call", "b"): ("no result", ["missing:a"]), ("result", "a"): ("linked", []), ("message", None): ("message", [])}
+    assert chat.link(*chat.parsed(talk), TOOLS).count() == 5  # two calls in one turn
+    assert chat.link(*chat.parsed(talk.limit(0)), TOOLS).count() == 0 and chat.link(*chat.exchanges(talk.limit(0)), chat.REPLY).count() == 0
+    clash = talk.selectExpr("*", "1 as level", "2 as n_calls", "3 as depth", "4 as status", "5 as named", "6 as kind", "7 as m", "8 as json", "9 as place")
+    for rows in (talk, clash):
+        kinds = sorted(r.kind for r in chat.link(*chat.exchanges(rows), chat.REPLY).collect())
+        assert kinds == ["call", "message", "message", "result"]  # every turn, and the tool's and the null one as messages
+
+
+def brute_depth(edges):
+    """Longest way before each node, None on or behind a circle, by walking every way."""
+    before = {}
+    for a, b in edges:
+        before.setdefault(a, set()).add(b)
+
+    def depth(x, way):
+        if x in way:
+            return None
+        found = [depth(y, way | {x}) for y in before.get(x, ())]
+        return None if None in found else 1 + max(found) if found else 0
+
+    return {a: depth(a, frozenset()) for a in before}
+
+
+def test_levels_by_brute_force(spark):
+    """Random graphs, sparse ones with long chains and denser ones, with circles."""
+    rng = random.Random(8)
+    calls, want = [], {}
+    for conv in range(40):
+        n = rng.choice([3, 6, 12, 20])
+        refs = {i: rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3]))) for i in range(n)}
+        if conv % 3 == 0:
+            refs[0] = [rng.randrange(n)]
+        calls += [(conv, i, 0, f"c{i}", "say", '{"r": [' + ", ".join(f'{{"$result": "c{j}"}}' for j in refs[i]) + "]}") for i in range(n)]
+        depth = brute_depth([(i, j) for i in refs for j in refs[i]])
+        want |= {(conv, f"c{i}"): 2 * depth[i] if i in depth and depth[i] is not None else None if i in depth else 0 for i in range(n)}
+    df = spark.createDataFrame(calls, "conv_id long, turn long, place long, call_id string, tool string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, turn long, place long, call_id string, content string")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.link(df, none, None, TOOLS).collect()}
+    assert got == want
+
+
+def test_a_chain_of_a_thousand_calls(spark):
+    calls = spark.range(1000).selectExpr("1L as conv_id", "id as turn", "0 as place", "concat('c', id) as call_id", "'say' as tool", """concat('{"deep": [{"x": {"$result": "c', id - 1, '"}}]}') as arguments""")
+    none = spark.createDataFrame([], "conv_id long, turn long, place long, call_id string, content string")
+    got = chat.link(calls, none, None, TOOLS).select("turn", "level").collect()
+    assert all(r.level == 2 * r.turn for r in got) and len(got) == 1000
+
+
+def test_canonical_json(spark):
+    texts = ['{"b": 1e2, "a": [1.0, -0, 0.50, 1E-7, 123456789012345678901234567890, 12.5e1], "c": "1.0 \\"2e5\\" x"}', "1.50", "not json", None, '{"a":1,"a":2', '"\\u0041é"', "[]", "true"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    got = [r.c for r in rows.select("i", chat.canonical("j").alias("c")).orderBy("i").collect()]
+    assert got == ['{"a":[1,0,0.5,0.0000001,123456789012345678901234567890,125],"b":100,"c":"1.0 \\"2e5\\" x"}', "1.5", None, None, None, '"Aé"', "[]", "true"]
+
+
+def test_references_with_escapes_and_long_texts(spark):
+    long = "x" * 3_000_000
+    calls = [(1, 0, 0, 'a"b', "say", "{}"), (1, 1, 0, "c", "say", '{"r": {"\\u0024result": "a\\"b"}}'), (1, 2, 0, "d", "say", '{"text": "{\\"$result\\":\\"c\\"}", "r": {"$result": "c", "more": 1}}'), (1, 3, 0, "e", "say", '{"text": "' + long + '"}')]
+    df = spark.createDataFrame(calls, "conv_id long, turn long, place long, call_id string, tool string, arguments string")
+    none = spark.createDataFrame([(1, 4, 0, "e", long)], "conv_id long, turn long, place long, call_id string, content string")
+    got = {(r.kind, r.call_id): (r.level, len(r.json)) for r in chat.link(df, none, None, TOOLS).collect()}
+    assert [got["call", k][0] for k in ('a"b', "c", "d", "e")] == [0, 2, 0, 0] and got["result", "e"][1] > 3_000_000
