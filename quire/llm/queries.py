@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,11 +14,21 @@ from pyspark.sql import functions as F
 from quire.llm import bpe, chat, decontam, langid, pii, quality, simhash, syncmers, toxicity, warc
 from quire.llm.common import held_out, table
 
-#: Pseudonyms stay the same as long as the key does.
-PII_KEY = "quire-pseudonyms-1"
+#: The setting that holds the key of pseudonyms, which stay the same as long as it does. Spark blacks out what is called a secret.
+PII_SETTING = "spark.quire.pii.secret"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def _key_of(application: str) -> str:
+    return secrets.token_hex(32)
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key that the session or the variable QUIRE_PII_SECRET sets; else one that only this application knows."""
+    return spark.conf.get(PII_SETTING, None) or os.environ.get("QUIRE_PII_SECRET") or _key_of(spark.sparkContext.applicationId)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
 
@@ -61,7 +74,7 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.counted(pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY))
+    return pii.counted(pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_chat, op4_toxicity, op5_decontamination, op6_language, op7_quality, op8_warc, op9_syncmers, op10_pii)}

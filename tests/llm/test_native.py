@@ -1,4 +1,5 @@
 import hashlib
+import hmac
 import random
 import re
 from collections import Counter
@@ -74,7 +75,7 @@ KEY = "k"
 
 def brute_feistel(tweak, x, y, mx, my):
     for r in range(1, pii.ROUNDS + 1):
-        add = lambda other, tweak=tweak, r=r: int(hashlib.sha256(f"{KEY}|{tweak}|{r}|{other}".encode()).hexdigest()[:15], 16)
+        add = lambda other, tweak=tweak, r=r: int(hmac.new(hashlib.sha512(KEY.encode()).digest(), f"{tweak}|{r}|{other}".encode(), "sha512").hexdigest()[:15], 16)
         if r % 2:
             x = (x + add(y) % mx) % mx
         else:
@@ -171,6 +172,25 @@ def test_values_within_texts(spark):
     assert [p.kind for p in got[2].pii] == ["email", "ip"] and got[2].text.endswith("!") and "@mail.example.com, or " in got[2].text
 
 
+def test_no_plan_holds_the_key(spark, capsys):
+    secret = "f3a9-not-in-any-plan"
+    made = pii.pseudonymise(spark.createDataFrame([(1, "on 2020-01-02")], "doc_id long, text string"), secret)
+    made.explain("extended")
+    shown = capsys.readouterr().out + made._jdf.queryExecution().toString()
+    inner = bytes(b ^ 0x36 for b in hashlib.sha512(secret.encode()).digest())
+    assert secret not in shown and inner.hex() not in shown.lower().replace(" ", "") and "2020-01-02" not in made.first().text
+
+
+def test_the_key_comes_from_the_session(spark):
+    from quire.llm import queries
+
+    own = queries.pii_key(spark)
+    assert own == queries.pii_key(spark) and len(own) == 64
+    spark.conf.set(queries.PII_SETTING, "mine")
+    assert queries.pii_key(spark) == "mine"
+    spark.conf.unset(queries.PII_SETTING)
+
+
 def test_pseudonyms_are_a_permutation(spark):
     ids = spark.range(3000).select("id", F.expr("concat(lpad(id + 1, 3, '0'), '.', '0.0.1')").alias("x"), F.expr("date_format(date_add(date'2000-01-01', cast(id as int)), 'yyyy-MM-dd')").alias("text"))
     assert pii.pseudonymise(ids, KEY).select("text").distinct().count() == 3000
@@ -394,3 +414,9 @@ def test_references_with_escapes_and_long_texts(spark):
     none = spark.createDataFrame([(1, 4, 0, "e", long)], "conv_id long, turn long, place long, call_id string, content string")
     got = {(r.kind, r.call_id): (r.level, len(r.json)) for r in chat.link(df, none, None, TOOLS).collect()}
     assert [got["call", k][0] for k in ('a"b', "c", "d", "e")] == [0, 2, 0, 0] and got["result", "e"][1] > 3_000_000
+
+
+def test_unpadded_days_before_a_padded_month(spark):
+    rows = [(i, f"on {d} again") for i, d in enumerate(("2/11/2018", "12/1/2018", "2.11.2018", "2018/1/12", "2018-1-12", "11/2/2018", "2/13/2018"))]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    assert all(len(r.pii) == 1 and r.pii[0].kind == "date" for r in got)

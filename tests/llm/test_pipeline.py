@@ -31,7 +31,7 @@ def test_stages(spark, small, tmp_path):
         assert 0 < len(ids) <= before.count()
         assert name == "tokens" or docs.columns == columns
     texts = {r.doc_id: r.text for r in kept["pii"].collect()}
-    assert texts == {r.doc_id: r.text for r in pii.pseudonymise(kept["decontamination"], queries.PII_KEY).collect()}
+    assert texts == {r.doc_id: r.text for r in pii.pseudonymise(kept["decontamination"], queries.pii_key(spark)).collect()}
     public = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in kept["tokens"].collect():
         ids = public.encode(texts[r.doc_id], add_special_tokens=False).ids
