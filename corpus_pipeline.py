@@ -38,7 +38,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymise(docs, queries.PII_KEY)
+    made = pii.pseudonymise(docs, queries.pii_key(spark))
     return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
