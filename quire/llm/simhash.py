@@ -2,22 +2,26 @@
 
 Two fingerprints that differ in at most ``radius`` bits share a variant that is
 at most half the radius away from each. Every distinct fingerprint therefore
-stands for all its variants within half the radius, and fingerprints that meet
-on a variant are linked (they cannot be further apart than the radius, and the
-link is verified all the same).
+stands for all its variants within half the radius; fingerprints that meet
+on a variant are paired, and each pair's bits are compared before it links.
 
 The variants are not sent one by one. What is shuffled is the leading bits of
 the variants: a fingerprint goes to each prefix that its variants have (79 of
 2,081 variants for 12 bits and 2 flips), and a task makes the variants of one
-prefix, in blocks of a fixed size, and sorts them. Within a prefix the links are
+prefix, in blocks of a fixed size, and sorts them. A prefix that more than ``CROWDED``
+come to is split by four more bits, until none is. Within a prefix the links are
 cut down to a spanning forest before they leave the task, so that a group of
 near copies gives no more links than rows came in.
 
+The nodes that are linked are the distinct fingerprints; ids only come in at the end,
+as the smallest of each component, so they may be of any type that has an order.
+
 Rows: a null or empty text has no words and fingerprint zero, linked like any
 other; repeated texts share a fingerprint and hence a component; a row with a
 null id takes part in linking, is never a representative while its component
-has any id, and gets a null component if it has none; an empty table gives an
-empty one; other columns are ignored.
+has any id, and gets a null component if it has none; ties are equal ids and give
+equal rows; very long texts are hashed whole, shingle by shingle; an empty table
+gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ from quire.llm.components import components
 
 #: Variants that a task holds at a time.
 BLOCK = 1 << 20
-#: Ids of fingerprints whose rows all have a null id start here.
-NO_ID = 1 << 62
+#: Fingerprints that may come to one prefix, and the bits by which a fuller one is split.
+CROWDED, DEEPER = 1 << 18, 4
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
 
@@ -134,23 +138,48 @@ def forest(pairs: Iterator[np.ndarray], n: int) -> np.ndarray:
     return np.array([top(i) for i in range(n)], np.int64)
 
 
+def verified(pairs: Iterator[np.ndarray], fp: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """The pairs of nodes whose fingerprints differ in at most ``radius`` bits."""
+    for block in pairs:
+        yield block[np.bitwise_count(fp[block[:, 0]] ^ fp[block[:, 1]]) <= radius]
+
+
+def _turned(bits: int, depth: int, half: int) -> str:
+    """SQL: masks that flip at most ``half`` of the ``depth`` bits behind the first ``bits``."""
+    low = 64 - bits - depth
+    masks = [(m << low) - (1 << 64 if m << low >> 63 else 0) for m, _ in flips(depth, half)]
+    return f"from_json('{masks}', 'array<bigint>')"
+
+
 def links(fps: DataFrame, radius: int = 4, prefix_bits: int = 12) -> DataFrame:
-    """``a, b``: enough links between the distinct fingerprints ``fp`` (with the node id ``rep``) to join all that are within ``radius``."""
-    half, low = radius // 2, 64 - prefix_bits
-    masks = [(m << low) - (1 << 64 if m >> (prefix_bits - 1) & 1 else 0) for m, _ in flips(prefix_bits, half)]
-    sent = fps.select("fp", "rep", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    sent = sent.select(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("mask")), low).alias("prefix"), F.col("fp").bitwiseXOR(F.col("mask")).alias("center"), "fp", "rep")
+    """``a, b``: enough links between the distinct fingerprints ``fp`` to join all that are within ``radius``."""
+    half = radius // 2
+    sent = fps.select("fp", F.explode(F.expr(_turned(0, prefix_bits, half))).alias("mask"))
+    sent = sent.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("center"), F.lit(prefix_bits).alias("bits"))
+    prefix = F.expr("shiftrightunsigned(center, 64 - bits)")
+    bits, done = prefix_bits, None
+    while bits + DEEPER <= 64:
+        full = saved(sent.groupBy(prefix.alias("full")).count().where(F.col("count") > CROWDED).select("full"))
+        if full.isEmpty():
+            break
+        crowded = sent.withColumn("full", prefix).join(full, "full", "left_semi").drop("full")
+        rest = sent.withColumn("full", prefix).join(full, "full", "left_anti").drop("full")
+        done = rest if done is None else done.union(rest)
+        deeper = crowded.select("fp", F.explode(F.expr(f"transform({_turned(bits, DEEPER, half)}, m -> center ^ m)")).alias("center"), F.lit(bits + DEEPER).alias("bits"))
+        sent = deeper.where(F.bit_count(F.col("center").bitwiseXOR(F.col("fp"))) <= half)
+        bits += DEEPER
+    sent = sent if done is None else done.union(sent)
 
     def run(t: pa.Table) -> pa.Table:
-        center, fp, rep = (t.column(c).to_numpy() for c in ("center", "fp", "rep"))
-        order = np.argsort(rep)
-        center, fp, rep = center[order].view(np.uint64), fp[order].view(np.uint64), rep[order]
+        order = np.argsort(t.column("fp").to_numpy())
+        signed = t.column("fp").to_numpy()[order]
+        center, fp, bits = t.column("center").to_numpy()[order].view(np.uint64), signed.view(np.uint64), t.column("bits")[0].as_py()
         used = np.bitwise_count(center ^ fp).astype(np.int64)
-        root = forest(_meetings(center, used, np.arange(len(rep)), prefix_bits, half), len(rep))
-        linked = root != np.arange(len(rep))
-        return pa.table({"a": rep[linked], "b": rep[root[linked]]})
+        root = forest(verified(_meetings(center, used, np.arange(len(fp)), bits, half), fp, radius), len(fp))
+        linked = root != np.arange(len(fp))
+        return pa.table({"a": signed[linked], "b": signed[root[linked]]})
 
-    return sent.groupBy("prefix").applyInArrow(run, "a bigint, b bigint")
+    return sent.groupBy("bits", prefix.alias("prefix")).applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -158,11 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if radius % 2:
         raise ValueError("the radius must be even: each side flips half of it")
     of_docs = saved(fingerprints(docs, id_col, text_col, width))
-    spare = F.lit(NO_ID) + F.shiftrightunsigned("fp", 2)
-    fps = saved(of_docs.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).withColumn("rep", F.coalesce("rep", spare)))
+    fps = saved(of_docs.groupBy("fp").agg(F.min(id_col).alias("least")))
     # A prefix holds 2^13 fingerprints or fewer on average, at any size of the corpus.
     bits = max(12, math.ceil(math.log2(max(1, fps.count()) / (1 << 13))))
-    roots = components(links(fps, radius, bits), "a", "b")
-    found = saved(fps.join(roots, fps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
-    joined = of_docs.join(found, "fp", "left")
-    return joined.select(id_col, "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    roots = components(links(fps.select("fp"), radius, bits), "a", "b")
+    rooted = saved(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return of_docs.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left").select(id_col, "fp", "component_id")

@@ -42,8 +42,9 @@ def test_hash_is_sparks(spark):
     assert spark.sql("select xxhash64('é b c d')").first()[0] % (1 << 64) == xxhash.xxh64_intdigest("é b c d".encode(), 42)
 
 
-@pytest.mark.parametrize("bits", [4, 12])
-def test_links_lose_nothing(spark, bits):
+@pytest.mark.parametrize(("bits", "crowded"), [(4, 1 << 18), (12, 1 << 18), (4, 20), (12, 3)])
+def test_links_lose_nothing(spark, monkeypatch, bits, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = random.Random(5)
     fps = []
     for _ in range(25):
@@ -54,9 +55,9 @@ def test_links_lose_nothing(spark, bits):
                 x ^= 1 << b
             fps.append(x)
     rows = [(i, f) for i, f in enumerate(dict.fromkeys(fps))]
-    signed = [(f - (1 << 64) if f >> 63 else f, i) for i, f in rows]
-    df = spark.createDataFrame(signed, "fp long, rep long")
-    pairs = [np.array([[r.a, r.b]]) for r in simhash.links(df, 4, bits).collect()]
+    node = {f - (1 << 64) if f >> 63 else f: i for i, f in rows}
+    df = spark.createDataFrame([(f,) for f in node], "fp long")
+    pairs = [np.array([[node[r.a], node[r.b]]]) for r in simhash.links(df, 4, bits).collect()]
     root = simhash.forest(iter(pairs), len(rows))
     assert dict(enumerate(root.tolist())) == brute_components(rows)
 
@@ -88,6 +89,21 @@ def test_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_pairs_are_verified():
+    fp = np.array([0, 0b1111, 0b11111], np.uint64)
+    made = list(simhash.verified(iter([np.array([[0, 1], [0, 2], [1, 2]])]), fp, 4))
+    assert np.concatenate(made).tolist() == [[0, 1], [1, 2]]
+
+
+def test_any_ids(spark):
+    """Ids from 2^62 on, negative ones, text ids."""
+    big = [(2**62 + 9, "same words here"), (2**62 + 5, "same words here"), (2**63 - 1, "other"), (-(2**63), "other"), (None, "other"), (-5, None)]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(big, "doc_id long, text string")).collect()}
+    assert got == {(2**62 + 9, 2**62 + 5), (2**62 + 5, 2**62 + 5), (2**63 - 1, -(2**63)), (-(2**63), -(2**63)), (None, -(2**63)), (-5, -5)}
+    named = spark.createDataFrame([(str(i), t) for i, t in big if i is not None], "doc_id string, text string")
+    assert {r.component_id for r in simhash.near_duplicates(named).collect()} == {"-5", str(-(2**63)), str(2**62 + 5)}
+
+
 def test_odd_radius(odd):
     with pytest.raises(ValueError):
         simhash.near_duplicates(odd, radius=3)
