@@ -9,19 +9,23 @@ The kept hashes are joined, and each joined pair is extended over the windows
 around it, word by word; what is equal is a hit. Short items are their own
 ``k``-grams.
 
-A bitmap of the items' hashes, of a fixed size, keeps a text's hashes that no item
-has from leaving the row; it only saves work. The items' table is broadcast if its
-counted rows are few, and else joined by a shuffle.
+A bitmap of the items' hashes keeps a text's hashes that no item has from leaving
+the row; it only saves work. It has ``BITS`` bits for each of the items' counted hashes, up
+to ``MOST_LONGS`` longs, and is a constant of the plan, shared by all rows. The items' table is
+broadcast if its counted rows are few, and else joined by a shuffle, in which the join's skew
+handling splits a frequent hash.
 
 Rows: a null text has no words, an empty one neither, so nothing hits them; rows
-that repeat id and text are one row of the result; items with a null id or
-without words are left out; an item that occurs repeatedly counts once; a null id
-is kept as such; empty tables of texts or items give an empty result or no hits;
-other columns are ignored.
+that repeat id and text are counted and give as many equal rows of the result; items with a
+null id or without words are left out; an item that occurs repeatedly counts once, and so do
+ties between items in the join; a null id is kept as such; very long texts are searched whole;
+empty tables of texts or items give an empty result or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +33,8 @@ from quire.llm.common import ascii_lower, saved
 
 #: Rows of the items' table up to which it is broadcast (each holds some 2 * span words).
 BROADCAST_ROWS = 100_000
-#: Longs of the bitmap.
-BITMAP = 4096
+#: Bits of the bitmap for each hash, and its least and greatest number of longs.
+BITS, LEAST_LONGS, MOST_LONGS = 64, 4096, 1 << 17
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -54,28 +58,28 @@ def _kept(window: int) -> str:
     return f"({' or '.join(runs)})"
 
 
-def _marks(rows: DataFrame, key: list[str], n: int, k: int, bitmap: str | None) -> DataFrame:
-    """``marks``: of each kept hash the place ``p``, the hash ``f`` and the words ``near`` it (null beyond the text)."""
+def _marks(rows: DataFrame, key: list[str], n: int, k: int, bitmap: str | None = None, longs: int = 0) -> DataFrame:
+    """``marks``: of each kept hash the place ``p``, the hash ``f`` and the words ``near`` it (null beyond the text); with a bitmap, of those in it."""
     back = n - k
     hashed = rows.select(*key, "w", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
     grams = hashed.select(*key, "w", F.expr(_grams(n, k)).alias("g"))
-    known = f"(shiftrightunsigned({bitmap}[cast(shiftrightunsigned(g[p], 6) & {BITMAP - 1} as int)], cast(g[p] & 63 as int)) & 1) = 1 and " if bitmap else ""
+    known = f"(shiftrightunsigned({bitmap}[cast(shiftrightunsigned(g[p], 6) & {longs - 1} as int)], cast(g[p] & 63 as int)) & 1) = 1 and " if bitmap else ""
     kept = f"filter(if(size(g) > 0, sequence(0, size(g) - 1), array()), p -> {known}{_kept(n - k + 1)})"
     near = f"transform(sequence(p - {back}, p + {n - 1}), i -> if(i >= 0, get(w, i), null))"
     return grams.select(*key, F.expr(f"transform({kept}, p -> struct({n} as n, p as p, g[p] as f, {near} as near))").alias("marks"))
 
 
-def _bitmap(marks: DataFrame) -> str:
-    """SQL of the array of longs in which each hash has set its bit."""
-    at = marks.select(F.expr(f"cast(shiftrightunsigned(f, 6) & {BITMAP - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(f & 63 as int))").alias("bit"))
-    longs = [0] * BITMAP
-    for r in at.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # BITMAP rows at most
-        longs[r["at"]] = r["bits"]
-    return f"from_json('[{','.join(map(str, longs))}]', 'array<bigint>')"
+def _bitmap(hashes: DataFrame, longs: int) -> str:
+    """SQL of the array of longs in which each hash ``f`` has set its bit."""
+    at = hashes.select(F.expr(f"cast(shiftrightunsigned(f, 6) & {longs - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(f & 63 as int))").alias("bit"))
+    out = [0] * longs
+    for r in at.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # MOST_LONGS rows at most
+        out[r["at"]] = r["bits"]
+    return f"from_json('[{','.join(map(str, out))}]', 'array<bigint>')"
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5) -> DataFrame:
-    """``id_col, n_words, n_hit, items, hits`` for each distinct row.
+    """``id_col, n_words, n_hit, items, hits`` for each row.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items`` are the
     ids (as strings, sorted) of items with one, ``hits`` the starts and ends of the
@@ -87,31 +91,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     key = ["id", "text_hash", "n_words"]
     rows = source.select("id", "text_hash", F.size("w").alias("n_words"), "w")
     if not lengths:
-        return rows.select(*key).distinct().select(F.col("id").alias(id_col), F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"), F.expr("array()").cast("array<string>").alias("items"), F.expr("array()").cast("array<struct<start:int,end:int>>").alias("hits"))
+        return rows.select(F.col("id").alias(id_col), F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"), F.expr("array()").cast("array<string>").alias("items"), F.expr("array()").cast("array<struct<start:int,end:int>>").alias("hits"))
     sizes = {n: k if n == span else n for n in sorted(lengths)}
     theirs = None
     for n, size in sizes.items():
         fits = tests.where(F.size("w") == n) if n < span else tests.where(F.size("w") >= span)
-        part = _marks(fits, ["item"], n, size, None).select("item", F.explode_outer("marks").alias("m")).where("m is not null").select("item", "m.*")  # explode() would push a filter with all of this inlined down to the scan
+        part = _marks(fits, ["item"], n, size).select("item", F.explode_outer("marks").alias("m")).where("m is not null").select("item", "m.*")  # explode() would push a filter with all of this inlined down to the scan
         theirs = part if theirs is None else theirs.union(part)
     theirs = saved(theirs.select("item", "n", "f", F.col("p").alias("q"), F.col("near").alias("item_near")).distinct())
-    few = theirs.count() <= BROADCAST_ROWS
-    marked = rows
+    count = theirs.count()
+    longs = min(MOST_LONGS, max(LEAST_LONGS, 1 << math.ceil(math.log2(max(1, count) * BITS / 64))))
+    bitmap, marked = _bitmap(theirs, longs), rows
     for n, size in sizes.items():
-        own = _marks(marked, [*key, *[f"m{x}" for x in sizes if x < n], *(["w"] if n < max(sizes) else [])], n, size, _bitmap(theirs.where(F.col("n") == n)))
+        own = _marks(marked, [*key, *[f"m{x}" for x in sizes if x < n], *(["w"] if n < max(sizes) else [])], n, size, bitmap, longs)
         marked = own.withColumnRenamed("marks", f"m{n}")
-    found = marked.select(*key, F.explode_outer(F.concat(*(f"m{n}" for n in sizes))).alias("m"))
-    # A row without marks stays, under a key of its own that no item has.
-    found = found.select(*key, F.coalesce("m.n", F.lit(0)).alias("n"), F.coalesce("m.f", F.xxhash64("id", "text_hash")).alias("f"), "m.p", "m.near")
-    pairs = found.join(F.broadcast(theirs) if few else theirs, ["n", "f"], "left")
+    # One mark of each row stands for the row, under a key of its own that no item has.
+    itself = "named_struct('n', 0, 'p', 0, 'f', xxhash64(id, text_hash), 'near', cast(array() as array<string>))"
+    found = marked.select(*key, F.explode_outer(F.concat(F.array(F.expr(itself)), *(f"m{n}" for n in sizes))).alias("m")).select(*key, "m.*")
+    pairs = found.join(F.broadcast(theirs) if count <= BROADCAST_ROWS else theirs, ["n", "f"], "left")
     size_of = "case n " + " ".join(f"when {n} then {n - size}" for n, size in sizes.items()) + " else 0 end"
     same = f"filter(sequence(0, {size_of}), s -> near[{size_of} - s] is not null and get(near, {size_of} - s + n - 1) is not null and slice(near, {size_of} - s + 1, n) = slice(item_near, {size_of} - s + 1, n))"
     spans = f"if(item is null, array(), transform({same}, s -> struct(p - s as start, p - s + n as end)))"
-    each = pairs.select(*key, "item", F.expr(spans).alias("spans")).select(*key, F.when(F.size("spans") > 0, F.col("item")).alias("item"), F.explode_outer("spans").alias("span"))
-    whole = each.groupBy(*key).agg(F.collect_set("item").alias("items"), F.collect_set("span").alias("hits"))
+    each = pairs.select(*key, "n", "item", F.expr(spans).alias("spans")).select(*key, "n", F.when(F.size("spans") > 0, F.col("item")).alias("item"), F.explode_outer("spans").alias("span"))
+    whole = each.groupBy(*key).agg(F.collect_set("item").alias("items"), F.collect_set("span").alias("hits"), F.count(F.when(F.col("n") == 0, 1)).cast("int").alias("copies"))
     # Starts in order; each adds what lies beyond the furthest end so far.
     covered = "aggregate(hits, struct(0L as total, 0 as upto), (a, x) -> struct(a.total + greatest(0, x.end - greatest(a.upto, x.start)) as total, greatest(a.upto, x.end) as upto), a -> a.total)"
-    return whole.select("id", "n_words", F.array_sort("items").alias("items"), F.array_sort("hits").alias("hits")).select(F.col("id").alias(id_col), F.col("n_words").cast("long"), F.expr(covered).alias("n_hit"), "items", "hits")
+    repeated = whole.select("id", "n_words", F.array_sort("items").alias("items"), F.array_sort("hits").alias("hits"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return repeated.select(F.col("id").alias(id_col), F.col("n_words").cast("long"), F.expr(covered).alias("n_hit"), "items", "hits")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -125,14 +131,14 @@ WITH item_words AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark WHERE item_id IS NOT NULL),
 doc_words AS (
-  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  SELECT doc_id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS win
   FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM item_words WHERE len(w) > 0)),
 runs AS (
   SELECT doc_id, text, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
-  FROM (SELECT doc_id, text, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+  FROM (SELECT doc_id, text, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM (SELECT DISTINCT * FROM doc_words), (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
 hits AS (SELECT doc_id, text, s, runs.n AS n, item_id FROM runs JOIN windows ON runs.win = windows.win AND runs.n = windows.n),
 hit_words AS (SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(generate_series(s, s + n - 1)) AS p FROM hits) GROUP BY 1, 2),
 hit_items AS (SELECT doc_id, text, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, text, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1, 2)

@@ -47,6 +47,19 @@ def test_rows(spark, small, odd, empty):
     assert corpus_pipeline.STAGES[3][1](spark, odd, small).where(F.col("n_chars") != F.length("text")).count() == 0
 
 
+def test_decisions_hold_for_rows(spark, small):
+    """Null ids, one id for several texts, repeated rows: of each group one row stays, and a passage takes out its own row only."""
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    other = " ".join(f"quite{i} other words" for i in range(40))
+    rows = [(None, "copied text of some words", 1), (None, "copied text of some words", 2), (1, other, 3), (1, item, 4), (None, item + " and more", 5), (2, other, 6), (2, other, 7), (None, other, 8), (3, "copied text of some words!", 9), (3, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, small)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in left.collect())
+    assert got == sorted([(True, 0, "copied text of some words"), (False, 1, other), (False, 1, item), (True, 0, item + " and more"), (False, 3, "copied text of some words!"), (False, 3, "")])
+    clean = corpus_pipeline.decontamination_stage(spark, docs, small)
+    assert sorted(r.n for r in clean.collect()) == [1, 2, 3, 6, 7, 8, 9, 10] and clean.columns == docs.columns
+
+
 def test_without_either_way(spark, odd, monkeypatch):
     from quire.llm import common
 
