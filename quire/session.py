@@ -15,10 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the cluster's ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
+    """``df`` computed once, in the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is taken on one machine; on a cluster its
+    executors would not see each other's files, so that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-quire"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("-quire"))
     return df.checkpoint(eager=True)
 
 
