@@ -560,3 +560,9 @@ def image_extract_kind(spark, sf_dir):
     filters = F.element_at(F.array(F.array(F.lit("/FlateDecode")), F.array(F.lit("/FlateDecode"), F.lit("/DCTDecode")), F.array(F.lit("/CCITTFaxDecode")), F.array(F.lit("/FlateDecode"))), k)
     mode = F.element_at(F.array(*map(F.lit, ("RGB", "RGB", "1", "CMYK"))), k)
     return table(spark, sf_dir, "part").select("p_partkey", images.row_bytes(F.col("p_size"), key % 4 + 1, F.when(key % 2 == 0, 4).otherwise(8)).cast("long").alias("row_bytes"), images.extract_kind(filters, F.lit(False), mode).alias("suffix"))
+
+
+from quire import file_queries  # noqa: E402  (its queries join these)
+
+QUERIES |= file_queries.QUERIES
+ORACLE_SQL |= file_queries.ORACLE_SQL

@@ -76,12 +76,19 @@ def _refs(doc: Document) -> Iterator[tuple]:
             yield number, gen, at, to, to_gen
 
 
+#: Roman numerals.
+ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
+
+
 def label_text(style: str | None, prefix: str, number: int) -> str:
     """A page label's text."""
     if style is None:
         return prefix
     if style in ("/R", "/r"):
-        text = "".join(word * (number // value if i == 0 else number % before // value) for i, (value, word, before) in enumerate(zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), ("M", "CM", "D", "CD", "C", "XC", "L", "XL", "X", "IX", "V", "IV", "I"), (0, 1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4), strict=True)))
+        text, left = "", number
+        for value, word in ROMAN:
+            text += word * (left // value)
+            left %= value
         return prefix + (text.lower() if style == "/r" else text)
     if style in ("/A", "/a"):
         text = ""
