@@ -8,15 +8,18 @@ conversations themselves.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import images
+from quire.operators import actions, metadata
 from quire.plans.jobs import Job
 from quire.plans.sanitizer import Sanitizer, edited
-from quire.session import shipped, table
+from quire.session import shared_folder, shipped, table
 from quire.sources import datasource, tables, xmp
 from quire.sources.edit import Editor
 from quire.sources.values import Name, Stream
@@ -56,7 +59,7 @@ def chat_file(conv: int, turns: list[tuple[int, str]]) -> bytes:
         content = f"q 1 0 0 1 {turn} {i} cm /Im0 Do Q\nBT /F1 12 Tf ({role}) Tj ET".encode()
         page = b.page(content, _named(XObject=_named(Im0=image)), (0, 0, 300 + 10 * turn, 400), Rotate=90 * (i % 4), Annots=[link, field], Thumb=thumb, PieceInfo=_named(App=_named(Private=1)))
         dests += [b"d%d" % i, [page, Name("/XYZ"), 0, i, None]]
-        items.append(b.add(_named(Title=said, Dest=b"d%d" % i)))
+        items.append(b.add(_named(Title=said, F=i % 4) | (_named(Dest=b"d%d" % i) if i % 3 else _named(A=_named(S=Name("/GoTo"), D=[page, Name("/Fit")])))))
         kids.setdefault(i // 2 - 1 if i >= 2 else None, []).append(i)
         fields.append(field)
     outlines = b.add(_named(Type=Name("/Outlines")))
@@ -71,8 +74,9 @@ def chat_file(conv: int, turns: list[tuple[int, str]]) -> bytes:
             if k + 1 < len(under):
                 own[Name("/Next")] = items[under[k + 1]]
     b.objects[parent.obj, 0][Name("/Kids")] = fields
-    data = b.add(Stream(_named(Type=Name("/EmbeddedFile"), Subtype=Name("/text/plain")), b"data of %d" % conv))
-    spec = b.add(_named(Type=Name("/Filespec"), F=b"a.txt", UF=b"a%d.txt" % conv, Desc=b"one", EF=_named(F=data)))
+    told = _named(Size=conv, CreationDate=b"D:20200101", ModDate=b"D:20210101", CheckSum=hashlib.md5(b"data of %d" % conv).digest())
+    data = b.add(Stream(_named(Type=Name("/EmbeddedFile"), Subtype=Name("/text/plain"), Params=told), b"data of %d" % conv))
+    spec = b.add(_named(Type=Name("/Filespec"), F=b"a.txt", UF=b"a%d.txt" % conv, Desc=b"one", EF=_named(F=data), AFRelationship=Name("/Data")))
     script = b.add(_named(S=Name("/JavaScript"), JS=b"y()"))
     b.root |= _named(
         Outlines=outlines,
@@ -141,23 +145,24 @@ def file_annotations(spark, sf_dir):
     return got.select("path", *_long("page_index", "seq"), F.ltrim(F.col("subtype"), F.lit("/")).alias("subtype"), *_long("flags"), F.col("rect")[3].alias("top"), "name")
 
 
-_ACTIONS = "SELECT path, 'annotation ' || i || '.0' AS holder, '/A' AS slot, pos, subtype FROM t, LATERAL (VALUES (0, 'GoTo'), (1, 'URI'), (2, 'GoTo'), (3, 'JavaScript')) AS v(pos, subtype)"
+_PLACES = ", d AS (SELECT path, i, CAST(i AS VARCHAR) AS place FROM t WHERE i < 2 UNION ALL SELECT t.path, t.i, d.place || '.' || (t.i % 2) FROM d JOIN t ON t.path = d.path AND t.i >= 2 AND t.i // 2 - 1 = d.i)"
+_ACTIONS = _PLACES + " SELECT path, 'annotation ' || i || '.0' AS holder, '/A' AS slot, pos, subtype FROM t, LATERAL (VALUES (0, 'GoTo'), (1, 'URI'), (2, 'GoTo'), (3, 'JavaScript')) AS v(pos, subtype)"
 
 
-@query(f"{_ACTIONS} UNION ALL SELECT path, 'names', '/JavaScripts', 0, 'JavaScript' FROM t WHERE i = 0")
+@query(f"{_ACTIONS} UNION ALL SELECT path, 'outline ' || place, '/A', 0, 'GoTo' FROM d WHERE i % 3 = 0 UNION ALL SELECT path, 'names', '/JavaScripts', 0, 'JavaScript' FROM t WHERE i = 0")
 def file_actions(spark, sf_dir):
     return _read(spark, sf_dir, "actions").select("path", "holder", "slot", *_long("pos"), "subtype")
 
 
-@query("SELECT path, i AS page, 'http://h.example/' || turn AS uri FROM t")
-def file_action_uris(spark, sf_dir):
-    got = _read(spark, sf_dir, "actions").where("subtype = 'URI'")
-    return got.select("path", F.regexp_extract("holder", r"(\d+)[.]", 1).cast("long").alias("page"), F.regexp_extract("value", r"(http://[^\"]*)", 1).alias("uri"))
+@query("SELECT path, i AS page, pos, CASE pos WHEN 1 THEN 'http://h.example/' || turn END AS uri, CASE pos WHEN 0 THEN 'd0' WHEN 2 THEN 'd' || i END AS dest, CASE pos WHEN 3 THEN 'x()' END AS script FROM t, (VALUES (0), (1), (2), (3)) v(pos)")
+def file_action_arguments(spark, sf_dir):
+    got = actions.uris(_read(spark, sf_dir, "actions").where("holder like 'annotation%'"))
+    return got.select("path", F.regexp_extract("holder", r"(\d+)[.]", 1).cast("long").alias("page"), *_long("pos"), "uri", "dest", "script")
 
 
-@query(", d AS (SELECT path, i, role, 1 AS depth, CAST(i AS VARCHAR) AS place FROM t WHERE i < 2 UNION ALL SELECT t.path, t.i, t.role, d.depth + 1, d.place || '.' || (t.i % 2) FROM d JOIN t ON t.path = d.path AND t.i >= 2 AND t.i // 2 - 1 = d.i) SELECT d.path, place, depth, role AS title, EXISTS (SELECT 1 FROM t WHERE t.path = d.path AND t.i >= 2 AND t.i // 2 - 1 = d.i) AND d.i % 2 = 1 AS closed FROM d")
+@query(", d AS (SELECT path, i, role, 1 AS depth, CAST(i AS VARCHAR) AS place FROM t WHERE i < 2 UNION ALL SELECT t.path, t.i, t.role, d.depth + 1, d.place || '.' || (t.i % 2) FROM d JOIN t ON t.path = d.path AND t.i >= 2 AND t.i // 2 - 1 = d.i) SELECT d.path, place, depth, role AS title, EXISTS (SELECT 1 FROM t WHERE t.path = d.path AND t.i >= 2 AND t.i // 2 - 1 = d.i) AND d.i % 2 = 1 AS closed, d.i % 4 & 1 = 1 AS italic, d.i % 4 & 2 = 2 AS bold, d.i AS page FROM d")
 def file_outline(spark, sf_dir):
-    return _read(spark, sf_dir, "outline").select("path", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), *_long("depth"), "title", "closed")
+    return _read(spark, sf_dir, "outline").select("path", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), *_long("depth"), "title", "closed", "italic", "bold", *_long("page"))
 
 
 @query("SELECT path, 'form.t' || i AS full_name, '/Tx' AS type, role AS value, turn AS flags, true AS is_terminal FROM t UNION ALL SELECT path, 'form', '/Tx', NULL, 0, false FROM t WHERE i = 0")
@@ -180,9 +185,9 @@ def file_xmp(spark, sf_dir):
     return _read(spark, sf_dir, "xmp").select("path", "name", F.array_join("values", ";").alias("value"))
 
 
-@query("SELECT path, 'a' AS key, 'a' || conv_id || '.txt' AS filename, 'one' AS description, 'text/plain' AS mime, md5('data of ' || conv_id) AS digest FROM t WHERE i = 0")
+@query("SELECT path, 'a' AS key, 'a' || conv_id || '.txt' AS filename, 'one' AS description, 'text/plain' AS mime, md5('data of ' || conv_id) AS digest, conv_id AS size, 'D:20200101' AS created, 'D:20210101' AS modified, md5('data of ' || conv_id) AS checksum, 'Data' AS relationship FROM t WHERE i = 0")
 def file_attachments(spark, sf_dir):
-    return _read(spark, sf_dir, "attachments").select("path", "key", "filename", "description", "mime", F.md5("data").alias("digest"))
+    return _read(spark, sf_dir, "attachments").select("path", "key", "filename", "description", "mime", F.md5("data").alias("digest"), "size", "created", "modified", "checksum", "relationship")
 
 
 @query("SELECT path, i AS page_index, '/Im0' AS name, 2 AS width, i + 1 AS height, 8 AS bits, '/DeviceGray' AS colorspace, '/FlateDecode' AS filters, false AS is_mask FROM t")
@@ -222,7 +227,7 @@ def file_unreadable(spark, sf_dir):
     return tables.tables(broken, "docs").select("path", F.col("problem").isNotNull().alias("told"), *_long("n_pages"))
 
 
-@query("SELECT path, 'annotation ' || i || '.0' AS holder, pos, 'GoTo' AS subtype FROM t, (VALUES (0), (1)) v(pos)")
+@query(f"{_PLACES} SELECT path, 'annotation ' || i || '.0' AS holder, pos, 'GoTo' AS subtype FROM t, (VALUES (0), (1)) v(pos) UNION ALL SELECT path, 'outline ' || place, 0, 'GoTo' FROM d WHERE i % 3 = 0")
 def sanitized_actions(spark, sf_dir):
     clean = Sanitizer().remove_javascript().remove_external_access().apply(files(spark, sf_dir))
     return tables.tables(clean, "actions").select("path", "holder", *_long("pos"), "subtype")
@@ -393,3 +398,166 @@ def page_remove_unused(spark, sf_dir):
     made = edited(files(spark, sf_dir), _unused)
     pages = tables.tables(made, "pages").select("path", "obj", "page_index")
     return tables.tables(made, "refs").where("at like '/Resources/%'").join(pages, ["path", "obj"]).select("path", *_long("page_index"), "at")
+
+
+@query("SELECT path, i AS page_index, 0 AS rotate, 2 AS drawn FROM t")
+def job_flatten(spark, sf_dir):
+    """Appearances made, drawn into the pages, and the pages turned upright, in one job."""
+    made = Job().generate_appearances().flatten_annotations().flatten_rotation().run(files(spark, sf_dir))
+    drawn = tables.tables(made, "instructions", operators="Do").groupBy("path", "page_index").agg(F.count("*").alias("drawn"))
+    return tables.tables(made, "pages").join(drawn, ["path", "page_index"]).select("path", *_long("page_index", "rotate"), "drawn")
+
+
+@query("SELECT path, k AS key, CASE k WHEN 'a' THEN md5('data of ' || conv_id) ELSE md5('other') END AS digest FROM t, (VALUES ('a'), ('x-b')) v(k) WHERE i = 0")
+def job_copy_attachments(spark, sf_dir):
+    other = Editor()
+    other.attach("b", b"other")
+    made = Job().copy_attachments_from(other.bytes(), "x-").run(files(spark, sf_dir))
+    return tables.tables(made, "attachments").select("path", "key", F.md5("data").alias("digest"))
+
+
+@query("SELECT path, 'cannot' AS told FROM t WHERE i = 0")
+def job_attachment_taken(spark, sf_dir):
+    """A key that is taken is a problem of that file."""
+    other = Editor()
+    other.attach("a", b"other")
+    made = Job().copy_attachments_from(other.bytes()).run(files(spark, sf_dir))
+    return made.select("path", F.when(F.col("problem").contains("there is an attachment a") & F.col("content").isNull(), "cannot").alias("told"))
+
+
+@query("SELECT path, n AS n_pages, 3 * n + 2 AS loose_streams, 8 * n + 8 AS in_streams, false AS rebuilt, false AS longer FROM t WHERE i = 0")
+def job_object_streams(spark, sf_dir):
+    """Objects within object streams, read back by a cross-reference stream; smaller than the plain file."""
+    plain = Job().run(files(spark, sf_dir))
+    made = Job().object_streams().run(files(spark, sf_dir))
+    kinds = tables.tables(made, "objects").where("value not like '%/ObjStm%' and value not like '%/XRef%'").groupBy("path").agg(F.count(F.when(F.col("tag") == "stream", 1)).alias("loose_streams"), F.count(F.when(F.col("stream").isNotNull() & (F.col("kind") == 2), 1)).alias("in_streams"))
+    sizes = made.select("path", F.length("content").alias("m")).join(plain.select("path", F.length("content").alias("p")), "path").select("path", (F.col("m") >= F.col("p")).alias("longer"))
+    return tables.tables(made, "docs").select("path", *_long("n_pages"), "rebuilt").join(kinds, "path").join(sizes, "path")
+
+
+def _by_path(e: Editor) -> None:
+    e.set_path(["/Pages", "/Kids", 0, "/Rotate"], 180)
+    e.delete_path(["/Pages", "/Kids", -1, "/PieceInfo"])
+
+
+@query("SELECT path, i AS page_index, CASE i WHEN 0 THEN 180 ELSE 90 * (i % 4) END AS rotate, i < n - 1 AS private FROM t")
+def edit_by_path(spark, sf_dir):
+    made = edited(files(spark, sf_dir), _by_path)
+    private = tables.tables(made, "objects").select("path", "obj", F.col("value").contains("PieceInfo").alias("private"))
+    return tables.tables(made, "pages").join(private, ["path", "obj"]).select("path", *_long("page_index", "rotate"), "private")
+
+
+def _lost(e: Editor) -> None:
+    e.at_path(["/Pages", "/Kids", 0, "/None", "/More"])
+
+
+@query("SELECT path, 'KeyError: ' || chr(39) || 'there is no /None after /Pages/Kids[0]' || chr(39) AS problem FROM t WHERE i = 0")
+def edit_path_ends_early(spark, sf_dir):
+    return edited(files(spark, sf_dir), _lost).select("path", "problem")
+
+
+def _swapped(e: Editor) -> None:
+    kids = e.pages()
+    e.swap(kids[0], kids[-1])
+
+
+@query("SELECT path, CASE i WHEN 0 THEN n - 1 WHEN n - 1 THEN 0 ELSE i END AS page_index, CAST(300 + 10 * turn AS DOUBLE) AS width FROM t")
+def edit_swap(spark, sf_dir):
+    return tables.tables(edited(files(spark, sf_dir), _swapped), "pages").select("path", *_long("page_index"), F.col("mediabox")[2].alias("width"))
+
+
+def _emplaced(e: Editor) -> None:
+    e.emplace(e.pages()[0], _named(Type=Name("/Page"), MediaBox=[0, 0, 9, 9]))
+
+
+@query("SELECT path, i AS page_index, CASE i WHEN 0 THEN 9 ELSE CAST(300 + 10 * turn AS DOUBLE) END AS width, CASE i WHEN 0 THEN 0 ELSE 90 * (i % 4) END AS rotate FROM t")
+def edit_emplace(spark, sf_dir):
+    return tables.tables(edited(files(spark, sf_dir), _emplaced), "pages").select("path", *_long("page_index"), F.col("mediabox")[2].alias("width"), *_long("rotate"))
+
+
+@query("SELECT path, name, CASE name WHEN 'pdf:PDFVersion' THEN '1.7' ELSE 'quire' END AS value FROM t, (VALUES ('pdf:Producer'), ('pdf:PDFVersion')) v(name) WHERE i = 0")
+def xmp_pdf_version(spark, sf_dir):
+    made = files(spark, sf_dir)
+    old = tables.tables(made, "xmp").where("name = 'pdf:Producer'").select(F.col("path").alias("doc_id"), "name", "values")
+    told = old.unionByName(old.select("doc_id", F.lit("pdf:PDFVersion").alias("name"), F.array(F.lit("1.0")).alias("values")))
+    docs = tables.tables(made, "docs").select(F.col("path").alias("doc_id"), "version")
+    return metadata.update_pdf_version(told, docs).select(F.col("doc_id").alias("path"), "name", F.col("values")[0].alias("value"))
+
+
+@query("SELECT path, n AS n_pages, 'outline' AS kind, n AS n_rows FROM t WHERE i = 0 UNION ALL SELECT path, n, 'attachments', 1 FROM t WHERE i = 0")
+def file_source(spark, sf_dir):
+    """Files written to a folder that all share and read by the data source, in two tables."""
+    folder = shared_folder(spark, "file_source")
+    datasource.register(spark)
+    datasource.save_files(files(spark, sf_dir).withColumn("path", F.concat("path", F.lit(".pdf"))), folder)
+    read = lambda name: spark.read.format("pages").option("path", folder).option("table", name).load().withColumn("path", F.regexp_extract("path", r"([^/]*)[.]pdf$", 1))
+    counts = [read(name).groupBy("path").agg(F.count("*").alias("n_rows")).withColumn("kind", F.lit(name)) for name in ("outline", "attachments")]
+    return read("docs").select("path", *_long("n_pages")).join(counts[0].unionByName(counts[1]), "path")
+
+
+#: Colour spaces of the pictures, by place: what follows the name in a file, and channels.
+SPACES = ("/DeviceGray", "/DeviceRGB", "/DeviceCMYK", "/Indexed", "gray profile", "rgb profile", "/Separation", "/DeviceN", "16 bits")
+
+
+def _profile(space: bytes) -> bytes:
+    return bytes(16) + space + bytes(16) + b"acsp" + bytes(88)
+
+
+def picture_file(first: int, parts: list[tuple[int, int]]) -> bytes:
+    """A file with an image for each part: its colour space and mask by its key, its width by its size."""
+    b = Builder()
+    profiles = [b.add(Stream(_named(N=n), _profile(space))) for n, space in ((1, b"GRAY"), (3, b"RGB "))]
+    tint = b.add(Stream(_named(FunctionType=4, Domain=[0, 1], Range=[0, 1]), b"{}"))
+    spaces = [Name("/DeviceGray"), Name("/DeviceRGB"), Name("/DeviceCMYK"), [Name("/Indexed"), Name("/DeviceRGB"), 255, bytes(768)], [Name("/ICCBased"), profiles[0]], [Name("/ICCBased"), profiles[1]], [Name("/Separation"), Name("/Spot"), Name("/DeviceGray"), tint], [Name("/DeviceN"), [Name("/A"), Name("/B")], Name("/DeviceCMYK"), tint], Name("/DeviceGray")]
+    channels = (1, 3, 4, 1, 1, 3, 1, 2, 2)
+    for key, size in parts:
+        k, mask = key % 9, key // 9 % 4
+        head = _named(Type=Name("/XObject"), Subtype=Name("/Image"), Width=size, Height=2, BitsPerComponent=16 if k == 8 else 8, ColorSpace=spaces[k])
+        grey = _named(Type=Name("/XObject"), Subtype=Name("/Image"), Width=4, Height=4)
+        if mask == 1:
+            head[Name("/SMask")] = b.add(Stream(grey | _named(BitsPerComponent=8, ColorSpace=Name("/DeviceGray")), bytes(16)))
+        elif mask == 2:
+            head[Name("/Mask")] = b.add(Stream(grey | _named(ImageMask=True, BitsPerComponent=1), bytes(4)))
+        elif mask == 3:
+            head[Name("/Mask")] = [0, 9] * (channels[k] if k != 8 else 1)
+        b.page(b"/Im Do", _named(XObject=_named(Im=b.add(Stream(head, bytes(2 * size * channels[k]))))))
+    return b.bytes()
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: a file for every hundred parts, its pages in the order of their keys."""
+    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("first")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([str(first)]), pa.array([picture_file(first, [tuple(p.values()) for p in own])], pa.binary())], ["path", "content"])
+
+    return shipped(parts).mapInArrow(run, "path string, content binary")
+
+
+def picture_query(sql: str) -> Callable:
+    """As ``query``, over ``p``: a row for each part with its file, page, colour space ``k`` and mask ``m``."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = f"WITH p AS (SELECT CAST(p_partkey // 100 AS VARCHAR) AS path, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey, p_size) - 1 AS page_index, p_partkey % 9 AS k, p_partkey // 9 % 4 AS m, p_size FROM part) {sql}"
+        return f
+
+    return add
+
+
+@picture_query("SELECT path, page_index, p_size AS width, ['L', 'RGB', 'CMYK', 'P', 'L', 'RGB', 'Separation', 'DeviceN', 'I;16'][k + 1] AS mode, CASE WHEN m = 1 THEN 'soft' WHEN m = 2 THEN 'stencil' WHEN m = 3 AND k IN (0, 1, 2, 4, 5) THEN 'colorkey' END AS mask FROM p")
+def image_modes_and_masks(spark, sf_dir):
+    got = tables.tables(pictures(spark, sf_dir), "images")
+    mode = images.mode(F.col("colorspace"), F.col("bits"), F.col("is_mask"), F.col("base"), F.col("components"), images.profile_space(F.col("profile")))
+    return got.withColumn("mode", mode).select("path", *_long("page_index", "width"), "mode", images.mask_kind(F.col("smask"), F.col("mask"), F.col("bits"), F.col("mode")).alias("mask"))
+
+
+@picture_query("""SELECT path, page_index, k IN (6, 7) AS refused, CASE WHEN k NOT IN (6, 7) THEN lpad(printf('%X', p_size), 8, '0') || '00000002' END AS size, CASE WHEN k = 8 AND m IN (0, 3) THEN 16 WHEN k NOT IN (6, 7) THEN 8 END AS bits,
+CASE WHEN k IN (6, 7) THEN NULL WHEN k IN (1, 2, 3, 5) THEN CASE WHEN m IN (1, 2) OR m = 3 AND k IN (1, 2, 5) THEN 6 ELSE 2 END WHEN k = 8 THEN CASE WHEN m IN (1, 2) THEN 6 ELSE 0 END WHEN m > 0 THEN 4 ELSE 0 END AS color FROM p""")
+def image_files(spark, sf_dir):
+    """Size, depth and kind of colour of the files that images become: masks are alpha."""
+    got = tables.tables(pictures(spark, sf_dir), "image_files")
+    byte = lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("long")
+    return got.select("path", *_long("page_index"), F.col("problem").isNotNull().alias("refused"), F.hex(F.substring("data", 17, 8)).alias("size"), byte(25).alias("bits"), byte(26).alias("color"))

@@ -112,3 +112,19 @@ def placement(source: Column, target: Column) -> Column:
     """The matrix that scales ``source`` evenly into ``target`` and centres it."""
     scale = F.least(width(target) / width(source), height(target) / height(source))
     return matrix(scale, 0, 0, scale, target.llx + (width(target) - width(source) * scale) / 2 - source.llx * scale, target.lly + (height(target) - height(source) * scale) / 2 - source.lly * scale)
+
+
+def shorthand(m: Column) -> Column:
+    """The six numbers."""
+    return F.array(*(m[x] for x in AXES))
+
+
+def encode(m: Column, digits: int = 5) -> Column:
+    """The six numbers as a content stream writes them, without needless zeros."""
+    short = lambda x: F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), "[.]?0+$", ""), "^-0$", "0")
+    return F.concat_ws(" ", *(short(m[x]) for x in AXES))
+
+
+def corners(r: Column) -> Column:
+    """Lower left, lower right, upper right and upper left."""
+    return F.array(*(F.struct(r[x].alias("x"), r[y].alias("y")) for x, y in (("llx", "lly"), ("urx", "lly"), ("urx", "ury"), ("llx", "ury"))))

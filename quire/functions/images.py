@@ -15,18 +15,43 @@ def bits_per_component(bpc: Column, is_mask: Column) -> Column:
     return F.when(F.coalesce(bpc, F.lit(0)) == 0, F.when(is_mask, 1).otherwise(8)).otherwise(bpc)
 
 
-def mode(colorspace: Column, bpc: Column, is_mask: Column, base: Column) -> Column:
-    """The pixel mode: 1, L, P, RGB, CMYK or LAB; null for a colour space with none. ``base``: that of an Indexed one."""
+def profile_space(profile: Column) -> Column:
+    """The colour space that an ICC profile says its data is in: GRAY, RGB, CMYK, ...; null where it is no profile."""
+    said = F.decode(profile.substr(F.lit(17), F.lit(4)), "ISO-8859-1")
+    return F.when((F.length(profile) >= 128) & (F.decode(profile.substr(F.lit(37), F.lit(4)), "ISO-8859-1") == "acsp"), F.rtrim(said))
+
+
+def mode(colorspace: Column, bpc: Column, is_mask: Column, base: Column, components: Column | None = None, profile: Column | None = None) -> Column:
+    """The pixel mode: 1, L, I;16, P, RGB, CMYK, LAB, DeviceN or Separation; null where it can't be told.
+
+    ``base``: that of an Indexed colour space; ``components``: the number that an ICCBased one tells,
+    and ``profile``: what its profile's data is (``profile_space``), which decides where there are several.
+    """
+    grey, none = ("/DeviceGray", "/CalGray"), F.lit(None).cast("string")
+    named = lambda name: (colorspace == name) | ((colorspace == "/Indexed") & (base == name))
+    by_profile = none if components is None else F.when(components == 1, "L").when((none if profile is None else profile).isin("RGB", "CMYK"), profile)
     return (
-        F.when(is_mask | ((bpc == 1) & colorspace.isin("/DeviceGray", "/CalGray")), "1")
-        .when(colorspace.isin("/DeviceGray", "/CalGray"), "L")
-        .when((colorspace == "/Indexed") & base.isin(*CHANNELS), "P")
+        F.when(F.coalesce(named("/DeviceN"), F.lit(False)), "DeviceN")
+        .when(F.coalesce(named("/Separation"), F.lit(False)), "Separation")
+        .when(is_mask | ((bpc == 1) & colorspace.isin(*grey)), "1")
+        .when(colorspace == "/Indexed", "P")
+        .when(colorspace.isin(*grey) & (bpc == 16), "I;16")
+        .when(colorspace.isin(*grey), "L")
         .when(colorspace.isin("/DeviceRGB", "/CalRGB"), "RGB")
-        .when(colorspace == "/DeviceCMYK", "CMYK")
+        .when(colorspace.isin("/DeviceCMYK", "/CalCMYK"), "CMYK")
         .when(colorspace == "/Lab", "LAB")
+        .when(colorspace == "/ICCBased", by_profile)
     )
 
 
+def mask_kind(smask: Column, mask: Column, bpc: Column, pixel_mode: Column) -> Column:
+    """Which mask gives an image its alpha: a soft mask before a stencil before a colour key, which takes 8 bits and L, RGB or CMYK; null if none.
+
+    ``smask``, ``mask``: tags of the two entries (``stream``, ``array`` or null).
+    """
+    return F.when(smask == "stream", "soft").when(mask == "stream", "stencil").when((mask == "array") & (bpc == 8) & pixel_mode.isin("L", "RGB", "CMYK"), "colorkey")
+
+
 def default_decode(colorspace: Column, bpc: Column) -> Column:
     """The /Decode array that is meant where there is none."""
     ends = lambda n: F.array(*[F.lit(x) for _ in range(n) for x in (0.0, 1.0)])

@@ -71,11 +71,29 @@ def without_attachments(entries: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """Links of each page in order, from the href of its anchors."""
-    found = F.expr(f"regexp_extract_all({html}, '<a [^>]*href=\"([^\"]*)\"', 1)")
+    """Links of each page in order, from the href of its anchors: in either case, in double or single quotes or in none."""
+    tag = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+    found = F.transform(F.regexp_extract_all(html, F.lit(tag), 1), lambda x: F.when(x.rlike("^['\"]"), x.substr(F.lit(2), F.length(x) - 2)).otherwise(x))
     return pages.select(key, F.posexplode(found).alias("pos", "uri"))
 
 
+def uris(actions: DataFrame) -> DataFrame:
+    """Actions with their arguments as columns: ``uri``, ``file``, ``dest``, ``name``, ``script``; null where a kind has none.
+
+    ``actions``: ``subtype`` and ``value``, the action as the reader's JSON.
+    """
+    entry = lambda key: F.regexp_replace(F.get_json_object("value", f"$['{key}']"), "^u:", "")
+    kind = F.col("subtype")
+    return actions.select(
+        "*",
+        F.when(kind == "URI", entry("/URI")).alias("uri"),
+        F.when(kind.isin("GoToR", "GoToE", "Launch", "SubmitForm", "ImportData"), entry("/F")).alias("file"),
+        F.when(kind.isin("GoTo", "GoToR", "GoToE"), entry("/D")).alias("dest"),
+        F.when(kind == "Named", entry("/N")).alias("name"),
+        F.when(kind == "JavaScript", entry("/JS")).alias("script"),
+    )
+
+
 def reachable_named(holder: Column, subtype: Column, allowed: list[str]) -> Column:
     """Whether an action is one of those allowed."""
     return holder.isNotNull() & subtype.isin(*allowed)

@@ -54,3 +54,9 @@ def overlay(base: DataFrame, patch: DataFrame, on: list[str]) -> DataFrame:
     values = [c for c in base.columns if c not in on]
     p = patch.select(*on, *(F.col(c).alias(f"__{c}") for c in values))
     return base.join(p, on, "full").select(*on, *(F.coalesce(f"__{c}", c).alias(c) for c in values))
+
+
+def update_pdf_version(xmp: DataFrame, docs: DataFrame) -> DataFrame:
+    """XMP in which a version that is told is that of the file (``docs``: ``doc_id, version``); none is added."""
+    said = F.when(F.col("name") == "pdf:PDFVersion", F.coalesce(F.array("version"), F.col("values"))).otherwise(F.col("values"))
+    return xmp.join(docs.select("doc_id", "version"), "doc_id", "left").select("doc_id", "name", said.alias("values"))

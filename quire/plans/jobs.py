@@ -15,7 +15,7 @@ from quire.sources.content import instructions, unparse_instructions
 from quire.sources.crypt import Encryption
 from quire.sources.document import Document
 from quire.sources.edit import Editor, page_numbers
-from quire.sources.values import Name, Stream
+from quire.sources.values import Name, Stream, decode_text
 from quire.sources.writer import Options
 
 
@@ -57,6 +57,38 @@ class Job:
     def coalesce_contents(self) -> Job:
         return self._set("coalesce", True)
 
+    def flatten_annotations(self) -> Job:
+        """Appearances become content."""
+        return self._set("flatten_annotations", True)
+
+    def flatten_rotation(self) -> Job:
+        return self._set("flatten_rotation", True)
+
+    def generate_appearances(self) -> Job:
+        """Of all text and choice fields, from their values."""
+        return self._set("generate_appearances", True)
+
+    def externalize_inline_images(self, min_size: int = 0) -> Job:
+        return self._set("externalize", min_size)
+
+    def qdf(self) -> Job:
+        """For reading and editing by hand: nothing compressed, content a line for each instruction."""
+        return self.uncompressed().normalize_content()
+
+    def remove_unreferenced_resources(self) -> Job:
+        return self._set("remove_unused", True)
+
+    def copy_attachments_from(self, source: bytes, prefix: str = "") -> Job:
+        """The attachments of a small file, which is part of the specification; a prefix goes before their keys."""
+        return self._more("copy_attachments", [source.hex(), prefix])
+
+    def set(self, **keys) -> Job:
+        """Keys of the specification by name; an unknown one is an error."""
+        if unknown := set(keys) - _KNOWN:
+            raise ValueError(f"unknown keys: {', '.join(sorted(unknown))}")
+        self.spec |= keys
+        return self
+
     def linearize(self) -> Job:
         return self._set("linearize", True)
 
@@ -73,6 +105,10 @@ class Job:
     def force_version(self, version: str) -> Job:
         return self._set("force_version", version)
 
+    def object_streams(self) -> Job:
+        """Objects that are no streams are written into streams."""
+        return self._set("object_streams", True)
+
     def static_id(self) -> Job:
         return self._set("static_id", True)
 
@@ -102,7 +138,7 @@ class Job:
 
     def options(self) -> Options:
         s = self.spec
-        return Options(compress=not s.get("uncompressed", False), level=s.get("compress", -1), normalize=s.get("normalize", False), linearize=s.get("linearize", False), encrypt=Encryption(**s["encrypt"] | {"denied": frozenset(s["encrypt"]["denied"])}) if "encrypt" in s else None, static_id=s.get("static_id", False), min_version=s.get("min_version", ""), force_version=s.get("force_version", ""))
+        return Options(compress=not s.get("uncompressed", False), level=s.get("compress", -1), normalize=s.get("normalize", False), linearize=s.get("linearize", False), encrypt=Encryption(**s["encrypt"] | {"denied": frozenset(s["encrypt"]["denied"])}) if "encrypt" in s else None, static_id=s.get("static_id", False), min_version=s.get("min_version", ""), force_version=s.get("force_version", ""), object_streams=s.get("object_streams", False))
 
     def check(self) -> None:
         """Raises what can be known to be wrong before any document is read."""
@@ -138,6 +174,21 @@ class Job:
             e.attach(key, bytes.fromhex(data), mime)
         for key in s.get("detach", []):
             e.detach(key)
+        for source, prefix in s.get("copy_attachments", []):
+            copy_attachments(e, Editor(bytes.fromhex(source)), prefix)
+        if s.get("generate_appearances"):
+            for name, f in e.fields().items():
+                value = e.get(f["field"].get("/V"))
+                if f.get("/FT") in ("/Tx", "/Ch") and isinstance(value, bytes):
+                    e.set_field(name, decode_text(value) or "")
+        if s.get("flatten_annotations"):
+            e.flatten_annotations()
+        if s.get("flatten_rotation"):
+            e.flatten_rotation()
+        if "externalize" in s:
+            e.externalize_inline_images(s["externalize"])
+        if s.get("remove_unused"):
+            e.remove_unused_resources()
         if s.get("coalesce") or s.get("normalize"):
             doc = Document(e.bytes())
             for ref, (_, page) in zip(e.pages(), doc.pages(), strict=True):
@@ -205,5 +256,16 @@ class Job:
         return got.groupBy("target").applyInArrow(run, "target string, content binary, problem string")
 
 
+def copy_attachments(e: Editor, other: Editor, prefix: str = "") -> None:
+    """The attachments of another document; a key that is taken is an error."""
+    own, known = e.names("/EmbeddedFiles"), {}
+    for key, value in other.names("/EmbeddedFiles").items():
+        name = prefix.encode() + key
+        if name in own:
+            raise ValueError(f"there is an attachment {decode_text(name)}")
+        own[name] = e.copied(other, value, known)
+    e.set_names("/EmbeddedFiles", own)
+
+
 _REMOVED = {"metadata": ("/Metadata",), "info": (), "acroform": ("/AcroForm",), "structure": ("/StructTreeRoot", "/MarkInfo"), "page_labels": ("/PageLabels",)}
-_KNOWN = {"pages", "split", "collate", "rotate", "compress", "uncompressed", "normalize", "coalesce", "linearize", "encrypt", "password", "min_version", "force_version", "static_id", "remove", "labels", "attach", "detach", "overlay"}
+_KNOWN = {"pages", "split", "collate", "rotate", "compress", "uncompressed", "normalize", "coalesce", "linearize", "encrypt", "password", "min_version", "force_version", "static_id", "remove", "labels", "attach", "detach", "overlay", "flatten_annotations", "flatten_rotation", "generate_appearances", "externalize", "remove_unused", "copy_attachments", "object_streams"}

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import forms, geometry, images, labels, text, values
+from quire.functions import arrays, forms, geometry, images, labels, text, values
 from quire.operators import actions, content, graph, metadata, pages
 from quire.session import table
 
@@ -536,12 +536,119 @@ def resources_unused(spark, sf_dir):
     return content.unused_resources(lines.select("doc_id", "page_index", "name"), used)
 
 
-@query("SELECT o_orderkey, o_orderkey || ',7,9' AS appended, CAST(CASE WHEN o_orderkey % 10 = 7 THEN 2 ELSE 1 END AS BIGINT) AS sevens FROM orders")
+_LISTS = "l AS (SELECT o_orderkey, [o_orderkey % 10, 7, o_orderkey % 4, 7] AS a FROM orders)"
+
+
+def _lists(spark, sf_dir):
+    key = F.col("o_orderkey")
+    seven = F.lit(7).cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array(key % 10, seven, key % 4, seven).alias("a"))
+
+
+def _joined(items):
+    return F.array_join(items.cast("array<string>"), ",")
+
+
+@query(f"WITH {_LISTS} SELECT o_orderkey, array_to_string(a || [9], ',') AS appended, array_to_string(a || [1, 2], ',') AS extended, array_to_string(a[1:1] || [5] || a[2:], ',') AS inserted, array_to_string(a[1:3] || [5] || a[4:], ',') AS inserted_back, CAST(len(list_filter(a, lambda x: x = 7)) AS BIGINT) AS sevens, list_contains(a, 3) AS has_three FROM l")
 def array_algebra(spark, sf_dir):
+    a, long = F.col("a"), lambda x: F.lit(x).cast("long")
+    return _lists(spark, sf_dir).select("o_orderkey", _joined(arrays.append(a, long(9))).alias("appended"), _joined(arrays.extend(a, F.array(long(1), long(2)))).alias("extended"), _joined(arrays.insert(a, 1, long(5))).alias("inserted"), _joined(arrays.insert(a, -1, long(5))).alias("inserted_back"), arrays.count(a, long(7)).cast("long").alias("sevens"), arrays.has(a, long(3)).alias("has_three"))
+
+
+@query(f"WITH {_LISTS} SELECT o_orderkey, a[4] AS popped, array_to_string(a[:3], ',') AS left_over, array_to_string(a[2:], ',') AS without_first, CAST(CASE WHEN a[1] = 3 THEN 0 WHEN a[3] = 3 THEN 2 END AS BIGINT) AS at, CASE WHEN a[1] = 3 THEN array_to_string(a[2:], ',') WHEN a[3] = 3 THEN array_to_string(a[:2] || a[4:], ',') END AS removed FROM l")
+def array_pop_remove(spark, sf_dir):
+    a, three = F.col("a"), F.lit(3).cast("long")
+    return _lists(spark, sf_dir).select("o_orderkey", arrays.pop(a)["value"].alias("popped"), _joined(arrays.pop(a)["items"]).alias("left_over"), _joined(arrays.pop(a, 0)["items"]).alias("without_first"), arrays.index(a, three).cast("long").alias("at"), _joined(arrays.remove(a, three)).alias("removed"))
+
+
+@query(f"WITH {_LISTS} SELECT o_orderkey, array_to_string(a[2:3], ',') AS middle, array_to_string([a[4], a[3], a[2], a[1]], ',') AS backwards, array_to_string([a[1], a[3]], ',') AS every_other, array_to_string(a[3:], ',') AS last_two, a[4] AS last, array_to_string([a[3], a[1]], ',') AS steps_back FROM l")
+def array_slices(spark, sf_dir):
+    a = F.col("a")
+    return _lists(spark, sf_dir).select("o_orderkey", _joined(arrays.sliced(a, 1, 3)).alias("middle"), _joined(arrays.sliced(a, None, None, -1)).alias("backwards"), _joined(arrays.sliced(a, None, None, 2)).alias("every_other"), _joined(arrays.sliced(a, -2)).alias("last_two"), arrays.at(a, -1).alias("last"), _joined(arrays.sliced(a, 2, None, -2)).alias("steps_back"))
+
+
+@query("SELECT event_id, json_contains(json_keys(props), '\"k\"') AS has_k, list_contains(json_keys(props), 'none') AS has_none, CAST(len(json_keys(props)) AS BIGINT) AS n, len(json_keys(props)) > 0 AS truth, '[' || props || ']' AS wrapped FROM events".replace("json_contains(json_keys(props), '\"k\"')", "list_contains(json_keys(props), 'k')"))
+def object_predicates(spark, sf_dir):
+    props = F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", arrays.has_key(props, "k").alias("has_k"), arrays.has_key(props, "none").alias("has_none"), arrays.length(props).cast("long").alias("n"), arrays.truth(props).alias("truth"), arrays.wrapped(props).alias("wrapped"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey ELSE -1 END AS as_int, o_orderkey % 4 = 2 AND o_orderkey % 8 = 2 AS as_bool, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS DOUBLE) WHEN 1 THEN o_orderkey + 0.5 ELSE -1.0 END AS as_float, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey = 12 WHEN 1 THEN o_orderkey + 0.5 = 12 WHEN 2 THEN false ELSE false END AS twelve FROM orders")
+def object_typed_reading(spark, sf_dir):
+    key = F.col("o_orderkey")
+    tag = F.element_at(F.array(*map(F.lit, ("integer", "real", "boolean", "name"))), (key % 4 + 1).cast("int"))
+    text_ = F.when(key % 4 == 0, key.cast("string")).when(key % 4 == 1, F.concat(key.cast("string"), F.lit(".5"))).when(key % 4 == 2, F.when(key % 8 == 2, "true").otherwise("false")).otherwise("/N")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", tag.alias("tag"), text_.alias("text"))
+    t, x = F.col("tag"), F.col("text")
+    return rows.select("o_orderkey", values.as_int(t, x, F.lit(-1).cast("long")).alias("as_int"), values.as_bool(t, x, F.lit(False)).alias("as_bool"), values.as_float(t, x, F.lit(-1.0)).alias("as_float"), values.known_equal(t, x, F.lit("integer"), F.lit("12")).alias("twelve"))
+
+
+@query(f"WITH {_MATRICES} SELECT l_orderkey, l_linenumber, CAST(floor((a * 2) * 10000 + 0.3141592653) AS BIGINT) AS sa, CAST(floor((a * 3 + c * 4 + e) * 10000 + 0.3141592653) AS BIGINT) AS te, CAST(floor(-c * 10000 + 0.3141592653) AS BIGINT) AS rc, CAST(floor((a * 5 + c * 6 + e) * 10000 + 0.3141592653) AS BIGINT) AS px FROM m".replace("floor(-c * 10000", "floor((-a) * 10000"))
+def matrix_steps(spark, sf_dir):
+    """Scaled, translated, turned by a right angle, and a point moved."""
+    f, lit = F.col("m"), lambda x: F.lit(float(x))
+    whole = lambda x: F.floor(x * 10000 + 0.3141592653)
+    turned = geometry.rotated(f, lit(90))
+    return _matrices(spark, sf_dir).select("l_orderkey", "l_linenumber", whole(geometry.scaled(f, lit(2), lit(3)).a).alias("sa"), whole(geometry.translated(f, lit(3), lit(4)).e).alias("te"), whole(F.round(turned.c, 9)).alias("rc"), whole(geometry.transform_point(f, lit(5), lit(6)).x).alias("px"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) || ' 0 0.5 1 -0.25 ' || l_linenumber AS encoded FROM lineitem")
+def matrix_encode(spark, sf_dir):
+    m = geometry.matrix(F.col("l_quantity"), 0, 0.5, 1, -0.25, F.col("l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geometry.encode(m).alias("encoded"))
+
+
+@query(f"WITH r AS (SELECT l_orderkey, l_linenumber, {_RECT} FROM lineitem) SELECT l_orderkey, l_linenumber, round(urx, 6) AS x2, round(lly, 6) AS y2, round(llx, 6) AS x4, round(ury, 6) AS y4 FROM r")
+def rect_corners(spark, sf_dir):
+    c = geometry.corners(F.col("r"))
+    return _rects(spark, sf_dir).select("l_orderkey", "l_linenumber", *(F.round(c[i][a], 6).alias(f"{a}{i + 1}") for i in (1, 3) for a in ("x", "y")))
+
+
+@query(f"WITH {_PAGES}, w AS (SELECT doc_id, min(page_index) FILTER (role = 'assistant') AS page_index FROM p GROUP BY 1) SELECT doc_id, page_index FROM w")
+def page_index_of(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    wanted = own.select("doc_id").distinct().withColumn("role", F.lit("assistant"))
+    return pages.page_position(own, wanted, ["role"]).select("doc_id", "page_index")
+
+
+@query(f"WITH {_PAGES}, k AS (SELECT * FROM p WHERE NOT (role = 'assistant' AND page_index = (SELECT min(page_index) FROM p q WHERE q.doc_id = p.doc_id AND q.role = 'assistant'))) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS page_index, role, turn FROM k")
+def page_remove(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    gone = own.select("doc_id").distinct().withColumn("role", F.lit("assistant"))
+    return _out(pages.remove_pages(own, gone, ["role"]))
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, 'insert at 4 of ' || n || ' pages' AS problem FROM p WHERE page_index = 0 AND n < 4")
+def page_insert_problems(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    return pages.insert_problems(own, 4, own.select("doc_id").distinct())
+
+
+@query("SELECT o_orderkey, concat_ws(',', 0.5 * 4, CASE WHEN length(o_orderstatus || o_orderpriority) > 1 THEN 1.5 * 4 END, CASE WHEN length(o_orderstatus || o_orderpriority) > 2 THEN 2.5 * 4 END) AS places FROM orders".replace("0.5 * 4", "'2.0'").replace("1.5 * 4", "'6.0'").replace("2.5 * 4", "'10.0'"))
+def comb_layout(spark, sf_dir):
+    made = forms.comb_positions(F.concat("o_orderstatus", "o_orderpriority"), 12.0, 3)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(made.cast("array<string>"), ",").alias("places"))
+
+
+@query("SELECT o_orderkey, '/F' || o_orderkey % 5 AS font, CASE WHEN o_orderkey % 7 = 0 THEN 11.0 ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS size FROM orders")
+def default_appearance(spark, sf_dir):
     key = F.col("o_orderkey")
-    base = F.array(key, F.lit(7).cast("long"))
-    tested = F.array((key % 10), F.lit(7).cast("long"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_append(base, F.lit(9).cast("long")).cast("array<string>"), ",").alias("appended"), F.size(F.filter(tested, lambda x: x == 7)).cast("long").alias("sevens"))
+    da = F.concat(F.lit("0 g /Old 9 Tf /F"), key % 5, F.lit(" "), key % 7, F.lit(" Tf"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", forms.default_appearance(da).alias("d")).select("o_orderkey", "d.font", "d.size")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '/On' ELSE '/Off' END AS box, CASE WHEN o_orderstatus IN ('O', 'F') OR o_orderkey % 3 = 0 THEN o_orderstatus END AS choice FROM orders")
+def button_and_choice(spark, sf_dir):
+    key = F.col("o_orderkey")
+    edit = F.when(key % 3 == 0, 1 << 18).otherwise(0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", forms.checkbox_value(key % 2 == 0, F.lit("/On")).alias("box"), forms.choice_value(F.col("o_orderstatus"), F.array(F.lit("O"), F.lit("F")), edit).alias("choice"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents")
+def text_strings(spark, sf_dir):
+    """Texts to the bytes that DocumentInfo stores and back."""
+    back = text.text_string(text.docinfo_bytes(F.coalesce(F.col("text"), F.lit(""))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(back).alias("digest"), F.when(F.col("text").isNotNull(), F.octet_length(back)).cast("long").alias("n"))
 
 
 @query("WITH s AS (SELECT p_partkey, least(612.0 / (p_size + 100), 792.0 / (p_size * 2 + 50)) AS k, p_size FROM part) SELECT p_partkey, CAST(floor(k * 10000 + 0.3141592653) AS BIGINT) AS scale, CAST(floor((612 - (p_size + 100) * k) / 2 * 10000 + 0.3141592653) AS BIGINT) AS x, CAST(floor((792 - (p_size * 2 + 50) * k) / 2 * 10000 + 0.3141592653) AS BIGINT) AS y FROM s")

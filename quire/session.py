@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +15,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the cluster's ``spark.checkpoint.dir``.
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
     Where that is unset, a temporary folder is taken on one machine; on a cluster its
     executors would not see each other's files, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp("-quire"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI within the shared one."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def shipped(df: DataFrame) -> DataFrame:
     """``df``, in an application whose Python workers can import this package.
 

@@ -1,15 +1,18 @@
-"""``spark.read.format("pages")`` for a folder every executor sees, writers, and a table function for content.
+"""``spark.read.format("pages")`` for any store that Arrow opens by its URI, writers, and a table function for content.
 
-Other stores: ``quire.sources.tables.read``, whose bytes come through Spark's own reader.
+``quire.sources.tables.read`` does the same for any store that Spark's own reader opens.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
+import posixpath
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -44,21 +47,45 @@ class PagesSource(DataSource):
         return PagesReader(dict(self.options))
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+
+
+def _matching(path: str) -> list[str]:
+    """Paths, within their store, of the files of a folder (*.pdf) or of a pattern in the last parts of a path."""
+    signs = [path.find(c) for c in "*?[" if c in path]
+    store, place = _store(path[: path.rfind("/", 0, min(signs)) + 1] if signs else path)
+    if not signs:
+        info = store.get_file_info(place)
+        if info.type == fs.FileType.File:
+            return [place]
+        pattern = posixpath.join(place, "*.pdf")
+    else:
+        pattern = posixpath.join(place, path[path.rfind("/", 0, min(signs)) + 1 :])
+    deep = pattern[len(place) :].strip("/").count("/") > 0
+    found = store.get_file_info(fs.FileSelector(place, allow_not_found=True, recursive=deep))
+    fits = lambda name: name.count("/") == pattern.count("/") and fnmatch.fnmatchcase(name, pattern)
+    return sorted(f.path for f in found if f.type == fs.FileType.File and fits(f.path))
+
+
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[Files]:
-        path = self.options["path"]
-        names = sorted(glob.glob(os.path.join(path, "*.pdf") if os.path.isdir(path) else path))
+        names = _matching(self.options["path"])
         size = int(self.options.get("filespertask", self.options.get("filesPerTask", 64)))
         return [Files(names[i : i + size]) for i in range(0, len(names), size)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         table = self.options.get("table", "docs")
         more = {"operators": self.options.get("operators", "")} if table == "instructions" else {}
+        store = _store(self.options["path"].split("*")[0])[0] if partition.paths else None
         for name in partition.paths:
-            with open(name, "rb") as f:
+            with store.open_input_stream(name) as f:
                 yield from tables.rows_of(name, f.read(), table, self.options.get("recover", "true") != "false", self.options.get("password", ""), **more)
 
 
@@ -77,6 +104,31 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("content_instructions", Instructions)
 
 
+def save_files(files: DataFrame, folder: str) -> None:
+    """Every ``content`` of ``path, content`` as the file of that name within ``folder``, a path or URI.
+
+    A file is written under another name and moved when it is whole, so a reader sees it whole or
+    not at all, and a task that is run again, or twice, leaves the same file. Names with a slash
+    or that go up are an error before anything of their batch is written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = _store(folder)
+        store.create_dir(place, recursive=True)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            if bad := [n for n in names if not n or "/" in n or n in (".", "..")]:
+                raise ValueError(f"{bad[0]!r} is no file's name")
+            for i, name in enumerate(names):
+                whole, part = posixpath.join(place, name), posixpath.join(place, f"_{uuid.uuid4().hex}.part")
+                with store.open_output_stream(part) as out:
+                    out.write(batch.column(1)[i].as_py() or b"")
+                store.move(part, whole)
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["written"])
+
+    shipped(files).select("path", "content").mapInArrow(run, "written bigint").write.format("noop").mode("overwrite").save()
+
+
 def to_files(objects: DataFrame, roots: DataFrame, options: Options = Options()) -> DataFrame:
     """``path, content``: each document's objects (``path, obj, gen, value, raw``) as a file.
 

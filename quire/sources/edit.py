@@ -85,6 +85,53 @@ class Editor:
             parent[Name(key)] = default
         return self.get(parent.get(key))
 
+    def at_path(self, path: Iterable[str | int], start=None):
+        """The value that names and indexes lead to from the catalog (or ``start``); an error says how far they got."""
+        value, done = self.root if start is None else self.get(start), ""
+        for step in path:
+            inner = value.head if isinstance(value, Stream) else value
+            if isinstance(step, int):
+                if not isinstance(inner, list) or not -len(inner) <= step < len(inner):
+                    raise IndexError(f"there is no [{step}] after {done or 'the start'}")
+                value, done = self.get(inner[step]), f"{done}[{step}]"
+            else:
+                if not isinstance(inner, dict) or step not in inner:
+                    raise KeyError(f"there is no {step} after {done or 'the start'}")
+                value, done = self.get(inner[step]), done + step
+        return value
+
+    def set_path(self, path: Iterable[str | int], value, start=None) -> None:
+        """A value put where a path ends; what is before its last step has to be there."""
+        *way, last = path
+        holder = self.at_path(way, start)
+        if isinstance(last, int):
+            self.at_path([last], holder)
+            holder[last] = value
+        elif last == "/Length" and isinstance(holder, Stream):
+            raise ValueError("a stream's length follows from its data")
+        elif isinstance(holder, (dict, Stream)):
+            (holder.head if isinstance(holder, Stream) else holder)[Name(last)] = value
+        else:
+            raise KeyError(f"there is nothing that {last} could be put into")
+
+    def delete_path(self, path: Iterable[str | int], start=None) -> None:
+        *way, last = path
+        holder = self.at_path(way, start)
+        self.at_path([last], holder)
+        del (holder.head if isinstance(holder, Stream) else holder)[last]
+
+    def emplace(self, ref: Ref, value: dict, retain: Iterable[str] = ("/Parent",)) -> None:
+        """A dictionary's entries replaced by others, but for those that are retained; whoever refers to it sees the new ones."""
+        own = self.get(ref)
+        kept = {k: own[k] for k in retain if k in own}
+        own.clear()
+        own |= value | kept
+
+    def swap(self, a: Ref, b: Ref) -> None:
+        """Two objects change places; references stay as they are."""
+        one, two = (a.obj, a.gen), (b.obj, b.gen)
+        self.objects[one], self.objects[two] = self.objects[two], self.objects[one]
+
     def pages(self) -> list[Ref]:
         return list(self.get(self.root["/Pages"])["/Kids"])
 

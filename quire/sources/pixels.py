@@ -9,7 +9,7 @@ import numpy as np
 
 from quire.sources.values import Malformed
 
-CHANNELS = {"/DeviceGray": 1, "/CalGray": 1, "/DeviceRGB": 3, "/CalRGB": 3, "/DeviceCMYK": 4, "/Indexed": 1}
+CHANNELS = {"/DeviceGray": 1, "/CalGray": 1, "/DeviceRGB": 3, "/CalRGB": 3, "/DeviceCMYK": 4, "/CalCMYK": 4, "/Indexed": 1}
 
 
 def samples(raw: bytes, width: int, height: int, channels: int, bits: int) -> np.ndarray:
@@ -59,13 +59,36 @@ def colorkey(values: np.ndarray, ranges: list[int]) -> np.ndarray:
     return np.where(((values >= lo) & (values <= hi)).all(axis=-1), 0, 255).astype(np.uint8)
 
 
+def fitted(alpha: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A mask in the size of its image, each sample the nearest."""
+    rows, columns = (np.minimum((np.arange(new) + 0.5) * old / new, old - 1).astype(int) for new, old in ((height, alpha.shape[0]), (width, alpha.shape[1])))
+    return alpha[rows][:, columns]
+
+
+def with_alpha(values: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Pixels with a mask, which is brought to their size."""
+    return np.dstack([values, fitted(alpha, *values.shape[:2])])
+
+
+def png16(raw: bytes, width: int, height: int) -> bytes:
+    """Grey of 16 bits as it is."""
+    if len(raw) < 2 * width * height:
+        raise Malformed("too few bytes of samples")
+    rows = b"".join(b"\0" + raw[2 * width * y : 2 * width * (y + 1)] for y in range(height))
+    return _png(width, height, 16, 0, rows)
+
+
+def _png(width: int, height: int, bits: int, kind: int, rows: bytes) -> bytes:
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
 def png(values: np.ndarray) -> bytes:
     """Grey, grey and alpha, RGB or RGB and alpha, 8 bits."""
     height, width, n = values.shape
     kind = {1: 0, 2: 4, 3: 2, 4: 6}[n]
     rows = np.hstack([np.zeros((height, 1), np.uint8), values.reshape(height, -1)]).tobytes()
-    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    return _png(width, height, 8, kind, rows)
 
 
 def ccitt_tiff(raw: bytes, width: int, height: int, parms: dict) -> bytes:
@@ -80,8 +103,11 @@ def ccitt_tiff(raw: bytes, width: int, height: int, parms: dict) -> bytes:
     return b"II*\0" + struct.pack("<IH", 8, len(entries)) + body + struct.pack("<I", 0) + raw
 
 
-def extract(raw: bytes, width: int, height: int, bits: int, colorspace: str, left: list[str], parms: dict | None = None, lookup: bytes = b"", base: str = "/DeviceRGB", decode: list[float] | None = None) -> tuple[str, bytes]:
-    """Suffix and bytes of an image file; ``raw`` is decoded but for the filters ``left``."""
+def extract(raw: bytes, width: int, height: int, bits: int, colorspace: str, left: list[str], parms: dict | None = None, lookup: bytes = b"", base: str = "/DeviceRGB", decode: list[float] | None = None, alpha: np.ndarray | None = None, keys: list[int] | None = None) -> tuple[str, bytes]:
+    """Suffix and bytes of an image file; ``raw`` is decoded but for the filters ``left``.
+
+    ``alpha``: a soft mask's or stencil's samples, 0 to 255; ``keys``: the ranges of a colour key.
+    """
     if left:
         kind = {"/DCTDecode": ".jpg", "/JPXDecode": ".jp2"}.get(left[0])
         if kind and len(left) == 1:
@@ -94,8 +120,18 @@ def extract(raw: bytes, width: int, height: int, bits: int, colorspace: str, lef
     values = samples(raw, width, height, CHANNELS[colorspace], bits)
     if colorspace == "/Indexed":
         values = through_palette(values, lookup, base)
-        return ".png", png(rgb_of_cmyk(values) if base == "/DeviceCMYK" else values)
+        values = rgb_of_cmyk(values) if base == "/DeviceCMYK" else values
+        if alpha is not None and values.shape[-1] == 1:
+            values = np.repeat(values, 3, axis=-1)  # a palette with a mask becomes RGB
+        return ".png", png(values if alpha is None else with_alpha(values, alpha))
+    if bits == 16 and colorspace in ("/DeviceGray", "/CalGray") and not decode and alpha is None:
+        return ".png", png16(raw, width, height)
     values = scaled(values, bits)
+    if keys and alpha is None and bits == 8 and len(keys) == 2 * values.shape[-1]:
+        alpha = colorkey(values, keys)
     if decode and len(decode) == 2 * values.shape[-1]:
         values = decoded(values, decode)
-    return ".png", png(rgb_of_cmyk(values) if colorspace == "/DeviceCMYK" else values)
+    values = rgb_of_cmyk(values) if colorspace in ("/DeviceCMYK", "/CalCMYK") else values
+    if alpha is not None and bits == 16 and values.shape[-1] == 1:
+        values = np.repeat(values, 3, axis=-1)  # as its mode holds no alpha
+    return ".png", png(values if alpha is None else with_alpha(values, alpha))

@@ -26,13 +26,14 @@ SCHEMAS = {
     "instructions": "path string, page_index int, seq int, operator string, operands array<string>, numbers array<double>",
     "annotations": "path string, page_index int, seq int, subtype string, flags bigint, rect array<double>, name string, value string",
     "actions": "path string, holder string, slot string, pos int, subtype string, value string",
-    "outline": "path string, place array<int>, depth int, title string, dest string, action string, closed boolean",
+    "outline": "path string, place array<int>, depth int, title string, dest string, action string, closed boolean, italic boolean, bold boolean, page int",
     "fields": "path string, obj int, parent int, name string, full_name string, type string, value string, flags bigint, is_terminal boolean",
     "names": "path string, tree string, seq int, key string, number bigint, value string",
     "docinfo": "path string, key string, value string",
     "xmp": "path string, name string, values array<string>",
-    "attachments": "path string, key string, filename string, description string, mime string, data binary",
-    "images": "path string, page_index int, name string, width int, height int, bits int, colorspace string, filters array<string>, is_mask boolean, raw binary",
+    "attachments": "path string, key string, filename string, description string, mime string, data binary, size bigint, created string, modified string, checksum string, relationship string",
+    "images": "path string, page_index int, name string, width int, height int, bits int, colorspace string, filters array<string>, is_mask boolean, raw binary, base string, components int, profile binary, smask string, mask string",
+    "image_files": "path string, page_index int, name string, suffix string, data binary, problem string",
     "problems": "path string, obj int, problem string",
 }
 
@@ -178,9 +179,28 @@ def _actions(doc: Document) -> Iterator[tuple]:
 
 
 def _outline(doc: Document) -> Iterator[tuple]:
+    pages = {ref: i for i, (ref, _) in enumerate(doc.pages()) if ref}
+    root = doc.get(doc.trailer.get("/Root")) or {}
+    named: dict | None = None
+
+    def target(item: dict) -> int | None:
+        """The page that an item leads to, by its destination or a GoTo action, by name or directly."""
+        nonlocal named
+        dest = doc.get(item.get("/Dest"))
+        action = doc.get(item.get("/A"))
+        if dest is None and isinstance(action, dict) and action.get("/S") == "/GoTo":
+            dest = doc.get(action.get("/D"))
+        if isinstance(dest, (bytes, Name)):
+            if named is None:
+                named = {k: v for k, v in doc.tree((doc.get(root.get("/Names")) or {}).get("/Dests"), "/Names")} | dict(doc.get(root.get("/Dests")) or {})
+            dest = doc.get(named.get(dest))
+            dest = doc.get(dest.get("/D")) if isinstance(dest, dict) else dest
+        return pages.get(dest[0]) if isinstance(dest, list) and dest and isinstance(dest[0], Ref) else dest[0] if isinstance(dest, list) and dest and isinstance(dest[0], int) else None
+
     for place, _, item in doc.outline():
-        count = doc.get(item.get("/Count"))
-        yield list(place), len(place), _text(doc.get(item.get("/Title"))) or "", to_json(item["/Dest"]) if "/Dest" in item else None, to_json(doc.get(item["/A"])) if "/A" in item else None, isinstance(count, int) and count < 0
+        count, flags = doc.get(item.get("/Count")), doc.get(item.get("/F"))
+        flags = flags if isinstance(flags, int) else 0
+        yield list(place), len(place), _text(doc.get(item.get("/Title"))) or "", to_json(item["/Dest"]) if "/Dest" in item else None, to_json(doc.get(item["/A"])) if "/A" in item else None, isinstance(count, int) and count < 0, bool(flags & 1), bool(flags & 2), target(item)
 
 
 def _field_rows(doc: Document) -> Iterator[tuple]:
@@ -244,16 +264,26 @@ def _attachments(doc: Document) -> Iterator[tuple]:
         if isinstance(spec, dict):
             files = doc.get(spec.get("/EF")) or {}
             s = doc.get(files.get("/UF", files.get("/F")))
-            yield _text(key), _text(doc.get(spec.get("/UF", spec.get("/F")))), _text(doc.get(spec.get("/Desc"))), (_text(s.head.get("/Subtype")) or "").lstrip("/") if isinstance(s, Stream) else None, doc.stream_data(s) if isinstance(s, Stream) else None
+            yield _text(key), _text(doc.get(spec.get("/UF", spec.get("/F")))), _text(doc.get(spec.get("/Desc"))), (_text(s.head.get("/Subtype")) or "").lstrip("/") if isinstance(s, Stream) else None, doc.stream_data(s) if isinstance(s, Stream) else None, *_about(doc, spec, s)
 
 
-def _images(doc: Document) -> Iterator[tuple]:
+def _about(doc: Document, spec: dict, s) -> tuple:
+    """What an embedded file says of itself: size, dates as they are written, checksum in hex, relationship."""
+    told = doc.get(s.head.get("/Params")) if isinstance(s, Stream) else None
+    told = told if isinstance(told, dict) else {}
+    size, check = doc.get(told.get("/Size")), doc.get(told.get("/CheckSum"))
+    kind = _text(doc.get(spec.get("/AFRelationship")))
+    return size if isinstance(size, int) else None, _text(doc.get(told.get("/CreationDate"))), _text(doc.get(told.get("/ModDate"))), check.hex() if isinstance(check, bytes) else None, kind.lstrip("/") if kind else None
+
+
+def _pictures(doc: Document) -> Iterator[tuple[int, str, Stream]]:
+    """Images of each page in their order, in forms nested to any depth; a form within itself is left out."""
+
     def within(resources):
         return iter(list((doc.get((doc.get(resources) or {}).get("/XObject")) or {}).items()))
 
-    def walk(resources):
-        """Images in their order, in forms nested to any depth; a form within itself is left out."""
-        seen, stack = set(), [("", None, within(resources))]
+    for i, (_, page) in enumerate(doc.pages()):
+        seen, stack = set(), [("", None, within(page.get("/Resources")))]
         while stack:
             scope, form, left = stack[-1]
             for name, ref in left:
@@ -261,7 +291,7 @@ def _images(doc: Document) -> Iterator[tuple]:
                 if not isinstance(s, Stream) or (isinstance(ref, Ref) and ref in seen):
                     continue
                 if s.head.get("/Subtype") == "/Image":
-                    yield scope + name, s
+                    yield i, scope + name, s
                 elif s.head.get("/Subtype") == "/Form":
                     seen |= {ref} if isinstance(ref, Ref) else set()
                     stack.append((scope + name, ref, within(s.head.get("/Resources"))))
@@ -270,14 +300,85 @@ def _images(doc: Document) -> Iterator[tuple]:
                 stack.pop()
                 seen.discard(form)
 
+
+def _space(doc: Document, value) -> tuple[str | None, str | None, int | None, bytes | None, bytes]:
+    """A colour space's name, an Indexed one's base, the components and profile of an ICCBased one (or base), and a palette."""
+    space = doc.get(value)
+    if not isinstance(space, list) or not space:
+        return (str(space) if isinstance(space, Name) else None), None, None, None, b""
+    name, base, lookup, own = str(doc.get(space[0])), None, b"", space
+    if name == "/Indexed" and len(space) > 3:
+        own = doc.get(space[1])
+        base = str(doc.get(own[0])) if isinstance(own, list) and own else str(own)
+        table = doc.get(space[3])
+        lookup = doc.stream_data(table) if isinstance(table, Stream) else table if isinstance(table, bytes) else b""
+    profile = doc.get(own[1]) if isinstance(own, list) and len(own) > 1 and doc.get(own[0]) == "/ICCBased" else None
+    if not isinstance(profile, Stream):
+        return name, base, None, None, lookup
+    n = doc.get(profile.head.get("/N"))
+    return name, base, n if isinstance(n, int) else None, doc.stream_data(profile), lookup
+
+
+def _entries(doc: Document, s: Stream) -> dict:
+    return {k: doc.get(v) for k, v in s.head.items()}
+
+
+def _whole(h: dict, key: str) -> int | None:
+    return h.get(key) if isinstance(h.get(key), int) and not isinstance(h.get(key), bool) else None
+
+
+def _images(doc: Document) -> Iterator[tuple]:
     from quire.sources.filters import chain
 
-    for i, (_, page) in enumerate(doc.pages()):
-        for name, s in walk(page.get("/Resources")):
-            h = {k: doc.get(v) for k, v in s.head.items()}
-            space = h.get("/ColorSpace")
-            number = lambda k, h=h: h.get(k) if isinstance(h.get(k), int) and not isinstance(h.get(k), bool) else None
-            yield i, name, number("/Width"), number("/Height"), number("/BitsPerComponent"), str(space[0]) if isinstance(space, list) and space else str(space) if isinstance(space, Name) else None, [str(n) for n, _ in chain(h)], h.get("/ImageMask") is True, s.raw
+    for i, name, s in _pictures(doc):
+        h = _entries(doc, s)
+        space, base, components, profile, _ = _space(doc, h.get("/ColorSpace"))
+        kinds = [("stream" if isinstance(h.get(k), Stream) else "array" if isinstance(h.get(k), list) else None) for k in ("/SMask", "/Mask")]
+        yield i, name, _whole(h, "/Width"), _whole(h, "/Height"), _whole(h, "/BitsPerComponent"), space, [str(n) for n, _ in chain(h)], h.get("/ImageMask") is True, s.raw, base, components, profile, *kinds
+
+
+def _picture_file(doc: Document, s: Stream, masks: bool = True) -> tuple[str, bytes]:
+    """Suffix and bytes of an image, its mask as alpha; ICCBased pixels by how many components they have."""
+    from quire.sources import filters, pixels
+
+    h = _entries(doc, s)
+    space, base, components, _, lookup = _space(doc, h.get("/ColorSpace"))
+    device = {1: "/DeviceGray", 3: "/DeviceRGB", 4: "/DeviceCMYK"}.get(components)
+    space, base = (device if space == "/ICCBased" else space), (device if base == "/ICCBased" else base)
+    stencil = h.get("/ImageMask") is True
+    raw, left = filters.decode(h, s.raw)
+    alpha = keys = None
+    if masks and isinstance(h.get("/SMask"), Stream):
+        alpha = _grey(doc, h["/SMask"])
+    elif masks and isinstance(h.get("/Mask"), Stream):
+        alpha = 255 - _grey(doc, h["/Mask"])  # a stencil paints where it is 0
+    elif masks and isinstance(h.get("/Mask"), list):
+        keys = [int(float(str(doc.get(x)))) for x in h["/Mask"]]
+    decode = [float(str(doc.get(x))) for x in h["/Decode"]] if isinstance(h.get("/Decode"), list) else None
+    return pixels.extract(raw, _whole(h, "/Width") or 0, _whole(h, "/Height") or 0, 1 if stencil else _whole(h, "/BitsPerComponent") or 8, "/DeviceGray" if stencil else space or "", [str(n) for n, _ in left], next((p or {} for n, p in left if n == "/CCITTFaxDecode"), {}), lookup, base or "/DeviceRGB", decode, alpha, keys)
+
+
+def _grey(doc: Document, s: Stream):
+    """The samples of a mask, 0 to 255."""
+    from quire.sources import filters, pixels
+
+    h = _entries(doc, s)
+    raw, left = filters.decode(h, s.raw)
+    if left:
+        raise Malformed(f"no decoder for a mask's {left[0][0]}")
+    bits = 1 if h.get("/ImageMask") is True else _whole(h, "/BitsPerComponent") or 8
+    values = pixels.scaled(pixels.samples(raw, _whole(h, "/Width") or 0, _whole(h, "/Height") or 0, 1, bits), bits)
+    if isinstance(h.get("/Decode"), list) and len(h["/Decode"]) == 2:
+        values = pixels.decoded(values, [float(str(doc.get(x))) for x in h["/Decode"]])
+    return values[..., 0]
+
+
+def _image_files(doc: Document) -> Iterator[tuple]:
+    for i, name, s in _pictures(doc):
+        try:
+            yield i, name, *_picture_file(doc, s), None
+        except (Malformed, ValueError, TypeError, KeyError, IndexError) as e:
+            yield i, name, None, None, f"{type(e).__name__}: {e}"
 
 
 def _problems(doc: Document) -> Iterator[tuple]:
@@ -297,7 +398,7 @@ def _problems(doc: Document) -> Iterator[tuple]:
         yield None, w
 
 
-_ROWS: dict[str, Callable] = {"docs": _docs, "objects": _objects, "refs": _refs, "pages": _pages, "instructions": _instructions, "annotations": _annotations, "actions": _actions, "outline": _outline, "fields": _fields, "names": _names, "docinfo": _docinfo, "xmp": _xmp, "attachments": _attachments, "images": _images, "problems": _problems}
+_ROWS: dict[str, Callable] = {"docs": _docs, "objects": _objects, "refs": _refs, "pages": _pages, "instructions": _instructions, "annotations": _annotations, "actions": _actions, "outline": _outline, "fields": _fields, "names": _names, "docinfo": _docinfo, "xmp": _xmp, "attachments": _attachments, "images": _images, "image_files": _image_files, "problems": _problems}
 
 
 def rows_of(path: str, data: bytes, table: str, recover: bool = True, password: str = "", **options) -> list[tuple]:

@@ -23,6 +23,7 @@ class Options:
     static_id: bool = False
     min_version: str = ""
     force_version: str = ""
+    object_streams: bool = False
 
     def problem(self) -> str | None:
         if self.encrypt and (self.normalize or self.decode not in ("none", "generalized")):
@@ -33,6 +34,8 @@ class Options:
             return "linearized files can't have normalized content"
         if self.linearize:
             return "this writer doesn't linearize"
+        if self.object_streams and self.force_version and self.force_version < "1.5":
+            return "object streams need version 1.5"
         if not -1 <= self.level <= 9:
             return "a compression level is -1 to 9"
         return None
@@ -61,11 +64,42 @@ def _written(value) -> bytes:
     return unparse(value.head | {Name("/Length"): len(value.raw)}) + b"\nstream\n" + value.raw + b"\nendstream"
 
 
+#: Objects that an object stream holds.
+IN_STREAM = 100
+
+
+def _packed(ready: dict, level: int) -> tuple[dict, dict[int, tuple[int, int]]]:
+    """The objects with those that are no streams put into object streams, and where each of these is: stream and place."""
+    loose = [(n, v) for (n, gen), v in ready.items() if not gen and not isinstance(v, Stream)]
+    out, places, own = {k: v for k, v in ready.items() if k[1] or isinstance(v, Stream)}, {}, max((n for n, _ in ready), default=0)
+    for at in range(0, len(loose), IN_STREAM):
+        part, own, body, head = loose[at : at + IN_STREAM], own + 1, bytearray(), []
+        for i, (n, value) in enumerate(part):
+            head.append(b"%d %d" % (n, len(body)))
+            body += unparse(value) + b"\n"
+            places[n] = (own, i)
+        first = b" ".join(head) + b"\n"
+        out[own, 0] = Stream({Name("/Type"): Name("/ObjStm"), Name("/N"): len(part), Name("/First"): len(first), Name("/Filter"): Name("/FlateDecode")}, filters.encode_flate(first + bytes(body), level))
+    return out, places
+
+
+def _xref_stream(places: dict[int, tuple[int, int]], packed: dict[int, tuple[int, int]], head: dict, at: int, level: int) -> bytes:
+    """The cross-reference stream, itself an object at ``at``, and the file's end."""
+    own = max([*places, *packed], default=0) + 1
+    places = places | {own: (at, 0)}
+    rows = b"\0" + bytes(4) + b"\xff\xff"
+    for n in range(1, own + 1):
+        kind, x, y = (2, *packed[n]) if n in packed else (1, *places[n]) if n in places else (0, 0, 0)
+        rows += bytes([kind]) + x.to_bytes(4, "big") + y.to_bytes(2, "big")
+    entries = head | {Name("/Type"): Name("/XRef"), Name("/Size"): own + 1, Name("/W"): [1, 4, 2], Name("/Filter"): Name("/FlateDecode")}
+    return b"%d 0 obj\n" % own + _written(Stream(entries, filters.encode_flate(rows, level))) + b"\nendobj\nstartxref\n%d\n%%%%EOF\n" % at
+
+
 def write(objects: dict[tuple[int, int], object], trailer: dict, version: str = "1.7", options: Options = Options()) -> bytes:
     """A whole file of the numbered objects; ``trailer`` has /Root and what else stays."""
     if problem := options.problem():
         raise ValueError(problem)
-    version = options.force_version or max(version or "1.7", options.min_version)
+    version = options.force_version or max(version or "1.7", options.min_version, "1.5" if options.object_streams else "")
     ready = {k: _ready(v, options) for k, v in sorted(objects.items())}
     whole = hashlib.md5()
     for (number, gen), value in ready.items():
@@ -74,6 +108,9 @@ def write(objects: dict[tuple[int, int], object], trailer: dict, version: str =
     first = trailer.get("/ID")
     ids = [first[0] if isinstance(first, list) and first else digest, digest]
     head = {k: v for k, v in trailer.items() if k in ("/Root", "/Info")}
+    packed: dict[int, tuple[int, int]] = {}
+    if options.object_streams:
+        ready, packed = _packed(ready, options.level)
     if options.encrypt:
         rules, handler = options.encrypt.start(ids[0], digest if options.static_id else b"")
         ready = {k: handler.value(v, *k, encrypt=True) for k, v in ready.items()}
@@ -84,6 +121,8 @@ def write(objects: dict[tuple[int, int], object], trailer: dict, version: str =
     for (number, gen), value in ready.items():
         places[number] = (len(out), gen)
         out += b"%d %d obj\n" % (number, gen) + _written(value) + b"\nendobj\n"
+    if options.object_streams:
+        return bytes(out) + _xref_stream(places, packed, head | {Name("/ID"): ids}, len(out), options.level)
     size, at = max(places, default=0) + 1, len(out)
     lines = [b"0000000000 65535 f \n"]
     for number in range(1, size):

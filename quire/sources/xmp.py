@@ -12,6 +12,14 @@ NAMESPACES = {
     "pdf": "http://ns.adobe.com/pdf/1.3/",
     "pdfaid": "http://www.aiim.org/pdfa/ns/id/",
     "pdfxid": "http://www.npes.org/pdfx/ns/id/",
+    "pdfaExtension": "http://www.aiim.org/pdfa/ns/extension/",
+    "pdfaProperty": "http://www.aiim.org/pdfa/ns/property#",
+    "pdfaSchema": "http://www.aiim.org/pdfa/ns/schema#",
+    "pdfuaid": "http://www.aiim.org/pdfua/ns/id/",
+    "pdfx": "http://ns.adobe.com/pdfx/1.3/",
+    "crossmark": "http://crossref.org/crossmark/1.0/",
+    "jav": "http://www.niso.org/schemas/jav/1.0/",
+    "ali": "http://www.niso.org/schemas/ali/1.0/",
     "photoshop": "http://ns.adobe.com/photoshop/1.0/",
     "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
     "x": "adobe:ns:meta/",
@@ -25,6 +33,14 @@ _RDF = "{" + NAMESPACES["rdf"] + "}"
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 
+def register_namespace(prefix: str, uri: str) -> None:
+    """A namespace's prefix, for reading and writing; one that stands for another namespace is an error."""
+    if NAMESPACES.get(prefix, uri) != uri:
+        raise ValueError(f"{prefix} stands for {NAMESPACES[prefix]}")
+    NAMESPACES[prefix] = uri
+    _PREFIX[uri] = prefix
+
+
 def _qname(tag: str) -> str:
     uri, _, local = tag[1:].rpartition("}") if tag.startswith("{") else ("", "", tag)
     return f"{_PREFIX[uri]}:{local}" if uri in _PREFIX else tag

@@ -413,6 +413,22 @@ def test_graft(spark):
     assert sorted((r.node, r.parent, r.pos) for r in got.collect()) == [(1, None, 0), (3, 1, 0), (5, 1, 1), (6, 1, 2)]
 
 
+def test_written_object_streams():
+    from quire.sources.crypt import Encryption
+
+    b = Builder()
+    for i in range(250):
+        b.page(b"q Q", None, (0, 0, 100 + i, 100))
+    b.info = {N("/Title"): b"t"}
+    plain = Document(b.bytes())
+    for options, password in ((Options(object_streams=True), b""), (Options(object_streams=True, encrypt=Encryption(owner="o", user="u", revision=4)), b"u")):
+        made = Document(b.bytes(options), password=password)
+        assert not made.rebuilt and [p["/MediaBox"] for _, p in made.pages()] == [p["/MediaBox"] for _, p in plain.pages()]
+        assert made.content(made.pages()[249][1]).strip() == b"q Q" and made.get(made.trailer["/Info"])["/Title"] == b"t"
+    with pytest.raises(ValueError):
+        b.bytes(Options(object_streams=True, force_version="1.4"))
+
+
 def test_graft_of_any_depth(spark):
     """A chain of 200 nodes of which every second goes, a run of 120 that goes as a whole, and a circle."""
     from quire.operators.actions import graft
@@ -441,6 +457,39 @@ def test_long_closure(spark):
     assert closure(edges, spark.createDataFrame([(0,)], "node int")).count() == 71
 
 
+def test_source_lists_any_store(tmp_path):
+    from quire.sources.datasource import _matching
+
+    for name in ("a.pdf", "b.pdf", "c.txt", "d/e.pdf", "d/f.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    short = lambda path: [x[len(str(tmp_path)) + 1 :] for x in _matching(path)]
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert short(root) == ["a.pdf", "b.pdf"] and short(root + "/a.pdf") == ["a.pdf"]
+        assert short(root + "/*.txt") == ["c.txt"] and short(root + "/*/*.pdf") == ["d/e.pdf", "d/f.pdf"] and short(root + "/[ab].pdf") == ["a.pdf", "b.pdf"]
+        assert short(root + "/none") == []
+
+
+def test_namespaces_can_be_registered():
+    xmp.register_namespace("own", "http://own.example/ns/")
+    assert dict(xmp.properties(xmp.packet({"own:thing": ["x"], "pdfuaid:part": ["1"]}))) == {"own:thing": ["x"], "pdfuaid:part": ["1"]}
+    with pytest.raises(ValueError):
+        xmp.register_namespace("own", "http://other.example/")
+
+
+def test_masks_become_alpha():
+    import numpy as np
+
+    values = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    alpha = np.array([[0, 255]], np.uint8)
+    assert pixels.with_alpha(values, alpha)[..., 3].tolist() == [[0, 255], [0, 255]]
+    kind, made = pixels.extract(values.tobytes(), 2, 2, 8, "/DeviceRGB", [], alpha=alpha)
+    assert kind == ".png" and made[25] == 6
+    assert zlib.decompress(made[41:-16]) == b"".join(b"\0" + bytes([*values[y, 0], 0, *values[y, 1], 255]) for y in range(2))
+    assert pixels.extract(bytes(8), 2, 2, 16, "/DeviceGray", [])[1][24] == 16
+    assert pixels.extract(bytes([5, 50]), 2, 1, 8, "/DeviceGray", [], keys=[0, 9])[1][25] == 4
+
+
 def test_insert_past_the_end_is_told(spark):
     from quire.operators import pages
 
