@@ -237,7 +237,7 @@ def test_tables(files):
     assert docs["rich"].n_pages == 2 and docs["four"].n_pages == 4 and docs["packed"].n_pages == 1 and docs["bad"].problem and docs["none"].problem
     for name in tables.SCHEMAS:
         got = tables.tables(files, name)
-        assert got.where("path = 'rich'").count() > 0 or name in ("images", "problems"), name
+        assert got.where("path = 'rich'").count() > 0 or name in ("images", "image_files", "problems"), name
         assert got.limit(0).count() == 0
     assert [(r["page_index"], r["label"]) for r in rows(tables.tables(files, "pages"))] == [(0, "iv"), (1, "P-A")]
     assert [(r["full_name"], r["type"], r["flags"], r["is_terminal"]) for r in rows(tables.tables(files, "fields"))] == [("a", "/Tx", 2, False), ("a.b", "/Tx", 2, True)]
