@@ -7,7 +7,8 @@ passage share its anchors, whatever stands around and whether or not they have s
 are worked on in blocks of ``BLOCK`` code points that overlap, so no array grows with the text
 but that of its anchors. A text without any anchor has one: the whole of it.
 
-The fingerprint keeps of each distinct anchor the high half of its hash and its first place.
+An anchor is one number: the highest 31 bits of its hash, then 32 bits for its place. The
+fingerprint keeps each distinct hash with its first place.
 A text of more than ``ALL`` distinct anchors keeps those with a hash in the lowest half, quarter
 or eighth, the last whenever there are more than four times ``ALL``, so a fingerprint grows with
 its text. As text: the depth of that cut, then ``<hash>@<place>`` in the order of hashes.
@@ -37,6 +38,8 @@ from quire.llm.common import ascii_lower, saved
 
 K, S = 12, 4
 BLOCK = 8192
+#: Masks of an anchor's place and of a bit that no place sets, and one more than the greatest hash.
+PLACE, SIDE, HASHES = (1 << 31) - 1, 1 << 31, 1 << 31
 #: Distinct anchors up to which all are kept, and the deepest cut (an eighth).
 ALL, DEEPEST = 64, 3
 #: Marks below which a single match counts.
@@ -51,28 +54,30 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _block(text: str, offset: str) -> str:
-    """SQL: place and hash of the anchors of a short ``text`` that begins at ``offset``."""
+    """SQL: the anchors of a short ``text`` that begins at ``offset``."""
     inner = f"transform(sequence(0, size(c) - {S}), i -> xxhash64({', '.join(f'c[i + {j}]' if j else 'c[i]' for j in range(S))}))"
     last = K - S
     edge = f"least(g[i], g[i + {last}]) <= least({', '.join(f'g[i + {j}]' for j in range(1, last))})"
     whole = f"xxhash64({', '.join(f'g[i + {j}]' if j else 'g[i]' for j in range(0, K, S))})"
-    runs = f"transform(filter(sequence(0, size(g) - {last + 1}), i -> {edge}), i -> struct(cast({offset} + i as int) as at, {whole} as hash))"
-    none = "cast(array() as array<struct<at:int,hash:bigint>>)"
+    runs = f"transform(filter(sequence(0, size(g) - {last + 1}), i -> {edge}), i -> shiftleft(shiftrightunsigned({whole}, 33), 32) + {offset} + i)"
+    none = "cast(array() as array<bigint>)"
     return _let("c", f"split({text}, '')", f"if(size(c) < {K}, {none}, {_let('g', inner, runs)})")
 
 
 def anchors(text: str, n: str) -> str:
-    """SQL: place and hash of the anchors of ``text`` (in lower case) of ``n`` code points, in order."""
+    """SQL: the anchors of ``text`` (in lower case) of ``n`` code points, in the order of places."""
     piece = f"substr({text}, b * {BLOCK} + 1, {BLOCK + K - 1})"
     return f"flatten(transform(sequence(0, greatest(0, {n} - {K}) div {BLOCK}), b -> {_block(piece, f'b * {BLOCK}')}))"
 
 
 def _sketch(found: str, text: str) -> str:
-    """SQL: depth and marks (hash and first place, in the order of hashes) of anchors; of the whole text if there are none."""
-    marks = f"sort_array(transform(if(size(a) > 0, a, array(struct(0 as at, xxhash64({text}) as hash))), x -> struct(shiftrightunsigned(x.hash, 32) as v, x.at as at)))"
-    firsts = "filter(m, (x, i) -> i = 0 or x.v <> m[i - 1].v)"
-    depth = f"case {' '.join(f'when size(d) > {ALL << k} then {k + 1}' for k in reversed(range(DEEPEST)))} else 0 end"
-    return _let("a", found, _let("m", marks, _let("d", firsts, _let("z", depth, "named_struct('depth', z, 'marks', filter(d, x -> x.v < shiftright(4294967296L, z)))"))))
+    """SQL: depth and marks (anchors with distinct hashes, in their order) of anchors; of the whole text if there are none."""
+    own = f"if(size(a) > 0, a, array(shiftleft(shiftrightunsigned(xxhash64({text}), 33), 32)))"
+    count = "size(array_distinct(transform(m, x -> shiftright(x, 32))))"
+    depth = f"transform(array({count}), d -> case {' '.join(f'when d > {ALL << k} then {k + 1}' for k in reversed(range(DEEPEST)))} else 0 end)[0]"
+    cut = f"sort_array(filter(m, x -> shiftright(x, 32) < shiftright({HASHES}L, z)))"
+    firsts = "filter(s, (x, i) -> i = 0 or shiftright(x, 32) <> shiftright(s[i - 1], 32))"
+    return _let("a", found, _let("m", own, _let("z", depth, _let("s", cut, f"named_struct('depth', z, 'marks', {firsts})"))))
 
 
 def with_sketch(rows: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -83,14 +88,14 @@ def with_sketch(rows: DataFrame, text_col: str, out: str) -> DataFrame:
 
 def fingerprint(sketch: str) -> Column:
     """A sketch as text."""
-    return F.expr(f"concat({sketch}.depth, ':', array_join(transform({sketch}.marks, x -> concat(lower(lpad(hex(x.v), 8, '0')), '@', x.at)), ','))")
+    return F.expr(f"concat({sketch}.depth, ':', array_join(transform({sketch}.marks, x -> concat(lower(lpad(hex(shiftright(x, 32)), 8, '0')), '@', x & {PLACE})), ','))")
 
 
 def likeness(a: str, b: str) -> Column:
     """The share of both sketches' marks that match at matching places."""
-    cut = lambda s: f"filter({s}.marks, x -> x.v < shiftright(4294967296L, greatest({a}.depth, {b}.depth)))"
-    both = "sort_array(concat(transform(p, x -> struct(x.v as v, 0 as side, x.at as at)), transform(q, x -> struct(x.v as v, 1 as side, x.at as at))))"
-    moved = "sort_array(transform(filter(sequence(1, size(z) - 1), i -> z[i].v = z[i - 1].v), i -> z[i].at - z[i - 1].at))"
+    cut = lambda s: f"filter({s}.marks, x -> shiftright(x, 32) < shiftright({HASHES}L, greatest({a}.depth, {b}.depth)))"
+    both = f"sort_array(concat(p, transform(q, x -> x | {SIDE})))"
+    moved = f"sort_array(transform(filter(sequence(1, size(z) - 1), i -> shiftright(z[i], 32) = shiftright(z[i - 1], 32)), i -> (z[i] & {PLACE}) - (z[i - 1] & {PLACE})))"
     alike = "size(filter(w, (x, i) -> x <=> get(w, i - 1) or x <=> get(w, i + 1)))"
     count = f"if(least(size(p), size(q)) < {FEW}, size(w), {alike})"
     share = f"if(size(z) < 2, 0D, {_let('w', moved, f'2D * {count} / size(z)')})"
@@ -117,8 +122,8 @@ def _edited_anchors() -> str:
     keep, head = "(n_chars - n_chars div 2)", "least(n_chars div 2, next_chars)"
     begin = f"greatest(0, {keep} - {K - 1})"
     seam = f"substr(__edited_low, {begin} + 1, least({keep}, {K - 1}) + least({head}, {K - 1}))"
-    own = f"filter(anchors, x -> x.at + {K} <= {keep})"
-    theirs = f"transform(filter(next_anchors, x -> x.at + {K} <= {head}), x -> struct(x.at + {keep} as at, x.hash as hash))"
+    own = f"filter(anchors, x -> (x & {PLACE}) + {K} <= {keep})"
+    theirs = f"transform(filter(next_anchors, x -> (x & {PLACE}) + {K} <= {head}), x -> x + {keep})"
     return f"concat({own}, {_block(seam, begin)}, {theirs})"
 
 

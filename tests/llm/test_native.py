@@ -236,9 +236,9 @@ def brute_anchors(text):
 def brute_marks(text):
     first = {}
     for at, h in brute_anchors(text):
-        first.setdefault(h >> 32, at)
+        first.setdefault(h >> 33, at)
     depth = sum(len(first) > 64 << k for k in range(3))
-    return depth, {v: at for v, at in sorted(first.items()) if v < 2**32 >> depth}
+    return depth, {v: at for v, at in sorted(first.items()) if v < 2**31 >> depth}
 
 
 def brute_fingerprint(text):
@@ -248,7 +248,7 @@ def brute_fingerprint(text):
 
 def brute_likeness(one, two):
     (d1, a), (d2, b) = brute_marks(one), brute_marks(two)
-    a, b = ({v: at for v, at in m.items() if v < 2**32 >> max(d1, d2)} for m in (a, b))
+    a, b = ({v: at for v, at in m.items() if v < 2**31 >> max(d1, d2)} for m in (a, b))
     if not len(a) + len(b) > 1:
         return 0.0
     moved = Counter(b[v] - at for v, at in a.items() if v in b)
