@@ -6,21 +6,23 @@ are fitted, the Cholesky factor of each covariance is computed once, and a text'
 score is the logistic of the difference of the classes' log densities (from the
 Mahalanobis distances) plus the log odds of the classes.
 
-The fit uses every labelled row: what reaches the driver are the sums of the
-vectors and of their products, of a fixed size.
+The fit uses every labelled row, and reads the texts of no others: what reaches the driver
+are the sums of the vectors and of their products, of a fixed size. The labels are
+broadcast if their counted rows are few, and joined by a shuffle beyond.
 
 Rows: a null text counts as an empty one, and an empty text has the statistics
 of no characters and no words and gets a score like any other; a null id is
 never held out and matches no label; repeated rows get equal results; repeated
 labels of a document count as often as they occur; null labels are left out; with
 one class only among the labels every score is that class's; with no labels every
-score is 0.5; an empty table gives an empty one; other columns are ignored.
+score is 0.5; ties in the score go to 1; very long texts are read whole; an empty table gives an
+empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import small_batches
-from quire.llm.common import modest_batches, saved
+from quire.llm.common import BROADCAST_IDS, modest_batches, saved
 
 _SETS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t", "line": b"\n", "stop": b".,;:?", "shout": b"!", "bar": b"|", "symbol": b"#$%&*<>=@\\^_~{}[]+/", "quote": b"\"'()-`"}
 NAMES = ["log_bytes", *(f"share_{k}" for k in _SETS), "share_wide", "log_words", "word_length", "word_spread", "distinct_words", "distinct_lines", "top_word", "log_longest", "log_line"]
@@ -85,6 +87,13 @@ class Discriminant:
     weight: list[float]
     mean: list[np.ndarray | None]
     factor: list[np.ndarray | None]
+    #: The inverses of the factors, and the halves of the log determinants: made once, used for every text.
+    inverse: list[np.ndarray | None] = field(default_factory=list)
+    scale: list[float] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.inverse = [None if f is None else np.linalg.inv(f) for f in self.factor]
+        self.scale = [0.0 if f is None else float(np.log(np.diag(f)).sum()) for f in self.factor]
 
     @classmethod
     def of_sums(cls, count: np.ndarray, total: np.ndarray, product: np.ndarray, shrink: float, floor: float) -> Discriminant:
@@ -101,8 +110,8 @@ class Discriminant:
         return cls(weight, mean, factor)
 
     def _log_density(self, k: int, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
-        return self.weight[k] - np.log(np.diag(self.factor[k])).sum() - 0.5 * (z * z).sum(axis=0)
+        z = (x - self.mean[k]) @ self.inverse[k].T
+        return self.weight[k] - self.scale[k] - 0.5 * (z * z).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1."""
@@ -134,32 +143,30 @@ def fit(rows: DataFrame, x_col: str = "x", label_col: str = "label", shrink: flo
     return Discriminant.of_sums(got[:, 0], got[:, 1 : 1 + d], got[:, 1 + d :].reshape(2, d, d), shrink, floor)
 
 
-def _model(of_docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str) -> Discriminant:
-    marks = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    return fit(of_docs.where(learn).join(marks, id_col))
+def _model(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str) -> Discriminant:
+    marks = saved(labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("__id").isNotNull()))
+    few = marks.count() <= BROADCAST_IDS
+    marks, ids = ((F.broadcast(x) if few else x) for x in (marks, marks.select("__id").distinct()))
+    known = docs.where(learn).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids, "__id", "left_semi")
+    return fit(vectors(known, "__id", "text").join(marks, "__id"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``id_col, score, predicted`` for each row; the fit takes the labels of rows for which ``learn`` (on the id) holds."""
-    of_docs = saved(vectors(docs, id_col, text_col))
-    model = _model(of_docs, labels, learn, label_col, id_col)
+    model = _model(docs, labels, learn, label_col, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.score(np.array(batch.column(1).to_pylist(), float).reshape(-1, len(NAMES)))
+        for batch in small_batches(batches):
+            score = model.score(np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(NAMES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], [id_col, "score"])
 
-    scored = of_docs.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    scored = modest_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The whole rows of ``docs`` that ``classify`` predicts 1 for.
-
-    The statistics are made twice, for the fit and as the rows pass, so that no text is
-    shuffled: the fit's join with the labels moves ids and statistics only.
-    """
-    model, at = _model(vectors(docs, id_col, text_col), labels, learn, label_col, id_col), docs.columns.index(text_col)
+    """The whole rows of ``docs`` that ``classify`` predicts 1 for; no text is shuffled."""
+    model, at = _model(docs, labels, learn, label_col, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
