@@ -73,8 +73,14 @@ def text_width(texts: DataFrame, widths: DataFrame, size: float, missing: int, t
 
 
 def word_wrap(text: str, limit: int) -> str:
-    """SQL: the lines of a text, words put together greedily up to ``limit`` characters."""
-    return f"aggregate(split({text}, ' +'), cast(array() as array<string>), (a, w) -> if(size(a) > 0 and length(a[size(a) - 1]) + 1 + length(w) <= {limit}, concat(slice(a, 1, size(a) - 1), array(concat(a[size(a) - 1], ' ', w))), concat(a, array(w))))"
+    """SQL: the lines of a text, words put together greedily up to ``limit`` characters.
+
+    The fold only notes at which word each line starts; the lines are put together once.
+    """
+    on = f"s.i > 0 and s.col + 1 + length(x) <= {limit}"
+    fold = f"aggregate(w, named_struct('col', 0, 'i', 0, 'starts', cast(array() as array<int>)), (s, x) -> if({on}, named_struct('col', s.col + 1 + length(x), 'i', s.i + 1, 'starts', s.starts), named_struct('col', length(x), 'i', s.i + 1, 'starts', concat(s.starts, array(s.i)))), s -> s.starts)"
+    lines = "transform(b, (from, k) -> array_join(slice(w, from + 1, coalesce(get(b, k + 1), size(w)) - from), ' '))"
+    return f"transform(array(split({text}, ' +')), w -> transform(array({fold}), b -> {lines})[0])[0]"
 
 
 def unused_resources(resources: DataFrame, instructions: DataFrame) -> DataFrame:
