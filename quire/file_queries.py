@@ -79,6 +79,7 @@ def chat_file(conv: int, turns: list[tuple[int, str]]) -> bytes:
     spec = b.add(_named(Type=Name("/Filespec"), F=b"a.txt", UF=b"a%d.txt" % conv, Desc=b"one", EF=_named(F=data), AFRelationship=Name("/Data")))
     script = b.add(_named(S=Name("/JavaScript"), JS=b"y()"))
     b.root |= _named(
+        Extensions=_named(ADBE=_named(BaseVersion=Name("/1.7"), ExtensionLevel=conv % 9)),
         Outlines=outlines,
         AcroForm=b.add(_named(Fields=[parent])),
         Names=_named(Dests=_named(Names=dests), EmbeddedFiles=_named(Names=[b"a", spec]), JavaScript=_named(Names=[b"s", script])),
@@ -109,9 +110,9 @@ def _long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n.rpartition(".")[2]) for n in names]
 
 
-@query("SELECT path, '1.7' AS version, false AS encrypted, false AS linearized, false AS rebuilt, n AS n_pages, 0 AS n_warnings, CAST(NULL AS VARCHAR) AS problem FROM t WHERE i = 0")
+@query("SELECT path, conv_id % 9 AS extension, '1.7' AS version, false AS encrypted, false AS linearized, false AS rebuilt, n AS n_pages, 0 AS n_warnings, CAST(NULL AS VARCHAR) AS problem FROM t WHERE i = 0")
 def file_documents(spark, sf_dir):
-    return _read(spark, sf_dir, "docs").select("path", "version", "encrypted", "linearized", "rebuilt", *_long("n_pages"), F.size("warnings").cast("long").alias("n_warnings"), "problem")
+    return _read(spark, sf_dir, "docs").select("path", "version", "encrypted", "linearized", "rebuilt", *_long("n_pages", "extension"), F.size("warnings").cast("long").alias("n_warnings"), "problem")
 
 
 _LABEL = "CASE conv_id % 3 WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN ['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii','xiii','xiv','xv','xvi','xvii','xviii','xix','xx'][k] ELSE chr(CAST(64 + k AS INT)) END"
@@ -447,6 +448,21 @@ def edit_by_path(spark, sf_dir):
     return tables.tables(made, "pages").join(private, ["path", "obj"]).select("path", *_long("page_index", "rotate"), "private")
 
 
+def _added(e: Editor) -> None:
+    for ref in e.pages():
+        e.contents_add(ref, b"1 w", True)
+        e.contents_add(ref, b"2 w")
+    e.contents_coalesce(e.pages()[0])
+
+
+@query("SELECT path, i AS page_index, first, last, 10 AS n_instructions, CASE i WHEN 0 THEN 1 ELSE 3 END AS streams FROM t, (VALUES ('1', '2')) v(first, last)")
+def page_contents_add(spark, sf_dir):
+    made = edited(files(spark, sf_dir), _added)
+    got = tables.tables(made, "instructions").groupBy("path", "page_index").agg(F.min_by(F.get("operands", F.lit(0)), "seq").alias("first"), F.max_by(F.get("operands", F.lit(0)), "seq").alias("last"), F.count("*").alias("n_instructions"))
+    refs = tables.tables(made, "refs").where("at like '/Contents%'").groupBy("path", "obj").agg(F.count("*").alias("streams"))
+    return tables.tables(made, "pages").join(got, ["path", "page_index"]).join(refs, ["path", "obj"]).select("path", *_long("page_index"), "first", "last", "n_instructions", "streams")
+
+
 def _lost(e: Editor) -> None:
     e.at_path(["/Pages", "/Kids", 0, "/None", "/More"])
 

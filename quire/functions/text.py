@@ -27,6 +27,11 @@ def pdfdoc_encode(text: Column, unknown: str = "?") -> Column:
     return F.encode(F.translate(F.regexp_replace(text, f"[^{_CLASS}]", unknown), _OWN, _BYTES), "ISO-8859-1")
 
 
+def pdfdoc_checked(text: Column) -> Column:
+    """Whether all of a text is in PDFDocEncoding, and its bytes, with a question mark for what isn't."""
+    return F.struct(pdfdoc_encodable(text).alias("ok"), pdfdoc_encode(text).alias("raw"))
+
+
 def pdfdoc_decode(raw: Column) -> Column:
     """The text of bytes in PDFDocEncoding."""
     return F.translate(F.decode(raw, "ISO-8859-1"), _BYTES, _OWN)

@@ -83,6 +83,20 @@ def word_wrap(text: str, limit: int) -> str:
     return f"transform(array(split({text}, ' +')), w -> transform(array({fold}), b -> {lines})[0])[0]"
 
 
+def word_wrap_widths(text: str, limit: float, widths: dict[int, int], size: float, missing: int = 0) -> str:
+    """SQL: the lines of a text, words put together greedily as long as a line in a font of ``size`` is no wider than ``limit``.
+
+    ``widths``: those of character codes below 256, in thousandths.
+    """
+    table = "array(" + ", ".join(str(int(widths.get(i, missing))) for i in range(256)) + ")"
+    wide = f"aggregate(if(x = '', cast(array() as array<string>), split(x, '')), 0L, (a, c) -> a + coalesce(get({table}, ascii(c)), {int(missing)}))"
+    space, most = int(widths.get(32, missing)), limit * 1000 / size
+    step = f"transform(array({wide}), n -> if(s.i > 0 and s.col + {space} + n <= {most}, named_struct('col', s.col + {space} + n, 'i', s.i + 1, 'starts', s.starts), named_struct('col', n, 'i', s.i + 1, 'starts', concat(s.starts, array(s.i)))))[0]"
+    fold = f"aggregate(w, named_struct('col', 0L, 'i', 0, 'starts', cast(array() as array<int>)), (s, x) -> {step}, s -> s.starts)"
+    lines = "transform(b, (from, k) -> array_join(slice(w, from + 1, coalesce(get(b, k + 1), size(w)) - from), ' '))"
+    return f"transform(array(split({text}, ' +')), w -> transform(array({fold}), b -> {lines})[0])[0]"
+
+
 def unused_resources(resources: DataFrame, instructions: DataFrame) -> DataFrame:
     """Resources that no operand of their page names."""
     used = instructions.where(F.col("operator").isin("Do", "Tf", "gs", "cs", "CS", "sh", "scn", "SCN", "BDC", "DP")).select("doc_id", "page_index", F.explode("operands").alias("name"))

@@ -136,3 +136,8 @@ def outline_links(items: DataFrame) -> DataFrame:
     linked = items.withColumn("prev", F.lag("item").over(siblings)).withColumn("next", F.lead("item").over(siblings))
     ends = items.where("parent is not null").groupBy("doc_id", F.col("parent").alias("item")).agg(F.min_by("item", "pos").alias("first"), F.max_by("item", "pos").alias("last"))
     return linked.join(ends, ["doc_id", "item"], "left").join(outline_counts(items), ["doc_id", "item"], "left")
+
+
+def duplicates(objects: DataFrame, key: str, value: str) -> DataFrame:
+    """``digest, n, first`` of the values that several objects have: how many, and the least key. Counted before anything is shuffled."""
+    return objects.groupBy(F.md5(value).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")

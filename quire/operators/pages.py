@@ -108,6 +108,18 @@ def replace_slice(pages: DataFrame, start: int, stop: int, new: DataFrame) -> Da
     return renumber(old.unionByName(new.withColumn("__where", F.lit(1)), allowMissingColumns=True), F.col("__where"), F.col("page_index")).drop("__where")
 
 
+def replace_stepped(pages: DataFrame, new: DataFrame, start: int | None = None, stop: int | None = None, step: int = 2) -> DataFrame:
+    """The pages of a slice of any step replaced one by one by those of ``new``, in its order.
+
+    Documents for which ``new`` has another number of pages than the slice stay as they are.
+    """
+    places = _selected(pages, start, stop, step).where("__at is not null").select("doc_id", F.col("__at").alias("__k"), "page_index")
+    counted = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    fit = counted(places, "__a").join(counted(new, "__b"), "doc_id").where("__a = __b").select("doc_id")
+    fresh = new.withColumn("__k", F.row_number().over(_doc().orderBy("page_index")) - 1).drop("page_index").join(places, ["doc_id", "__k"]).join(fit, "doc_id", "left_semi").drop("__k")
+    return pages.join(fresh.select("doc_id", "page_index"), ["doc_id", "page_index"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
 def split_pages(pages: DataFrame, size: int) -> DataFrame:
     """Parts of ``size`` pages: ``part`` from 0, ``page_index`` within it."""
     i = F.col("page_index")

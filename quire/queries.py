@@ -375,7 +375,7 @@ def content_unparse(spark, sf_dir):
 
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def object_duplicates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    return graph.duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 _IMAGES = "i AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN '/DeviceGray' WHEN 1 THEN '/DeviceRGB' WHEN 2 THEN '/DeviceCMYK' WHEN 3 THEN '/Indexed' WHEN 4 THEN '/Lab' ELSE '/Pattern' END AS cs, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 8 END AS bpc, p_partkey % 11 = 0 AS mask FROM part), b AS (SELECT *, CASE WHEN bpc = 0 THEN CASE WHEN mask THEN 1 ELSE 8 END ELSE bpc END AS bits FROM i)"
@@ -618,6 +618,14 @@ def page_remove(spark, sf_dir):
     return _out(pages.remove_pages(own, gone, ["role"]))
 
 
+@query(f"WITH {_PAGES} SELECT doc_id, page_index, CASE WHEN page_index % 2 = 0 AND (doc_id % 2 = 0 OR n <= 2) THEN 'new' ELSE role END AS role, CASE WHEN page_index % 2 = 0 AND (doc_id % 2 = 0 OR n <= 2) THEN -1 - page_index // 2 ELSE turn END AS turn FROM p")
+def page_replace_stepped(spark, sf_dir):
+    """Every other page; documents with an odd key get one new page only, which fits those of two pages or fewer."""
+    own = _pages(spark, sf_dir)
+    new = own.where("page_index % 2 = 0 and (doc_id % 2 = 0 or page_index = 0)").select("doc_id", "page_index", F.lit("new").alias("role"), (-1 - F.floor(F.col("page_index") / 2)).alias("turn"))
+    return _out(pages.replace_stepped(own, new))
+
+
 @query(f"WITH {_PAGES} SELECT doc_id, 'insert at 4 of ' || n || ' pages' AS problem FROM p WHERE page_index = 0 AND n < 4")
 def page_insert_problems(spark, sf_dir):
     own = _pages(spark, sf_dir)
@@ -644,6 +652,31 @@ def button_and_choice(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", forms.checkbox_value(key % 2 == 0, F.lit("/On")).alias("box"), forms.choice_value(F.col("o_orderstatus"), F.array(F.lit("O"), F.lit("F")), edit).alias("choice"))
 
 
+@query("""WITH RECURSIVE w AS (SELECT item_id, string_split_regex(text, ' +') AS w FROM benchmark), f AS (
+  SELECT item_id, w, 1 AS i, [w[1]] AS lines, list_sum(list_transform(string_split(w[1], ''), lambda c: CASE WHEN c = 'e' THEN 300 ELSE 500 END)) AS wide FROM w WHERE len(w) > 0
+  UNION ALL
+  SELECT item_id, w, i + 1, CASE WHEN wide + 250 + n <= 16000 THEN list_append(lines[:-2], lines[-1] || ' ' || w[i + 1]) ELSE list_append(lines, w[i + 1]) END, CASE WHEN wide + 250 + n <= 16000 THEN wide + 250 + n ELSE n END
+  FROM (SELECT *, list_sum(list_transform(string_split(w[i + 1], ''), lambda c: CASE WHEN c = 'e' THEN 300 ELSE 500 END)) AS n FROM f WHERE i < len(w)))
+SELECT item_id, array_to_string(lines, '|') AS lines FROM f WHERE i = len(w)""")
+def word_wrap_by_width(spark, sf_dir):
+    widths = {i: 500 for i in range(256)} | {ord("e"): 300, 32: 250}
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.expr(content.word_wrap_widths("text", 160, widths, 10, 500)).alias("lines"))
+    return rows.select("item_id", F.array_join("lines", "|").alias("lines"))
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x17\\x20-\\x7E\\x{A1}-\\x{AC}\\x{AE}-\\x{FF}" + "".join(f"\\x{{{x:04X}}}" for x in text.PDFDOC.values()) + "]') AS ok, CAST(length(text) AS BIGINT) AS n FROM documents")
+def pdfdoc_checked(spark, sf_dir):
+    got = table(spark, sf_dir, "documents").select("doc_id", text.pdfdoc_checked(F.col("text")).alias("c"))
+    return got.select("doc_id", "c.ok", F.octet_length("c.raw").cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS rectangle FROM orders")
+def object_is_rectangle(spark, sf_dir):
+    key, one = F.col("o_orderkey"), F.lit(1.0)
+    items = F.when(key % 3 == 0, F.array(one, one, one, one)).when(key % 3 == 1, F.array(one, one, one)).otherwise(F.array(one, one, one, F.lit(None).cast("double")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", arrays.is_rectangle(items).alias("rectangle"))
+
+
 @query("SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents")
 def text_strings(spark, sf_dir):
     """Texts to the bytes that DocumentInfo stores and back."""

@@ -9,6 +9,7 @@ import hashlib
 from collections import deque
 from collections.abc import Iterable
 
+from quire.sources import filters
 from quire.sources.content import expanded, instructions, unparse_instructions
 from quire.sources.document import Document
 from quire.sources.values import Name, Ref, Stream, decode_text, unparse
@@ -471,6 +472,21 @@ class Editor:
         self.sub(resources, kind, {})[Name(name)] = value
         return Name(name)
 
+    def contents_add(self, ref: Ref, data: bytes, prepend: bool = False) -> None:
+        """A stream before or after a page's content, which becomes a list."""
+        page, new = self.get(ref), self.add(Stream({}, data))
+        now = self.get(page.get("/Contents"))
+        parts = list(now) if isinstance(now, list) else [page["/Contents"]] if now is not None else []
+        page[Name("/Contents")] = [new, *parts] if prepend else [*parts, new]
+
+    def contents_coalesce(self, ref: Ref) -> None:
+        """A page's content as one stream."""
+        page = self.get(ref)
+        now = self.get(page.get("/Contents"))
+        if isinstance(now, list):
+            parts = [self.get(p) for p in now]
+            page[Name("/Contents")] = self.add(Stream({}, b"\n".join(filters.decode(p.head, p.raw)[0] for p in parts if isinstance(p, Stream))))
+
     def remove_unused_resources(self) -> None:
         """Of each page, the resources that no operand of its content names; pages with forms keep theirs."""
         doc = Document(self.bytes())

@@ -19,7 +19,7 @@ from quire.sources.document import Document
 from quire.sources.values import Malformed, Name, Real, Ref, Stream, decode_text, tag, to_json, unparse
 
 SCHEMAS = {
-    "docs": "path string, version string, encrypted boolean, encryption struct<revision:int,strings:string,streams:string,bits:int,by_user:boolean,by_owner:boolean,allowed:array<string>>, linearized boolean, rebuilt boolean, n_pages int, n_objects int, trailer string, warnings array<string>, problem string",
+    "docs": "path string, version string, encrypted boolean, encryption struct<revision:int,strings:string,streams:string,bits:int,by_user:boolean,by_owner:boolean,allowed:array<string>>, linearized boolean, rebuilt boolean, n_pages int, n_objects int, trailer string, warnings array<string>, problem string, extension int",
     "objects": "path string, obj int, gen int, tag string, value string, raw binary, kind int, offset bigint, stream int, index int",
     "refs": "path string, obj int, gen int, at string, to_obj int, to_gen int",
     "pages": "path string, page_index int, obj int, gen int, mediabox array<double>, cropbox array<double>, rotate int, label string, resources string",
@@ -52,7 +52,8 @@ def _docs(doc: Document) -> Iterator[tuple]:
     n = len(doc.pages())
     h = doc.handler
     how = {"revision": h.revision, "strings": h.strings, "streams": h.streams, "bits": 8 * len(h.key), "by_user": h.by_user, "by_owner": h.by_owner, "allowed": sorted(k for k, ok in h.allowed().items() if ok)} if h else None
-    yield doc.version, doc.encrypted, how, doc.linearized, doc.rebuilt, n, len(doc.entries), to_json(doc.trailer), list(doc.warnings), None
+    level = doc.get((doc.get((doc.get((doc.get(doc.trailer.get("/Root")) or {}).get("/Extensions")) or {}).get("/ADBE")) or {}).get("/ExtensionLevel"))
+    yield doc.version, doc.encrypted, how, doc.linearized, doc.rebuilt, n, len(doc.entries), to_json(doc.trailer), list(doc.warnings), None, level if isinstance(level, int) else None
 
 
 def _objects(doc: Document) -> Iterator[tuple]:
@@ -408,7 +409,7 @@ def rows_of(path: str, data: bytes, table: str, recover: bool = True, password:
         return [(path, *row) for row in _ROWS[table](doc, **options)]
     except (Malformed, ValueError, TypeError, KeyError, AttributeError, RecursionError) as e:
         if table == "docs":
-            return [(path, None, None, None, None, None, None, None, None, [], f"{type(e).__name__}: {e}")]
+            return [(path, None, None, None, None, None, None, None, None, [], f"{type(e).__name__}: {e}", None)]
         return [(path, None, f"{type(e).__name__}: {e}")] if table == "problems" else []
 
 
