@@ -7,8 +7,8 @@ nothing is ever removed from the middle of the heap. Decoding concatenates the
 vocabulary's byte strings.
 
 Rows: a null text counts as an empty one (no ids); an empty text has no ids and
-decodes to the empty text; repeated rows give equal results; an empty table
-gives an empty one; columns of the input other than the id and the text are
+decodes to the empty text; repeated rows (and ties) give equal results; very long
+texts are cut into pieces and encoded whole; an empty table gives an empty one; columns of the input other than the id and the text are
 ignored, whatever their names.
 """
 

@@ -12,7 +12,8 @@ with the smallest hash of their id, so it does not depend on the order of rows.
 
 Rows: null texts and texts without a letter get ``und`` and score 0; a null id
 is never held out; rows with a null language are not learned from; repeated rows
-get equal results; languages in no family of ``FAMILIES`` form one of their own;
+get equal results; very long texts are counted whole; ties of votes go by margin, then by
+code; languages in no family of ``FAMILIES`` form one of their own;
 with a single learned language every text with a letter gets it; with none every
 text gets ``und``; an empty table gives an empty one; other columns are ignored.
 """

@@ -23,7 +23,8 @@ next text that end in its head, and those that cross the seam, as anchors know n
 
 Rows: a null text counts as an empty one; a null id comes before all others; rows
 with equal ids (of any type) go in the order of their texts' hashes, ties by text (exact
-repeats in any, as it makes no difference); an empty table gives an empty one; a table of one
+repeats in any, as it makes no difference; those of one row lie in one slice); very long texts
+are worked on in blocks; an empty table gives an empty one; a table of one
 row has that row as its own next; other columns are ignored.
 """
 
