@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,8 +165,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     any_ = _quoted(ANY)
     block = hashlib.sha512(key.encode()).digest() + bytes(64)
-    pads = [bytearray(b ^ pad for b in block) for pad in (0x36, 0x5C)]  # of HMAC
-    keys = docs.sparkSession.createDataFrame([(pads,)], "key struct<inner:binary,outer:binary>")
+    pads = {name: bytes(b ^ pad for b in block) for name, pad in (("inner", 0x36), ("outer", 0x5C))}  # of HMAC
+    kind = pa.struct([("inner", pa.binary()), ("outer", pa.binary())])
+    keys = docs.sparkSession.createDataFrame(pa.table({"key": pa.array([pads], kind)}))  # a local table, so no Python worker starts
     # All other columns go along in one, under no name that could clash.
     others = [c for c in docs.columns if c not in (text_col, "pii")]
     rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)
