@@ -4,9 +4,9 @@ Learning takes a bounded sample: ``per_class`` labelled texts of each class, tho
 with the smallest hash of their id (exact copies in it count once). Half of it
 trains the dictionaries, half the thresholds.
 
-* A window is a run of ``WIDTH`` words in lower case; every run is scored. Training
-  takes each word once, and what several texts of the sample hold alike (a window with
-  the word before and the word after it) once, so that copies weigh like one text.
+* A window is a run of ``WIDTH`` words in lower case, one after the other, so each word is in
+  one. What several texts of the sample hold alike (a window with the word before and the
+  word after it) counts once in training, so that copies weigh like one text.
 * The ordinary dictionary is trained by zstandard on the windows of ordinary texts.
 * The toxic dictionary is trained by zstandard on toxic windows. A label speaks of a
   text, most windows of which are ordinary, so a toxic text's window counts as toxic
@@ -16,9 +16,14 @@ trains the dictionaries, half the thresholds.
   copies cost one match under either dictionary, so a short match in the first one
   shows in the length instead of vanishing in a block that is stored as it is.
 
-A text's counts of windows whose two lengths differ by 1, 2, ... bytes are weighed by
+A window that the toxic dictionary shortens by less than ``LEAST`` bytes can't be shorter by as
+many under it than under the other one, so only the rest is compressed a second time.
+
+A text's counts of windows whose two lengths differ by ``LEAST`` or more bytes, up to ``STEPS``, are weighed by
 a logistic regression, fitted on the other half of the sample with the classes' true
-weights: these are the calibrated thresholds, and the score is a probability.
+weights: these are the calibrated thresholds, and the score is a probability. Texts that get
+a score from ``UNSURE`` on and below ``SURE`` are read again with every run of ``WIDTH`` words as
+a window, and scored by a second regression on those counts.
 
 Rows: null and empty texts have no windows and get the score of that; very long texts
 are compressed window by window, in blocks of a fixed size; a null id is never held
@@ -31,6 +36,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,8 +51,12 @@ from quire.llm.bpe import small_batches
 from quire.llm.common import modest_batches
 
 WIDTH, REPEAT, STEPS = 2, 2, 8
-#: Windows compressed at a time.
-BLOCK = 4096
+#: The least difference of lengths, in bytes, that is counted.
+LEAST = 3
+#: Scores from the first of which on, and below the second, a text is read again with overlapping windows.
+UNSURE, SURE = 0.03, 0.9
+#: Windows compressed at a time, and those whose differences a worker remembers.
+BLOCK, REMEMBERED = 4096, 1 << 18
 #: Bytes of the dictionaries.
 ORDINARY_SIZE, TOXIC_SIZE = 131_072, 3_072
 #: How much more frequent a beginning of a toxic window is among toxic texts; its least and greatest length in bytes.
@@ -57,10 +67,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def windows(text: str | None, width: int = WIDTH) -> list[bytes]:
-    """Every run of ``width`` words; a shorter text that has any is one window."""
+def windows(text: str | None, step: int = WIDTH, width: int = WIDTH) -> list[bytes]:
+    """Runs of ``width`` words, one every ``step`` words, to the last word."""
     words = words_of(text)
-    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    return [b" ".join(words[i : i + width]) for i in range(0, max(len(words) - width + step, 1), step)] if words else []
 
 
 def fresh_windows(texts: list[str], width: int = WIDTH) -> list[list[bytes]]:
@@ -114,6 +124,18 @@ def compressor(dictionary: bytes) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=known, compression_params=params)
 
 
+#: Lengths of windows for which it is known how long they get where nothing shortens them.
+SHORT = 256
+
+
+def plain_lengths(tool: zs.ZstdCompressor) -> np.ndarray:
+    """By a window's length in bytes: its compressed length where no part of it was seen before."""
+    out = np.full(SHORT + 1, np.iinfo(np.int64).max)
+    for n in range(SHORT + 1):
+        out[n] = max(len(tool.compress(framed(hashlib.shake_128(b"%d %d" % (n, k)).digest(n)))) for k in range(3))
+    return out
+
+
 @dataclass
 class Distance:
     """Differences of compressed lengths under the two dictionaries."""
@@ -121,6 +143,8 @@ class Distance:
     ordinary: bytes
     toxic: bytes
     _tools: tuple | None = field(default=None, repr=False)
+    _plain: np.ndarray | None = field(default=None, repr=False)
+    _known: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> tuple:
         return self.ordinary, self.toxic
@@ -128,29 +152,44 @@ class Distance:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
+    def _lengths(self, tool: int, parts: list[bytes]) -> np.ndarray:
+        sizes = np.fromiter(map(len, parts), np.uint64, len(parts))
+        segments = zs.BufferWithSegments(b"".join(parts), np.stack([np.cumsum(sizes) - sizes, sizes], 1).astype(np.uint64).tobytes())
+        made = self._tools[tool].multi_compress_to_buffer(segments, threads=1)
+        return np.fromiter((len(made[i]) for i in range(len(parts))), np.int64, len(parts))
+
     def of(self, wins: list[bytes]) -> np.ndarray:
-        """How many bytes shorter each window is under the toxic dictionary."""
+        """How many bytes shorter each window is under the toxic dictionary; 0 below ``LEAST``."""
+        known, some = self._known, dict.fromkeys(wins)
+        if len(known) + len(some) > REMEMBERED:
+            known.clear()
+        new = [w for w in some if w not in known]
+        for at in range(0, len(new), BLOCK):
+            known.update(zip(new[at : at + BLOCK], self._differences(new[at : at + BLOCK]).tolist(), strict=True))
+        return np.fromiter(map(known.__getitem__, wins), np.int64, len(wins))
+
+    def _differences(self, wins: list[bytes]) -> np.ndarray:
         if self._tools is None:
             self._tools = compressor(self.ordinary), compressor(self.toxic)
-        out = [np.zeros(0, np.int64)]
-        for at in range(0, len(wins), BLOCK):
-            parts = [framed(w) for w in wins[at : at + BLOCK]]
-            sizes = np.fromiter(map(len, parts), np.uint64, len(parts))
-            segments = zs.BufferWithSegments(b"".join(parts), np.stack([np.cumsum(sizes) - sizes, sizes], 1).astype(np.uint64).tobytes())
-            made = [tool.multi_compress_to_buffer(segments, threads=1) for tool in self._tools]
-            out.append(np.fromiter((len(made[0][i]) - len(made[1][i]) for i in range(len(parts))), np.int64, len(parts)))
-        return np.concatenate(out)
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text: the logarithms of how many windows differ by 1, 2, ... bytes or more, and, if any differs by 2, of how many there are."""
-        wins = [windows(t) for t in texts]
+            self._plain = plain_lengths(compressor(bytes(8)))
+        parts = [framed(w) for w in wins]
+        toxic, out = self._lengths(1, parts), np.zeros(len(wins), np.int64)
+        sizes = np.fromiter(map(len, wins), np.int64, len(wins))
+        open_ = np.flatnonzero((sizes > SHORT) | (toxic <= self._plain[np.minimum(sizes, SHORT)] - LEAST))
+        if len(open_):
+            out[open_] = self._lengths(0, [parts[i] for i in open_]) - toxic[open_]
+        return np.where(out < LEAST, 0, out)
+
+    def features(self, texts: list[str | None], step: int = WIDTH) -> np.ndarray:
+        """A row for each text: the logarithms of how many windows differ by ``LEAST`` to ``STEPS`` bytes or more, and, if any does, of how many there are; and a one."""
+        wins = [windows(t, step) for t in texts]
         ends = np.cumsum([len(w) for w in wins])
         saved = np.clip(self.of([w for own in wins for w in own]), 0, STEPS)
-        out = np.zeros((len(texts), STEPS + 1))
+        out = np.zeros((len(texts), STEPS - LEAST + 2))
         for i, part in enumerate(np.split(saved, ends[:-1]) if texts else []):
             over = np.bincount(part, minlength=STEPS + 1)[::-1].cumsum()[::-1]
-            out[i] = np.append(over[1:], over[0] if over[2] else 0)
-        return np.log1p(out)
+            out[i] = np.append(over[LEAST:], over[0] if over[LEAST] else 0)
+        return np.hstack([np.log1p(out), np.ones((len(texts), 1))])
 
 
 def regression(x: np.ndarray, y: np.ndarray, row: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -173,35 +212,44 @@ def regression(x: np.ndarray, y: np.ndarray, row: np.ndarray, ridge: float = 0.1
     return w
 
 
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -40, 40)))
+
+
 @dataclass
 class Model:
+    """``weights``: of counts of windows one after the other, and of every window."""
+
     distance: Distance | None
-    weights: np.ndarray
+    weights: tuple[np.ndarray, ...] = ()
     share: float = 0.0
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.distance is None:
             return np.full(len(texts), self.share)
-        x = self.distance.features(texts)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -40, 40)))
+        out = probability(self.distance.features(texts), self.weights[0])
+        again = np.flatnonzero((out >= UNSURE) & (out < SURE))
+        if len(again):
+            out[again] = probability(self.distance.features([texts[i] for i in again], 1), self.weights[1])
+        return out
 
     @classmethod
     def fit(cls, toxic: list[str], ordinary: list[str], share: float) -> Model:
         """``share``: of toxic rows among all labelled ones."""
         toxic, ordinary = (list(dict.fromkeys(x)) for x in (toxic, ordinary))
         if not toxic or not ordinary:
-            return cls(None, np.zeros(0), share)
+            return cls(None, (), share)
         half = [max(1, len(x) // 2) for x in (toxic, ordinary)]
         bad, good = fresh_windows(toxic[: half[0]]), fresh_windows(ordinary[: half[1]])
         marked = toxic_windows(bad, good)
         if not marked:
-            return cls(None, np.zeros(0), share)
+            return cls(None, (), share)
         distance = Distance(trained([w for wins in good for w in wins], ORDINARY_SIZE), trained(marked, TOXIC_SIZE))
         rest = [toxic[half[0] :] or toxic, ordinary[half[1] :] or ordinary]
-        x = distance.features([t for part in rest for t in part])
-        x = np.hstack([x, np.ones((len(x), 1))])
+        known = [t for part in rest for t in part]
         y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
-        return cls(distance, regression(x, y, np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)), share)
+        row = np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
+        return cls(distance, tuple(regression(distance.features(known, step), y, row) for step in (WIDTH, 1)), share)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (4800, 1600)) -> Model:
