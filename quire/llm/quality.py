@@ -69,17 +69,6 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, x`` for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            x = [statistics(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [id_col, "x"])
-
-    return modest_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, x array<double>")
-
-
 @dataclass
 class Discriminant:
     """Two classes' log weights, means and Cholesky factors; a class that no row has is None."""
@@ -120,40 +109,49 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self._log_density(1, x) - self._log_density(0, x), -40, 40)))
 
 
-def fit(rows: DataFrame, x_col: str = "x", label_col: str = "label", shrink: float = 0.1, floor: float = 0.2) -> Discriminant:
-    """From all rows with label 0 or 1: the sums are made by partition and then by position."""
+def sums(rows: DataFrame, text_col: str = "text", counts: tuple[str, str] = ("zeros", "ones")) -> DataFrame:
+    """``at, value`` by partition: for each class its number of labels, the sum of the vectors and of their outer products.
+
+    ``counts`` are the columns that tell how often a row's text has the label 0 and 1. A text becomes
+    its part of the sums in one step: a second one behind it would need a Python worker of
+    its own for each running task, which stays and takes memory as long as the executor does.
+    """
     d = len(NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 + d + d * d))
-        for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, d)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+        total = np.zeros((2, 1 + d + d * d))
+        for batch in small_batches(batches):
+            x = np.array([statistics(t) for t in batch.column(0).to_pylist()], float).reshape(-1, d)
             for k in (0, 1):
-                own = x[y == k]
-                sums[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-        at = np.arange(sums.size, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel())], ["at", "value"])
+                n = batch.column(1 + k).to_numpy(zero_copy_only=False).astype(float)
+                total[k] += np.concatenate([[n.sum()], n @ x, ((x.T * n) @ x).ravel()])
+        at = np.arange(total.size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], ["at", "value"])
+
+    return modest_batches(rows).select(text_col, *counts).mapInArrow(run, "at int, value double")
 
-    sums = rows.where(F.col(label_col).isin(0, 1)).select(x_col, label_col).mapInArrow(run, "at int, value double")
+
+def fit(made: DataFrame, shrink: float = 0.1, floor: float = 0.2) -> Discriminant:
+    """From the rows of ``sums``, added up by position."""
+    d = len(NAMES)
     got = np.zeros(2 * (1 + d + d * d))
-    for at, value in sums.groupBy("at").agg(F.sum("value").alias("value")).collect():  # as many rows as there are sums
+    for at, value in made.groupBy("at").agg(F.sum("value").alias("value")).collect():  # as many rows as there are sums
         got[at] = value
     got = got.reshape(2, -1)
     return Discriminant.of_sums(got[:, 0], got[:, 1 : 1 + d], got[:, 1 + d :].reshape(2, d, d), shrink, floor)
 
 
-def _model(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str) -> Discriminant:
+def _sums(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str) -> DataFrame:
     marks = saved(labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("__id").isNotNull()))
     few = marks.count() <= BROADCAST_IDS
-    marks, ids = ((F.broadcast(x) if few else x) for x in (marks, marks.select("__id").distinct()))
-    known = docs.where(learn).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids, "__id", "left_semi")
-    return fit(vectors(known, "__id", "text").join(marks, "__id"))
+    marks = marks.groupBy("__id").agg(F.count_if(F.col("label") == 0).alias("zeros"), F.count_if(F.col("label") == 1).alias("ones"))
+    known = docs.where(learn).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    return sums(known.join(F.broadcast(marks) if few else marks, "__id"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``id_col, score, predicted`` for each row; the fit takes the labels of rows for which ``learn`` (on the id) holds."""
-    model = _model(docs, labels, learn, label_col, id_col, text_col)
+    model = fit(_sums(docs, labels, learn, label_col, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -166,7 +164,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The whole rows of ``docs`` that ``classify`` predicts 1 for; no text is shuffled."""
-    model, at = _model(docs, labels, learn, label_col, id_col, text_col), docs.columns.index(text_col)
+    model, at = fit(_sums(docs, labels, learn, label_col, id_col, text_col)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):

@@ -42,6 +42,19 @@ def test_discriminant_is_the_densities_ratio():
     assert np.allclose(m.score(x), 1 / (1 + np.exp(log[0] - log[1])))
 
 
+def test_fit_counts_labels_as_often_as_they_occur(spark):
+    texts = {1: "some plain words here", 2: "more words, 12 of them!", 3: None, 4: "not labelled"}
+    marks = [(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (2, None), (2, 2)]
+    docs = spark.createDataFrame([*texts.items(), (2, "a second text of 2"), (None, "no id")], "doc_id long, text string")
+    made = quality._sums(docs, spark.createDataFrame(marks, "doc_id long, quality int"), F.lit(True), "quality", "doc_id", "text")
+    got = np.zeros((2, 1 + (d := len(quality.NAMES)) + d * d))
+    for r in made.collect():
+        got.ravel()[r.at] += r.value
+    for k in (0, 1):
+        x = np.array([quality.statistics(t) for i, label in marks if i is not None and label == k for t in [texts[i], *["a second text of 2"] * (i == 2)]])
+        assert np.allclose(got[k], np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))
+
+
 def test_language_held_out(tables):
     docs, _ = tables
     model = langid.train(docs, ~held_out("doc_id", 3, 1))

@@ -68,3 +68,19 @@ def test_without_either_way(spark, odd, monkeypatch):
     for most in (0, 10):
         monkeypatch.setattr(common, "BROADCAST_IDS", most)
         assert sorted(map(str, common.without(odd, ids, "doc_id").collect())) == want
+
+
+def test_a_task_takes_one_python_worker(spark, small, monkeypatch):
+    """Two Python steps in a row keep two workers for each running task, as long as the executor lives."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plain, plans = type(docs).mapInArrow, []
+
+    def noted(df, *args, **more):
+        out = plain(df, *args, **more)
+        plans.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small)
+    assert len(plans) > 3 and {p.count("MapInArrow") for p in plans} == {1}
