@@ -83,20 +83,21 @@ def qualified_name(parts: list[Column]) -> Column:
 def unique_names(new: DataFrame, taken: DataFrame, name: str = "name", order: str = "seq") -> DataFrame:
     """``new`` with ``new_name``: its name if that is free, else with the smallest suffix ``.1``, ``.2``, ... that is.
 
-    Names are resolved in ``order`` within a name. Suffixed names that are taken are
-    skipped by ranking what is free among as many suffixes as a name can need.
+    Names are resolved in ``order`` within a name. The suffix of a name's r-th row is r - 1 and
+    as many more as are taken before it: a taken suffix is skipped by all rows from the one that
+    would have got it, so rows and taken suffixes are sorted together and those counted.
     """
     base = F.col(name)
     used = taken.select(F.col(name).alias("used")).distinct()
     # A used name counts for its base: itself with suffix 0, else what precedes its last dot.
-    suffix = used.select(F.regexp_extract("used", r"^(.*)\.([1-9][0-9]{0,8})$", 1).alias("base"), F.regexp_extract("used", r"^(.*)\.([1-9][0-9]{0,8})$", 2).try_cast("int").alias("k")).where("k is not null")
-    own = used.select(F.col("used").alias("base"), F.lit(0).alias("k"))
-    gone = suffix.union(own).groupBy("base").agg(F.collect_set("k").alias("gone"))
-    ranked = new.withColumn("__rank", F.row_number().over(Window.partitionBy(name).orderBy(order)))
-    joined = ranked.join(gone, ranked[name] == gone.base, "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
-    # Among 0 .. rank + |gone| there are at least rank free ones.
-    free = F.expr("get(array_except(sequence(0, cast(__rank + size(gone) as int)), gone), __rank - 1)")
-    return joined.withColumn("__k", free).withColumn("new_name", F.when(F.col("__k") == 0, base).otherwise(F.concat(base, F.lit("."), F.col("__k")))).drop("__k", "__rank", "gone", "base")
+    suffix = used.select(F.regexp_extract("used", r"^(.*)\.([1-9][0-9]{0,8})$", 1).alias(name), F.regexp_extract("used", r"^(.*)\.([1-9][0-9]{0,8})$", 2).try_cast("int").alias("__k")).where("__k is not null")
+    own = used.select(F.col("used").alias(name), F.lit(0).alias("__k"))
+    # How many suffixes below it are free.
+    gone = suffix.union(own).select(name, (F.col("__k") - F.row_number().over(Window.partitionBy(name).orderBy("__k")) + 1).alias("__free"), F.lit(1).alias("__gone"))
+    ranked = new.withColumn("__free", F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1).withColumn("__gone", F.lit(0))
+    before = F.sum("__gone").over(Window.partitionBy(name).orderBy("__free", F.desc("__gone")).rowsBetween(Window.unboundedPreceding, 0))
+    counted = ranked.unionByName(gone, allowMissingColumns=True).withColumn("__k", F.col("__free") + before).where("__gone = 0")
+    return counted.withColumn("new_name", F.when(F.col("__k") == 0, base).otherwise(F.concat(base, F.lit("."), F.col("__k")))).drop("__k", "__free", "__gone")
 
 
 def outline_counts(items: DataFrame) -> DataFrame:
