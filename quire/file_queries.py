@@ -12,14 +12,14 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import images
 from quire.operators import actions, metadata
 from quire.plans.jobs import Job
 from quire.plans.sanitizer import Sanitizer, edited
-from quire.session import shared_folder, shipped, table
+from quire.session import batched, kept, shared_folder, shipped, spread, table
 from quire.sources import datasource, tables, xmp
 from quire.sources.edit import Editor
 from quire.sources.values import Name, Stream
@@ -92,12 +92,11 @@ def chat_file(conv: int, turns: list[tuple[int, str]]) -> bytes:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: a file for each conversation, its path the id. A file is one value, so its turns meet in one row."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for conv, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([str(conv)]), pa.array([chat_file(conv, [(t["turn"], t["role"]) for t in own])], pa.binary())], ["path", "content"])
+        rows = ((str(conv), chat_file(conv, [(t["turn"], t["role"]) for t in own])) for batch in batches for conv, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield from batched(rows, pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
     return shipped(turns).mapInArrow(run, "path string, content binary")
 
@@ -106,6 +105,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
     return tables.tables(files(spark, sf_dir), name, **options)
 
 
+def _by_page(made: DataFrame, name: str, columns: tuple[str, ...], *pages: str) -> DataFrame:
+    """``columns`` of a table's rows of pages' objects, with ``page_index`` and more of the pages' columns."""
+    rows = tables.several(made, {"pages": ("obj", "page_index", *pages), name: ("obj", *columns)})
+    own = Window.partitionBy("path", F.coalesce("pages_obj", f"{name}_obj"))
+    for column in ("page_index", *pages):
+        rows = rows.withColumn(column, F.max(f"pages_{column}").over(own))
+    return rows.where(F.col("table") == name).where("page_index is not null").select("path", "page_index", *pages, *(F.col(f"{name}_{c}").alias(c) for c in columns))
+
+
 def _long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n.rpartition(".")[2]) for n in names]
 
@@ -132,9 +140,11 @@ def file_instructions(spark, sf_dir):
 @query("SELECT path, i AS page_index, seq, operator FROM t, LATERAL (VALUES (0, 'q'), (1, 'cm'), (2, 'Do'), (3, 'Q'), (4, 'BT'), (5, 'Tf'), (6, 'Tj'), (7, 'ET')) AS v(seq, operator)")
 def file_table_function(spark, sf_dir):
     datasource.register(spark)
-    raw = tables.tables(Job().uncompressed().run(files(spark, sf_dir)), "objects").where("tag = 'stream' and value not like '%/Subtype%' and raw is not null and cast(raw as string) like 'q %'")
-    parent = tables.tables(Job().uncompressed().run(files(spark, sf_dir)), "refs").where("at = '/Contents'").select("path", F.col("obj").alias("page"), F.col("to_obj").alias("obj"))
-    pages = tables.tables(Job().uncompressed().run(files(spark, sf_dir)), "pages").select("path", "page_index", F.col("obj").alias("page"))
+    rows = tables.several(Job().uncompressed().run(files(spark, sf_dir)), {"objects": ("obj", "tag", "value", "raw"), "refs": ("obj", "at", "to_obj"), "pages": ("obj", "page_index")})
+    rows = kept(rows.where("table = 'pages' or refs_at = '/Contents' or objects_tag = 'stream' and objects_value not like '%/Subtype%' and objects_raw is not null and cast(objects_raw as string) like 'q %'").drop("objects_tag", "objects_value"))
+    raw = rows.where("table = 'objects'").select("path", F.col("objects_obj").alias("obj"), F.col("objects_raw").alias("raw"))
+    parent = rows.where("table = 'refs'").select("path", F.col("refs_obj").alias("page"), F.col("refs_to_obj").alias("obj"))
+    pages = rows.where("table = 'pages'").select("path", F.col("pages_page_index").alias("page_index"), F.col("pages_obj").alias("page"))
     raw.select("path", "obj", "raw").join(parent, ["path", "obj"]).join(pages, ["path", "page"]).createOrReplaceTempView("quire_contents")
     got = spark.sql("SELECT path, page_index, f.* FROM quire_contents, LATERAL content_instructions(raw, '') AS f")
     return got.select("path", *_long("page_index", "seq"), "operator")
@@ -210,8 +220,7 @@ def file_objects(spark, sf_dir):
 
 @query("SELECT path, i AS page_index, '/Contents' AS at FROM t UNION ALL SELECT path, i, '/Thumb' FROM t UNION ALL SELECT path, i, '/Annots[' || k || ']' FROM t, (VALUES (0), (1)) v(k) UNION ALL SELECT path, i, '/Resources/XObject/Im0' FROM t UNION ALL SELECT path, i, '/Parent' FROM t")
 def file_references(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages").select("path", "obj", "page_index")
-    return _read(spark, sf_dir, "refs").join(pages, ["path", "obj"]).select("path", *_long("page_index"), "at")
+    return _by_page(files(spark, sf_dir), "refs", ("at",)).select("path", *_long("page_index"), "at")
 
 
 @query("SELECT path, true AS rebuilt, n AS n_pages FROM t WHERE i = 0")
@@ -237,10 +246,9 @@ def sanitized_actions(spark, sf_dir):
 @query("SELECT path, n AS n_pages, 0 AS thumbs, 0 AS attached, 0 AS private, n AS images FROM t WHERE i = 0")
 def sanitized_structure(spark, sf_dir):
     clean = Sanitizer().remove_attachments().remove_thumbnails().remove_private_app_data().apply(files(spark, sf_dir))
-    refs, objects = tables.tables(clean, "refs"), tables.tables(clean, "objects")
-    at = refs.groupBy("path").agg(F.count(F.when(F.col("at") == "/Thumb", 1)).alias("thumbs"), F.count(F.when(F.col("at").contains("/EF"), 1)).alias("attached"), F.count(F.when(F.col("at") == "/Resources/XObject/Im0", 1)).alias("images"))
-    private = objects.groupBy("path").agg(F.count(F.when(F.col("value").contains("PieceInfo"), 1)).alias("private"))
-    return tables.tables(clean, "docs").select("path", *_long("n_pages")).join(at, "path").join(private, "path")
+    rows, at = tables.several(clean, {"docs": ("n_pages",), "refs": ("at",), "objects": ("value",)}), F.col("refs_at")
+    got = rows.groupBy("path").agg(F.max("docs_n_pages").alias("n_pages"), F.count_if(at == "/Thumb").alias("thumbs"), F.count_if(at.contains("/EF")).alias("attached"), F.count_if(at == "/Resources/XObject/Im0").alias("images"), F.count_if(F.col("objects_value").contains("PieceInfo")).alias("private"))
+    return got.select("path", *_long("n_pages"), "thumbs", "attached", "images", "private")
 
 
 @query("SELECT path || '/' || (i // 2) AS path, i % 2 AS page_index, (90 * (i % 4) + 90) % 360 AS rotate, CAST(300 + 10 * turn AS DOUBLE) AS width FROM t")
@@ -285,11 +293,9 @@ def job_attach(spark, sf_dir):
 @query("SELECT path, n AS n_pages, 0 AS infos, 0 AS properties, 0 AS fields, 0 AS labels FROM t WHERE i = 0")
 def job_remove(spark, sf_dir):
     made = Job().remove("info", "metadata", "acroform", "page_labels").run(files(spark, sf_dir))
-    out = tables.tables(made, "docs").select("path", *_long("n_pages"))
-    for name, source in (("infos", "docinfo"), ("properties", "xmp"), ("fields", "fields")):
-        out = out.join(tables.tables(made, source).groupBy("path").agg(F.count("*").alias(name)), "path", "left").fillna(0, [name])
-    labels = tables.tables(made, "names").where("tree = '/PageLabels'").groupBy("path").agg(F.count("*").alias("labels"))
-    return out.join(labels, "path", "left").fillna(0, ["labels"])
+    rows, of = tables.several(made, {"docs": ("n_pages",), "docinfo": (), "xmp": (), "fields": (), "names": ("tree",)}), F.col("table")
+    got = rows.groupBy("path").agg(F.max("docs_n_pages").alias("n_pages"), *(F.count_if(of == source).alias(name) for name, source in (("infos", "docinfo"), ("properties", "xmp"), ("fields", "fields"))), F.count_if(F.col("names_tree") == "/PageLabels").alias("labels"))
+    return got.select("path", *_long("n_pages"), "infos", "properties", "fields", "labels")
 
 
 @query("SELECT path, true AS encrypted, n AS n_pages, 4 AS revision, 128 AS bits, true AS by_user, false AS by_owner, false AS extract FROM t WHERE i = 0")
@@ -373,9 +379,9 @@ def _with_looks(e: Editor) -> None:
 def page_flatten_annotations(spark, sf_dir):
     """Fields get appearances, which are drawn into the pages; links have none and go."""
     made = edited(files(spark, sf_dir), _with_looks)
-    drawn = tables.tables(made, "instructions", operators="Do").groupBy("path", F.col("page_index").cast("long").alias("page_index")).agg(F.count("*").alias("drawn"))
-    notes = tables.tables(made, "annotations").groupBy("path", F.col("page_index").cast("long").alias("page_index")).agg(F.count("*").alias("notes"))
-    return drawn.join(notes, ["path", "page_index"], "left").fillna(0, ["notes"])
+    rows, of = tables.several(made, {"instructions": ("page_index",), "annotations": ("page_index",)}, operators="Do"), F.col("table")
+    page = F.coalesce("instructions_page_index", "annotations_page_index").cast("long").alias("page_index")
+    return rows.groupBy("path", page).agg(F.count_if(of == "instructions").alias("drawn"), F.count_if(of == "annotations").alias("notes")).where("drawn > 0")
 
 
 @query("SELECT path, i AS page_index, CAST(turn AS DOUBLE) AS x, CAST(i AS DOUBLE) AS y FROM t")
@@ -397,16 +403,16 @@ def _unused(e: Editor) -> None:
 @query("SELECT path, i AS page_index, '/Resources/XObject/Im0' AS at FROM t")
 def page_remove_unused(spark, sf_dir):
     made = edited(files(spark, sf_dir), _unused)
-    pages = tables.tables(made, "pages").select("path", "obj", "page_index")
-    return tables.tables(made, "refs").where("at like '/Resources/%'").join(pages, ["path", "obj"]).select("path", *_long("page_index"), "at")
+    return _by_page(made, "refs", ("at",)).where("at like '/Resources/%'").select("path", *_long("page_index"), "at")
 
 
 @query("SELECT path, i AS page_index, 0 AS rotate, 2 AS drawn FROM t")
 def job_flatten(spark, sf_dir):
     """Appearances made, drawn into the pages, and the pages turned upright, in one job."""
     made = Job().generate_appearances().flatten_annotations().flatten_rotation().run(files(spark, sf_dir))
-    drawn = tables.tables(made, "instructions", operators="Do").groupBy("path", "page_index").agg(F.count("*").alias("drawn"))
-    return tables.tables(made, "pages").join(drawn, ["path", "page_index"]).select("path", *_long("page_index", "rotate"), "drawn")
+    rows = tables.several(made, {"pages": ("page_index", "rotate"), "instructions": ("page_index",)}, operators="Do")
+    got = rows.groupBy("path", F.coalesce("pages_page_index", "instructions_page_index").alias("page_index")).agg(F.max("pages_rotate").alias("rotate"), F.count_if(F.col("table") == "instructions").alias("drawn"))
+    return got.where("rotate is not null and drawn > 0").select("path", *_long("page_index", "rotate"), "drawn")
 
 
 @query("SELECT path, k AS key, CASE k WHEN 'a' THEN md5('data of ' || conv_id) ELSE md5('other') END AS digest FROM t, (VALUES ('a'), ('x-b')) v(k) WHERE i = 0")
@@ -431,9 +437,12 @@ def job_object_streams(spark, sf_dir):
     """Objects within object streams, read back by a cross-reference stream; smaller than the plain file."""
     plain = Job().run(files(spark, sf_dir))
     made = Job().object_streams().run(files(spark, sf_dir))
-    kinds = tables.tables(made, "objects").where("value not like '%/ObjStm%' and value not like '%/XRef%'").groupBy("path").agg(F.count(F.when(F.col("tag") == "stream", 1)).alias("loose_streams"), F.count(F.when(F.col("stream").isNotNull() & (F.col("kind") == 2), 1)).alias("in_streams"))
-    sizes = made.select("path", F.length("content").alias("m")).join(plain.select("path", F.length("content").alias("p")), "path").select("path", (F.col("m") >= F.col("p")).alias("longer"))
-    return tables.tables(made, "docs").select("path", *_long("n_pages"), "rebuilt").join(kinds, "path").join(sizes, "path")
+    rows = tables.several(made, {"docs": ("n_pages", "rebuilt"), "objects": ("tag", "value", "kind", "stream")})
+    both = rows.unionByName(plain.select("path", F.lit("plain").alias("table"), F.length("content").cast("long").alias("n_bytes")), allowMissingColumns=True)
+    counts = F.expr("objects_value not like '%/ObjStm%' and objects_value not like '%/XRef%'")
+    size = lambda table: F.max(F.when(F.col("table") == table, F.col("n_bytes")))
+    got = both.groupBy("path").agg(F.max("docs_n_pages").alias("n_pages"), F.max("docs_rebuilt").alias("rebuilt"), F.count_if(counts & (F.col("objects_tag") == "stream")).alias("loose_streams"), F.count_if(counts & F.col("objects_stream").isNotNull() & (F.col("objects_kind") == 2)).alias("in_streams"), (size("docs") >= size("plain")).alias("longer"))
+    return got.select("path", *_long("n_pages"), "rebuilt", "loose_streams", "in_streams", "longer")
 
 
 def _by_path(e: Editor) -> None:
@@ -444,8 +453,7 @@ def _by_path(e: Editor) -> None:
 @query("SELECT path, i AS page_index, CASE i WHEN 0 THEN 180 ELSE 90 * (i % 4) END AS rotate, i < n - 1 AS private FROM t")
 def edit_by_path(spark, sf_dir):
     made = edited(files(spark, sf_dir), _by_path)
-    private = tables.tables(made, "objects").select("path", "obj", F.col("value").contains("PieceInfo").alias("private"))
-    return tables.tables(made, "pages").join(private, ["path", "obj"]).select("path", *_long("page_index", "rotate"), "private")
+    return _by_page(made, "objects", ("value",), "rotate").select("path", *_long("page_index", "rotate"), F.col("value").contains("PieceInfo").alias("private"))
 
 
 def _added(e: Editor) -> None:
@@ -458,9 +466,12 @@ def _added(e: Editor) -> None:
 @query("SELECT path, i AS page_index, first, last, 10 AS n_instructions, CASE i WHEN 0 THEN 1 ELSE 3 END AS streams FROM t, (VALUES ('1', '2')) v(first, last)")
 def page_contents_add(spark, sf_dir):
     made = edited(files(spark, sf_dir), _added)
-    got = tables.tables(made, "instructions").groupBy("path", "page_index").agg(F.min_by(F.get("operands", F.lit(0)), "seq").alias("first"), F.max_by(F.get("operands", F.lit(0)), "seq").alias("last"), F.count("*").alias("n_instructions"))
-    refs = tables.tables(made, "refs").where("at like '/Contents%'").groupBy("path", "obj").agg(F.count("*").alias("streams"))
-    return tables.tables(made, "pages").join(got, ["path", "page_index"]).join(refs, ["path", "obj"]).select("path", *_long("page_index"), "first", "last", "n_instructions", "streams")
+    rows = tables.several(made, {"pages": ("page_index", "obj"), "refs": ("obj", "at"), "instructions": ("page_index", "seq", "operands")})
+    own = Window.partitionBy("path", F.coalesce("pages_obj", "refs_obj"))
+    rows = rows.withColumn("streams", F.count_if(F.col("refs_at").like("/Contents%")).over(own)).where("table != 'refs'")
+    told, seq = F.get("instructions_operands", F.lit(0)), F.col("instructions_seq")
+    got = rows.groupBy("path", F.coalesce("pages_page_index", "instructions_page_index").alias("page_index")).agg(F.min_by(told, seq).alias("first"), F.max_by(told, seq).alias("last"), F.count(seq).alias("n_instructions"), F.max(F.when(F.col("table") == "pages", F.col("streams"))).alias("streams"))
+    return got.where("n_instructions > 0 and streams > 0").select("path", *_long("page_index"), "first", "last", "n_instructions", "streams")
 
 
 def _lost(e: Editor) -> None:
@@ -494,9 +505,10 @@ def edit_emplace(spark, sf_dir):
 @query("SELECT path, name, CASE name WHEN 'pdf:PDFVersion' THEN '1.7' ELSE 'quire' END AS value FROM t, (VALUES ('pdf:Producer'), ('pdf:PDFVersion')) v(name) WHERE i = 0")
 def xmp_pdf_version(spark, sf_dir):
     made = files(spark, sf_dir)
-    old = tables.tables(made, "xmp").where("name = 'pdf:Producer'").select(F.col("path").alias("doc_id"), "name", "values")
+    rows = kept(tables.several(made, {"docs": ("version",), "xmp": ("name", "values")}).where("table = 'docs' or xmp_name = 'pdf:Producer'"))
+    old = rows.where("table = 'xmp'").select(F.col("path").alias("doc_id"), F.col("xmp_name").alias("name"), F.col("xmp_values").alias("values"))
     told = old.unionByName(old.select("doc_id", F.lit("pdf:PDFVersion").alias("name"), F.array(F.lit("1.0")).alias("values")))
-    docs = tables.tables(made, "docs").select(F.col("path").alias("doc_id"), "version")
+    docs = rows.where("table = 'docs'").select(F.col("path").alias("doc_id"), F.col("docs_version").alias("version"))
     return metadata.update_pdf_version(told, docs).select(F.col("doc_id").alias("path"), "name", F.col("values")[0].alias("value"))
 
 
@@ -542,12 +554,11 @@ def picture_file(first: int, parts: list[tuple[int, int]]) -> bytes:
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: a file for every hundred parts, its pages in the order of their keys."""
-    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("first")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))
+    parts = spread(table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).alias("first"), "p_partkey", "p_size"), "first").groupBy("first").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([str(first)]), pa.array([picture_file(first, [tuple(p.values()) for p in own])], pa.binary())], ["path", "content"])
+        rows = ((str(first), picture_file(first, [tuple(p.values()) for p in own])) for batch in batches for first, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield from batched(rows, pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
     return shipped(parts).mapInArrow(run, "path string, content binary")
 

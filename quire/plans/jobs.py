@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.sanitizer import edited
-from quire.session import shipped
+from quire.session import batched, shipped, spread
 from quire.sources.content import instructions, unparse_instructions
 from quire.sources.crypt import Encryption
 from quire.sources.document import Document
@@ -206,7 +206,9 @@ class Job:
     def _parts(self, files: DataFrame) -> DataFrame:
         size, options, change, password = self.spec["split"], self.options(), self.edit, self.spec.get("password", "").encode()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("content", pa.binary()), ("problem", pa.string())])
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     path, rows = batch.column(0)[i].as_py(), []
@@ -220,10 +222,9 @@ class Job:
                             rows.append((path, part, e.bytes(options), None))
                     except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as x:
                         rows = [(path, 0, None, f"{type(x).__name__}: {x}")]
-                    for r in rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.string(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["path", "part", "content", "problem"])
+                    yield from rows
 
-        return shipped(files).select("path", "content").mapInArrow(run, "path string, part int, content binary, problem string")
+        return shipped(files).select("path", "content").mapInArrow(lambda batches: batched(parts(batches), schema), "path string, part int, content binary, problem string")
 
     def merge(self, files: DataFrame, by: str = "target", order: str = "seq") -> DataFrame:
         """``target, content, problem``: the files of each target in order as one, or collated.
@@ -253,7 +254,7 @@ class Job:
             return pa.table({"target": pa.array([key[0].as_py()], pa.string()), "content": pa.array([out], pa.binary()), "problem": pa.array([why], pa.string())})
 
         got = shipped(files).select(F.col(by).cast("string").alias("target"), F.col(order).cast("long").alias("seq"), "content")
-        return got.groupBy("target").applyInArrow(run, "target string, content binary, problem string")
+        return spread(got, "target").groupBy("target").applyInArrow(run, "target string, content binary, problem string")
 
 
 def copy_attachments(e: Editor, other: Editor, prefix: str = "") -> None:

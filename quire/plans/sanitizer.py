@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.operators import actions
-from quire.session import shipped
+from quire.session import batched, shipped
 from quire.sources.edit import Editor
 from quire.sources.writer import Options
 
@@ -80,7 +80,9 @@ def edited(files: DataFrame, change: Callable[[Editor], None], options: Options
     if problem := options.problem():
         raise ValueError(problem)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("problem", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 out = why = None
@@ -90,9 +92,9 @@ def edited(files: DataFrame, change: Callable[[Editor], None], options: Options
                     out = e.bytes(options)
                 except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as x:
                     why = f"{type(x).__name__}: {x}"
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out], pa.binary()), pa.array([why], pa.string())], ["path", "content", "problem"])
+                yield batch.column(0)[i].as_py(), out, why
 
-    return shipped(files).select("path", "content").mapInArrow(run, "path string, content binary, problem string")
+    return shipped(files).select("path", "content").mapInArrow(lambda batches: batched(rows(batches), schema), "path string, content binary, problem string")
 
 
 def flagged(rows: DataFrame, wanted: Sanitizer) -> DataFrame:

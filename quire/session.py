@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +38,30 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many partitions as the session shuffles to, two for each core at least.
+
+    A number that is given stays: adaptive execution goes by bytes and would put small rows
+    that become whole files into a few tasks, which then do all the work.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema, most: int = 4096, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of that many, or of fewer that together have ``size`` bytes of text and data."""
+    held: list[tuple] = []
+    full = 0
+    for row in rows:
+        held.append(row)
+        full += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+        if len(held) >= most or full >= size:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], f.type) for k, f in enumerate(schema)], schema=schema)
+            held, full = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's URI within the shared one."""
     return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"

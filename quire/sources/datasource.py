@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quire.session import shipped
+from quire.session import shipped, spread
 from quire.sources import content, tables
 from quire.sources.values import from_json, unparse
 from quire.sources.writer import Options, write
@@ -149,7 +149,7 @@ def to_files(objects: DataFrame, roots: DataFrame, options: Options = Options())
         return pa.table({"path": pa.array([key[0].as_py()], pa.string()), "content": pa.array([write({k: v for k, v in values.items() if v is not None}, trailer, "1.7", options)], pa.binary())})
 
     both = shipped(objects).select("path", "obj", "gen", "value", "raw", F.lit(None).cast("string").alias("trailer")).unionByName(roots.select("path", F.lit(None).cast("int").alias("obj"), F.lit(None).cast("int").alias("gen"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("binary").alias("raw"), "trailer"))
-    return both.groupBy("path").applyInArrow(make, "path string, content binary")
+    return spread(both, "path").groupBy("path").applyInArrow(make, "path string, content binary")
 
 
 def to_json_rows(objects: DataFrame, stream_data: str = "inline") -> DataFrame:
